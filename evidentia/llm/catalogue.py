@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import mixing, quality, secrets, simhash
+from evidentia.llm import (
+    decontaminate,
+    language,
+    licenses,
+    mixing,
+    personal,
+    quality,
+    scoring,
+    secrets,
+    simhash,
+    substrings,
+)
 from evidentia.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +68,38 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = language.held_out(F.col("doc_id"))
+    found = language.predict(docs, language.sample(docs.where(~fold)))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.shared_documents(load(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labels(load(spark, sf_dir, "documents"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    figures = ("target_bits", "background_bits", "score")
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in figures])
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(load(spark, sf_dir, "documents"))
