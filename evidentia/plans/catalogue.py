@@ -1,56 +1,6 @@
-"""Registered queries over the driver tables and their DuckDB oracles."""
+"""All queries, by area."""
 
-from __future__ import annotations
+from evidentia.plans import queries_evidence, queries_pages, queries_shapes, queries_state, queries_streams  # noqa: F401
+from evidentia.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from evidentia.session import load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with its oracle."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query(
-    r"""
-    with p as (select doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) as page_hash from documents),
-    v1 as (select *, row_number() over (partition by page_hash order by doc_id) rn from p where doc_id % 10 <> 3),
-    v2 as (select *, row_number() over (partition by page_hash order by doc_id) rn from p where doc_id % 10 <> 7)
-    select v1.doc_id as old_page, v2.doc_id as new_page, coalesce(v1.page_hash, v2.page_hash) as page_hash,
-           case when v1.doc_id is null then 'NEW' when v2.doc_id is null then 'DELETED'
-                when v1.doc_id = v2.doc_id then 'SAME' else 'MOVED' end as page_class
-    from v1 full outer join v2 on v1.page_hash = v2.page_hash and v1.rn = v2.rn
-    """
-)
-def version_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of two corpus versions, paired as bags of equal normalised text."""
-    pages = load(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("page_hash")
-    )
-    nth = F.row_number().over(W.partitionBy("page_hash").orderBy("doc_id"))
-    old = pages.where("doc_id % 10 <> 3").withColumn("rn", nth).withColumnRenamed("doc_id", "old_page")
-    new = pages.where("doc_id % 10 <> 7").withColumn("rn", nth).withColumnRenamed("doc_id", "new_page")
-    kind = (
-        F.when(F.col("old_page").isNull(), "NEW")
-        .when(F.col("new_page").isNull(), "DELETED")
-        .when(F.col("old_page") == F.col("new_page"), "SAME")
-        .otherwise("MOVED")
-    )
-    return old.join(new, ["page_hash", "rn"], "full").select(
-        "old_page", "new_page", "page_hash", kind.alias("page_class")
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
