@@ -27,6 +27,9 @@ MAX_PASSES = 2
 #: Blocks a source is cut into at most; so many rows a source are ever brought together.
 BLOCKS = 4096
 SHARDS = 16
+#: Orders tried at most for a source, and the share of a target that may be missed without trying another.
+ORDERS = 64
+CLOSE = 0.002
 SEED = 42
 #: Sources have names and weights, as a configuration has; more of them than this is an error.
 MAX_SOURCES = 100_000
@@ -93,22 +96,38 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
     return out
 
 
-def _fill(key, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Passes for each block of one source (at most BLOCKS rows), and each draw's place in the source's order."""
-    blocks = blocks.sort_values(["rank", "block"])
-    words = blocks["words"].tolist()
-    passes, rest = divmod(float(blocks["target"].iloc[0]), max(1, sum(words)))
-    passes = int(passes)
+def _extra_pass(words: list[int], rest: float) -> tuple[float, list[int]]:
+    """Blocks to take once more, in order, each if it still fits, then the one that brings the sum nearest to `rest`."""
     extra = []
     for size in words:
-        fits = size <= rest
-        extra.append(int(fits and size > 0 and passes < MAX_PASSES))
+        extra.append(int(0 < size <= rest))
         rest -= size * extra[-1]
-    # the block that would bring the total nearest takes what is left
-    left = [(abs(rest - w), i) for i, w in enumerate(words) if not extra[i] and w and passes < MAX_PASSES]
-    if left and min(left)[0] < rest:
-        extra[min(left)[1]] = 1
-    times = passes * (blocks["words"] > 0) + extra
+    near = min(((abs(rest - w), i) for i, w in enumerate(words) if w and not extra[i]), default=(rest, -1))
+    if near[0] < rest:
+        rest, extra[near[1]] = near[0], 1
+    return rest, extra
+
+
+def _fill(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Passes for each block of one source (at most BLOCKS rows), and each draw's place in the source's order.
+
+    Orders are drawn anew, from seeds of their own, until a target is met closely; a source of
+    many blocks meets it at once, one of a few large documents may need several.
+    """
+    blocks = blocks.sort_values(["rank", "block"], ignore_index=True)
+    total, target = int(blocks["words"].sum()), float(blocks["target"].iloc[0])
+    passes, rest = divmod(target, total) if total else (0, 0.0)
+    tries = []
+    for attempt in range(ORDERS if passes < MAX_PASSES else 1):
+        rng = np.random.default_rng([attempt, abs(int(blocks["rank"].iloc[0]))])
+        order = rng.permutation(len(blocks)) if attempt else np.arange(len(blocks))
+        miss, extra = _extra_pass(blocks["words"].to_numpy()[order].tolist(), rest if passes < MAX_PASSES else 0.0)
+        tries.append((miss, attempt, order, extra))
+        if miss <= CLOSE * target:
+            break
+    _, _, order, extra = min(tries, key=lambda t: t[:2])
+    blocks = blocks.iloc[order]
+    times = int(passes) * (blocks["words"].to_numpy() > 0) + np.array(extra)
     first = np.cumsum(times) - times
     return pd.DataFrame({"nth": blocks["nth"], "block": blocks["block"], "passes": times, "begin": first})
 

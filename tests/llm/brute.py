@@ -115,3 +115,13 @@ def components(ids, fps, radius=2):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
     return [least.get(top(i)) for i in range(len(ids))]
+
+
+def edits(a, b):
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]

@@ -1,0 +1,266 @@
+"""Operators on odd tables and planted cases."""
+
+import random
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import decontaminate, language, licenses, mixing, personal, quality, scoring, secrets, simhash, substrings
+from evidentia.llm.components import roots
+
+RANDOM = random.Random(7)
+PROSE = [" ".join("".join(RANDOM.choices("abcdefghijklmnop", k=RANDOM.randint(2, 9))) for _ in range(n)) for n in (120, 90, 200, 60, 150)]
+PASSAGE = " ".join("".join(RANDOM.choices("qrstuvwxyz", k=RANDOM.randint(3, 8))) for _ in range(55))
+
+
+def frame(spark, texts, **columns):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize(
+    ("operator", "per_row"),
+    [
+        (substrings.shared_documents, False),
+        (substrings.deduplicate, True),
+        (mixing.plan, True),
+        (mixing.mix, False),
+        (licenses.labels, True),
+        (personal.scan, True),
+        (personal.sanitise, True),
+        (secrets.secret_scan, True),
+        (secrets.redact, True),
+        (quality.judge, True),
+        (quality.keep_good, False),
+        (simhash.near_duplicates, True),
+        (simhash.keep_one, False),
+    ],
+)
+def test_odd_and_empty_tables(odd_docs, no_docs, operator, per_row):
+    rows = operator(odd_docs).collect()
+    assert len(rows) == 13 if per_row else True
+    assert operator(no_docs).collect() == []
+
+
+def test_odd_tables_with_two_inputs(spark, odd_docs, no_docs):
+    items = spark.createDataFrame([(1, "x"), (2, None), (3, ""), (None, "y"), (4, "six seven eight nine ten one two")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(odd_docs, items).collect()}
+    assert found == {(1, 4), (2, 4), (None, 4), (7, 1)}
+    assert decontaminate.matches(odd_docs, items.limit(0)).collect() == []
+    assert decontaminate.remove(no_docs, items).collect() == []
+    labels = spark.createDataFrame([(1, 1), (1, 0), (9, 0), (None, 1)], "doc_id long, quality int")
+    scores = scoring.score(odd_docs, labels).collect()
+    assert len(scores) == 13 and all((r.score is None) == (r.n_tokens == 0) for r in scores)
+    assert {r.score for r in scoring.score(odd_docs, labels.limit(0)).collect()} == {0.0, None}
+    assert scoring.score(no_docs, labels).collect() == []
+    content = language.sample(odd_docs)
+    assert set(content) == {"en", "de", "fr"}
+    found = [(r.doc_id, r.lang_pred) for r in language.predict(odd_docs, content).collect()]
+    assert len(found) == 13 and {(3, "und"), (4, "und"), (5, "und"), (8, "und"), (9, "de")} <= set(found)
+    assert {r.lang_pred for r in language.predict(odd_docs, language.sample(no_docs)).collect()} == {"und"}
+
+
+def test_odd_results(odd_docs):
+    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd_docs).collect()}
+    assert {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 3)} <= groups
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(odd_docs).collect())
+    assert kept == [(False, i) for i in (1, 3, 6, 7, 8, 9, 10)] + [(True, 0)] * 2
+    shared = {r.doc_id: r for r in substrings.shared_documents(odd_docs).collect()}
+    assert set(shared) == {1, 2} and shared[1].removed_chars == 0 and shared[2].removed_chars > 300
+    plan = mixing.plan(odd_docs).collect()
+    assert all(r.copies == 0 for r in plan if r["size"] == 0) and all(r.copies <= 2 for r in plan)
+
+
+def test_chunks_resist_insertion(spark):
+    texts = [PROSE[0] + " " + PASSAGE + " " + PROSE[1], PASSAGE + PROSE[2], PROSE[3], "é" * 7 + PROSE[4] + PASSAGE]
+    found = {r.doc_id: r for r in substrings.shared_documents(frame(spark, texts)).collect()}
+    assert set(found) == {0, 1, 3} and found[0].removed_chars == 0
+    clean = {r.doc_id: r.text for r in substrings.deduplicate(frame(spark, texts)).collect()}
+    assert clean[2] == texts[2] and clean[0] == texts[0]
+    assert PROSE[2][60:] in clean[1] and len(clean[1]) < len(texts[1]) - 150
+    assert clean[3].startswith("é" * 7 + PROSE[4][:-60])
+
+
+def test_rolling_hash_depends_on_its_window_only():
+    data = np.frombuffer((PROSE[0] + PASSAGE).encode(), np.uint8)
+    cuts = set(substrings._cut_places(data))
+    shifted = set(substrings._cut_places(data[40:]) + 40)
+    after = 40 + substrings.WINDOW
+    assert {c for c in cuts if c >= after} == {c for c in shifted if c >= after}
+
+
+def test_edit_matching(spark):
+    item = PASSAGE
+    edited = item[:50] + "#" + item[51:120] + item[122:200] + "++" + item[200:]
+    far = "".join(c if i % 4 else "#" for i, c in enumerate(item))
+    texts = [PROSE[0] + "\n" + edited + " " + PROSE[1], PROSE[2], PROSE[1] + far, item.upper().replace(" ", "\n  ")]
+    items = spark.createDataFrame([(1, item), (2, PROSE[3][:200])], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.matches(frame(spark, texts), items).collect()}
+    assert set(rows) == {0, 3}
+    assert rows[0].distance == brute.edits(item, edited) and texts[0][rows[0].start : rows[0].stop] == edited
+    assert rows[3].distance == 0 and (rows[3].start, rows[3].stop) == (0, len(texts[3]))
+    assert [r.doc_id for r in decontaminate.remove(frame(spark, texts), items).collect()] == [1, 2]
+
+
+def test_nearest_is_levenshtein():
+    for _ in range(200):
+        a = "".join(RANDOM.choices("abc", k=RANDOM.randint(1, 12)))
+        b = "".join(RANDOM.choices("abc", k=RANDOM.randint(0, 20)))
+        best = min(brute.edits(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+        found = decontaminate.nearest(a, b, 3)
+        if best > 3 or not b:
+            assert found is None or found[0] == best
+        else:
+            assert found[0] == best == brute.edits(a, b[found[1] : found[2]])
+
+
+def test_quota_tree():
+    quotas = np.array([1000, 10, 0, 333, 1])
+    shares = mixing.split_quotas(quotas, 16)
+    assert (shares.sum(axis=1) == quotas).all() and np.ptp(shares.sum(axis=0)) <= 1
+    assert (shares == mixing.split_quotas(quotas, 16)).all()
+    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+
+
+def test_mix_rows_follow_the_plan(small):
+    plan = {r.doc_id: r for r in mixing.plan(small).collect()}
+    mixed = mixing.mix(small).collect()
+    assert len(mixed) == sum(r.copies for r in plan.values())
+    by_doc = {}
+    for r in mixed:
+        by_doc.setdefault(r.doc_id, []).append(r.mix_shard)
+    assert all(sorted(by_doc.get(i, [])) == sorted(r.shards) for i, r in plan.items())
+
+
+def test_near_pairs_match_brute_force():
+    centre = RANDOM.getrandbits(64)
+    members = sorted({centre ^ sum(1 << b for b in RANDOM.sample(range(64), RANDOM.randint(0, 4))) for _ in range(120)} | {RANDOM.getrandbits(64) for _ in range(60)})
+    for radius in (0, 1, 2):
+        pairs = {(i, j) for i in range(len(members)) for j in range(i + 1, len(members)) if (members[i] ^ members[j]).bit_count() <= radius}
+        assert set(simhash.near(members, radius)) == pairs
+
+
+def test_split_buckets_lose_no_link(spark):
+    centre = RANDOM.getrandbits(63)
+    fps = sorted({centre ^ sum(1 << b for b in RANDOM.sample(range(60), RANDOM.randint(0, 3))) for _ in range(300)} | {RANDOM.getrandbits(63) for _ in range(100)})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    root = {r.node: r.root for r in roots(simhash.links(nodes, 2, group=32)).collect()}
+    label = brute.components(fps, fps)
+    assert {f: root.get(f, f) for f in fps} == dict(zip(fps, label, strict=True))
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 150)] + [(500, 501)], "u long, v long")
+    root = {r.node: r.root for r in roots(links).collect()}
+    assert all(root[i] == 0 for i in range(151)) and root[501] == 500
+
+
+def test_linked_credentials(spark):
+    far = " word" * 150
+    texts = [
+        "username: alice and then Zx81kQw0PqLm55TrYv99 at https://db.example.com/x",
+        "username: alice" + far + " Zx81kQw0PqLm55TrYv99" + far + " https://db.example.com",
+        "Zx81kQw0PqLm55TrYv99",
+        "login=bob_b password=hunter22",
+    ]
+    rows = {r.doc_id: r.spans for r in secrets.secret_scan(frame(spark, texts)).collect()}
+    assert [s.split(":")[0] for s in rows[0].split(",")] == ["linked_id", "linked_secret", "linked_endpoint"]
+    assert rows[1] == rows[2] == ""
+    assert rows[3] == "linked_id:0:11,assign:12:29"
+    clean = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(frame(spark, texts)).collect()}
+    assert clean[3] == ("[LINKED_ID] [ASSIGN]", 20) and clean[2][0] == texts[2]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a@b.c_d@e.f x@y a@b@c.d.e",
+        "a@b.c-d@e.f g.h@i.j@k.l",
+        "1.2.3.4.5.6.7.8 999.1.1.1 0001.002.3.255 1.2.3.256",
+        "4111 1111 1111 1111-1 4111111111111111 79927398713 12345678901234567890123",
+        "+1 (988) 555-2485 +123456789 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6 +49 30 1234567.",
+        "x" * 100_000 + "@" + "1." * 50_000 + "+" * 1000,
+        "4" * 100_000,
+        "ü@x.y 😀 a@b.cd 10.0.0.1",
+    ],
+)
+def test_hard_personal_spans(spark, text):
+    _, joined, digest = brute.spans(text, brute.PII_KINDS)
+    row = personal.scan(frame(spark, [text])).first()
+    assert row.spans == joined and row.base_sha256 == digest
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["secret=token:abcdefg passwd='' api-key = \"x_1234567\"", "PASSWORD:=abcdef token  =  'a b'", "AKIA" * 8 + "akia" + "f" * 30, "deadbeef" * 20_000],
+)
+def test_hard_secret_spans(spark, text):
+    _, _, digest = brute.spans(text, brute.SECRET_KINDS)
+    assert secrets.secret_scan(frame(spark, [text])).first().base_sha256 == digest
+
+
+def test_revealing_terms(spark):
+    known = [f"report for ward seven by mercury{i % 3} contact user{i}@mail.example.com zenith" for i in range(40)]
+    other = [f"plain report for ward number {i} with words" for i in range(60)]
+    rows = {r.doc_id: r.spans for r in personal.scan(frame(spark, known + other)).collect()}
+    assert "term_removed" in rows[0] and "term" not in rows[50]
+    start = known[0].index("zenith")
+    assert f"term_removed:{start}:{start + 6}" in rows[0]
+    assert f":{known[0].index('report')}:" not in rows[0]
+    clean = {r.doc_id: r.text for r in personal.sanitise(frame(spark, known + other)).collect()}
+    assert "zenith" not in clean[0] and "[EMAIL]" in clean[0] and "report" in clean[0] and clean[50] == other[10]
+
+
+def test_host_verdicts(spark):
+    bad = [("bad", "tiny")] * 30 + [("good", " ".join(PROSE[0].split()))] * 300 + [("bad", PROSE[0])] * 2 + [("new", "tiny")]
+    rows = [(i, t, "en", s, 0) for i, (s, t) in enumerate(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = quality.judge(docs).collect()
+    kept = {r.doc_id for r in judged if r.kept}
+    assert kept == {r.doc_id for r in judged if r.host == "good"}
+    assert kept == {r.doc_id for r in quality.keep_good(docs).collect()}
+    rate = {r.host: r.host_rate for r in judged}
+    assert rate["bad"] < 30 / 32 and rate["new"] < 1
+
+
+def test_licence_templates(spark):
+    mit = licenses.TEMPLATES["mit"]
+    damaged = mit.replace("obtaining", "getting").replace("sublicense", "sub license")
+    texts = [mit.title(), PROSE[0] + " " + damaged, " ".join(mit.split()[:8]), PROSE[1]]
+    rows = {r.doc_id: r for r in licenses.labels(frame(spark, texts)).collect()}
+    assert rows[0].labels == "mit" and rows[0].score == 1.0 and rows[0].base_labels == ""
+    assert rows[1].labels == "mit" and 0.6 <= rows[1].score < 1
+    assert rows[2].labels == rows[3].labels == ""
+
+
+def test_automaton_statistics_match_brute_force():
+    templates = [("a", "x y x y z".split()), ("b", "y z w".split())]
+    machine = licenses.Automaton(templates, [("p", "y z".split())])
+    sides = [" ".join(t) for _, t in templates]
+    for _ in range(100):
+        words = RANDOM.choices(["x", "y", "z", "w", "q"], k=20)
+        found = machine.scan(" ".join(words).encode())
+        assert found.base == [("p", k) for k in range(19) if words[k : k + 2] == ["y", "z"]]
+        longest = 0
+        for i in range(20):
+            for j in range(i + 1, 21):
+                part = " ".join(words[i:j])
+                if any(f" {part} " in f" {s} " for s in sides):
+                    longest = max(longest, j - i)
+        assert all(span[2] - span[1] >= licenses.MIN_MATCH for span in found.spans) and (longest >= 4 or not found.spans)
+
+
+def test_loss_table_is_a_distribution():
+    counts = np.random.default_rng(1).integers(0, 20, (12, 12)).astype(float)
+    counts[:, 1] = 0
+    table = 2.0 ** -scoring.losses(counts).astype(np.float64)
+    table[:, 1] = 0
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
+
+
+def test_word_counts_match_split(small):
+    docs = small.select("doc_id", "text", "source")
+    got = {r.doc_id: r["size"] for r in mixing.sizes(docs).collect()}
+    assert got == {r.doc_id: len(brute.words(r.text)) for r in docs.collect()}
