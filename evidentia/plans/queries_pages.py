@@ -157,10 +157,10 @@ def suspect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select c as char, count(*) as n, count(distinct doc_id) as n_docs from (select doc_id, unnest(string_split(text, '')) as c from documents) where c <> '' group by 1")
 def char_explode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of every character, counted inside each page before anything is shuffled."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("char")).where("char <> ''")
-    per_doc = rows.groupBy("doc_id", "char").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("char").agg(F.sum("n").alias("n"), F.count("doc_id").alias("n_docs"))
+    """Occurrences of every character and the pages that have it; tasks hand on one row a character."""
+    docs = load(spark, sf_dir, "documents").select(F.split("text", "").alias("chars"))
+    counted = lambda chars, name: docs.select(F.explode(chars).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias(name))
+    return counted(F.col("chars"), "n").join(counted(F.array_distinct("chars"), "n_docs"), "char")
 
 
 @query(r"select doc_id, regexp_matches(text, '[項号年月日円]|懲役|禁錮|拘禁刑|最判|大判|判例|事件|昭和|平成|令和|\p{Nd}') as is_protected from documents")
