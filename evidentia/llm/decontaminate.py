@@ -2,7 +2,8 @@
 
 An item of m characters may be met with up to k = m * rate edits. Cut into k + 1 pieces, at
 least one piece stays whole in any such passage. An automaton finds all pieces of all items
-in each text, and each place a piece points to is verified with Myers' bit-parallel distance.
+in each text, and each place a piece points to is verified with Myers' bit-parallel distance:
+first ever larger runs of pieces around the hit, each with its share of the edits, then the item.
 Texts and items are compared in lower case with white space runs as one space.
 """
 
@@ -48,13 +49,13 @@ def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 def _myers(pattern: str, text: str, most: int, anchored: bool) -> tuple[int, int] | None:
     mask, high = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
-    where: dict[str, int] = defaultdict(int)
+    where: dict[str, int] = {}
     for i, c in enumerate(pattern):
-        where[c] |= 1 << i
+        where[c] = where.get(c, 0) | 1 << i
     up, down, score = mask, 0, len(pattern)
     found, first = None, 1 if anchored else 0
     for end, c in enumerate(text, 1):
-        same = where[c] if c in where else 0
+        same = where.get(c, 0)
         vertical = same | down
         horizontal = (((same & up) + up) ^ up) | same
         plus = down | (mask & ~(horizontal | up))
@@ -67,6 +68,8 @@ def _myers(pattern: str, text: str, most: int, anchored: bool) -> tuple[int, int
             found = score, end
             if not score:
                 break
+        elif score - (len(text) - end) > most:  # a character changes the score by one at most
+            break
     return found
 
 
@@ -84,37 +87,64 @@ def nearest(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
     return distance, stop - length, stop
 
 
+def _runs(cuts: list[int], piece: int) -> tuple[tuple[int, int, int], ...]:
+    """Runs of pieces around `piece`, small to large, as (start, stop, edits), by halving the item.
+
+    A run of n pieces with fewer than n edits has a half of which that is true too, so every
+    passage within budget has a whole piece all of whose runs are within theirs.
+    """
+    lo, hi, found = 0, len(cuts) - 1, []
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if piece < middle else (middle, hi)
+        found.append((cuts[lo], cuts[hi], hi - lo - 1))
+    return tuple(found[-2::-1])
+
+
 class Matcher:
     """Finds a block of items in texts."""
 
     def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
         self.items = [(i, t, int(len(t) * rate)) for i, t in items]
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        pieces: dict[str, list[tuple]] = defaultdict(list)
         for n, (_, t, most) in enumerate(self.items):
             cuts = [len(t) * k // (most + 1) for k in range(most + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                pieces[t[a:b]].append((n, a))
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                pieces[t[a:b]].append((n, a, _runs(cuts, k)))
         self.automaton = ahocorasick.Automaton()
         for piece, at in pieces.items():
             self.automaton.add_word(piece, (len(piece), at))
         self.automaton.make_automaton()
 
-    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item_id, distance, start, stop) of passages in `text`, places those of the text itself."""
-        clean = normal(text)
+    def _windows(self, clean: str) -> dict[int, list[list[int]]]:
+        """Ranges of a text in which each item may lie, overlapping ones as one."""
         windows: dict[int, list[list[int]]] = {}
         for end, (size, at) in self.automaton.iter(clean):
-            for n, offset in at:
+            for n, offset, runs in at:
                 _, item, most = self.items[n]
                 start = end + 1 - size - offset
+                if not all(self._near(clean, start, item, run) for run in runs):
+                    continue
                 lo, hi = max(0, start - most), min(len(clean), start + len(item) + most)
                 own = windows.setdefault(n, [])
                 if own and lo <= own[-1][1]:
                     own[-1][0], own[-1][1] = min(own[-1][0], lo), max(own[-1][1], hi)
                 else:
                     own.append([lo, hi])
+        return windows
+
+    @staticmethod
+    def _near(clean: str, start: int, item: str, run: tuple[int, int, int]) -> bool:
+        """Whether a run of pieces lies where it should, an item beginning at about `start`, within its edits."""
+        a, b, most = run
+        passage, part = clean[max(0, start + a - most) : max(0, start + b + most)], item[a:b]
+        return part in passage or best_end(part, passage, most) is not None
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item_id, distance, start, stop) of passages in `text`, places those of the text itself."""
+        clean = normal(text)
         back: list[int] = []
-        for n, own in windows.items():
+        for n, own in self._windows(clean).items():
             item_id, item, most = self.items[n]
             for lo, hi in own:
                 found = nearest(item, clean[lo:hi], most)
