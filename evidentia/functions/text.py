@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.functions.binding import let
+
 # Unicode whitespace.
 _SPACES = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = f"[{_SPACES}]"
@@ -113,23 +115,40 @@ def search_key(text: Column) -> Column:
     return F.lower(compact(text))
 
 
-def _count_outside(text: Column, removed: str) -> Column:
-    """Characters that aren't in the class `removed`."""
-    return F.length(F.regexp_replace(text, f"[{removed}]+", ""))
+def profile(text: Column) -> Column:
+    """struct(seen, useful, printable, suspicious, script): characters that aren't whitespace, and how many of them are
+    no controls, are of no control-like category, hint at a broken character map, and are of the expected script.
+
+    Only plain ASCII makes most texts and is none of the rare kinds, so it is taken out before those are counted.
+    """
+
+    def counts(visible: Column) -> Column:
+        seen = F.length(visible)
+        return let(
+            F.regexp_replace(visible, r"[\x21-\x7E]+", ""),
+            lambda rest: F.struct(
+                seen.alias("seen"),
+                (seen - F.regexp_count(rest, F.lit(r"\p{Cc}"))).alias("useful"),
+                (seen - F.regexp_count(rest, F.lit(r"\p{C}"))).alias("printable"),
+                F.regexp_count(rest, F.lit(suspicious_class())).alias("suspicious"),
+                F.length(F.regexp_replace(rest, f"[^{CJK}]+", "")).alias("script"),
+            ),
+        )
+
+    return let(F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), SPACE + "+", ""), counts)
 
 
 def visible_count(text: Column) -> Column:
-    return _count_outside(text, _SPACES)
+    return profile(text)["seen"]
 
 
 def suspicious_count(text: Column) -> Column:
-    """Characters of `suspicious_class`; plain ASCII, never one of them, is taken out first, as it makes most texts."""
-    rest = F.regexp_replace(text, r"[\x09-\x0D\x1C-\x7E]+", "")
-    return F.regexp_count(rest, F.lit(suspicious_class()))
+    """Characters of `suspicious_class`."""
+    return F.regexp_count(F.regexp_replace(text, r"[\x09-\x0D\x1C-\x7E]+", ""), F.lit(suspicious_class()))
 
 
 def useful_count(text: Column) -> Column:
-    return _count_outside(text, _SPACES + r"\p{Cc}")
+    return profile(text)["useful"]
 
 
 def noise_tokens(text: Column) -> Column:
@@ -141,19 +160,24 @@ def noise_count(text: Column) -> Column:
     return F.size(noise_tokens(text))
 
 
+def profile_script_ratio(p: Column) -> Column:
+    """Share of expected-script characters among visible ones, 0 for none, from a `profile`."""
+    return F.when(p["seen"] > 0, p["script"] / p["seen"]).otherwise(0.0)
+
+
+def profile_quality(p: Column) -> Column:
+    """0 to 1: printable share less three times the suspicious share (at most 0.85); 0 for a blank text."""
+    penalty = F.least(F.lit(0.85), p["suspicious"] * 3.0 / p["seen"])
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["printable"] / p["seen"] - penalty))
+    return F.when(p["seen"] > 0, F.round(score, 4)).otherwise(0.0)
+
+
 def script_ratio(text: Column) -> Column:
-    """Share of expected-script characters among visible ones, 0 for none."""
-    seen = visible_count(text)
-    return F.when(seen > 0, _count_outside(text, "^" + CJK) / seen).otherwise(0.0)
+    return let(profile(text), profile_script_ratio)
 
 
 def quality(text: Column) -> Column:
-    """0 to 1: printable share less three times the suspicious share (at most 0.85); 0 for a blank text."""
-    seen = visible_count(text)
-    printable = _count_outside(text, _SPACES + r"\p{C}")
-    penalty = F.least(F.lit(0.85), suspicious_count(text) * 3.0 / seen)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), printable / seen - penalty))
-    return F.when(seen > 0, F.round(score, 4)).otherwise(0.0)
+    return let(profile(text), profile_quality)
 
 
 def has_bad_control(text: Column) -> Column:

@@ -94,19 +94,19 @@ def image_coverage(pages: DataFrame) -> DataFrame:
 
 def measures(pages: DataFrame) -> DataFrame:
     """Pages with counts, quality and script share of their text."""
-    body = F.col("native_text")
-    measured = pages.withColumns(
+    p = F.col("profile")
+    rows = pages.withColumn("profile", text.profile(F.col("native_text")))
+    measured = rows.withColumns(
         {
-            "native_count": text.useful_count(body),
-            "quality": text.quality(body),
-            "suspicious_count": text.suspicious_count(body),
-            "suspicious_tokens": F.when(text.script_ratio(body) >= SCRIPT_GATE, text.noise_count(body)).otherwise(0),
-            "script_ratio": F.round(text.script_ratio(body), 6),
-            "visible": text.visible_count(body),
+            "native_count": p["useful"],
+            "quality": text.profile_quality(p),
+            "suspicious_count": p["suspicious"],
+            "suspicious_tokens": F.when(text.profile_script_ratio(p) >= SCRIPT_GATE, text.noise_count(F.col("native_text"))).otherwise(0),
+            "script_ratio": F.round(text.profile_script_ratio(p), 6),
+            "suspicious_ratio": F.round(F.when(p["seen"] > 0, p["suspicious"] / p["seen"]).otherwise(0.0), 6),
         }
     )
-    ratio = F.when(F.col("visible") > 0, F.col("suspicious_count") / F.col("visible")).otherwise(0.0)
-    return measured.withColumn("suspicious_ratio", F.round(ratio, 6)).drop("visible")
+    return measured.drop("profile")
 
 
 def trust(count: Column, quality: Column, glyphs: Column, tokens: Column, ratio: Column, regions: Column, largest: Column) -> Column:

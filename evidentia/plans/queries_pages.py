@@ -97,14 +97,15 @@ def approx_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
          from ({_MEASURED})"""
 )
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.col("text")
-    return load(spark, sf_dir, "documents").select(
+    p = F.col("p")
+    rows = load(spark, sf_dir, "documents").select("doc_id", text.profile(F.col("text")).alias("p"), text.noise_count(F.col("text")).alias("noise"))
+    return rows.select(
         "doc_id",
-        text.useful_count(body).cast("long").alias("n_useful"),
-        text.suspicious_count(body).cast("long").alias("n_suspicious"),
-        text.noise_count(body).cast("long").alias("n_noise"),
-        text.quality(body).alias("quality"),
-        F.round(text.script_ratio(body), 6).alias("script_ratio"),
+        p["useful"].cast("long").alias("n_useful"),
+        p["suspicious"].cast("long").alias("n_suspicious"),
+        F.col("noise").cast("long").alias("n_noise"),
+        text.profile_quality(p).alias("quality"),
+        F.round(text.profile_script_ratio(p), 6).alias("script_ratio"),
     )
 
 
