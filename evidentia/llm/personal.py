@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.spans import SPAN, let, listed, none, replaced, spans
+from evidentia.functions.binding import let
+from evidentia.llm.spans import SPAN, listed, none, replaced, spans
 from evidentia.staging import stage
 
 # The kinds of the base scan. Loops that can't succeed by giving back are possessive,
