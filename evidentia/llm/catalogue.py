@@ -43,11 +43,71 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _matches(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    """SQL for spans (doc_id, kind, rank, start, stop) of the matches of `pattern` that `keep` holds for, as match m.
+
+    A match starts after all gaps up to it and all matches before it.
+    """
+    return rf"""
+      select doc_id, '{kind}' as kind, {rank} as rank, a as start, a + length(m) as stop from (
+        select doc_id, m, sum(length(g)) over w + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a
+        from (select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as m, unnest(string_split_regex(text, '{pattern}')) as g,
+                unnest(range(1, 2 + len(regexp_extract_all(text, '{pattern}')))) as i from t where regexp_matches(text, '{pattern}'))
+        window w as (partition by doc_id order by i)) where m is not null and {keep}"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}"""
+_ENDPOINT = r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\x00-\x20"''<>]+"""
+_MIXED = "length(m) >= 20 and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')"
+
+ORACLE_SQL["op7_secret_scan"] = rf"""
+    with t as (select doc_id, coalesce(text, '') as text from documents),
+    base as ({_matches("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
+      union all {_matches("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
+      union all {_matches("hex", 2, "[0-9a-f]+", "length(m) >= 24")}),
+    weak as ({_matches("linked_id", 3, _IDENTIFIER)}
+      union all {_matches("linked_secret", 4, "[A-Za-z0-9+/_=-]+", _MIXED)}
+      union all {_matches("linked_endpoint", 5, _ENDPOINT)}),
+    part as (select *, case when kind in ('access', 'linked_id') then 'i' when kind = 'linked_endpoint' then 'o' else 's' end as side from (from base union all from weak)),
+    scoped as (select *, unnest([start // 200 - 1, start // 200]) as scope from part),
+    extra as (select distinct a.doc_id, a.kind, a.rank, a.start, a.stop from scoped a join scoped b on b.doc_id = a.doc_id and b.scope = a.scope
+        and case when a.side = 's' then b.side in ('i', 'o') else b.side = 's' end
+      where a.kind like 'linked%' and not exists (select 1 from base c where c.doc_id = a.doc_id and c.start < a.stop and a.start < c.stop)),
+    b as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+        string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from base group by 1),
+    e as (select doc_id, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from (from base union all from extra) group by 1)
+    select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+      sha256(coalesce(b.joined, '')) as base_sha256, coalesce(e.joined, '') as spans from t left join b on b.doc_id = t.doc_id left join e on e.doc_id = t.doc_id
+"""
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(load(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op8_quality_rules"] = r"""
+    with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+    t as (select doc_id, i, concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]) as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+    d as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from t) where n > 1),
+    c as (select doc_id, count(distinct p) as r from (select doc_id, unnest([i, i + 1, i + 2]) as p from d) group by 1),
+    m as (select w.doc_id, source, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+            coalesce(r, 0) as n_repeat_words, len(ls) as n_lines from w left join c on c.doc_id = w.doc_id),
+    f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+    j as (select *, base_failed or n_symbols > n_words * 0.5 or word_chars / greatest(n_words, 1) < 2 or word_chars / greatest(n_words, 1) > 15
+            or 100 * n_dup_lines > 50 * n_lines as rule_failed from f),
+    h as (select source, count(*) as n, count(*) filter (rule_failed) as bad from j group by 1),
+    p as (select avg(bad / n) as mu, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) as excess, sum(n) as everything from h),
+    q as (select mu, greatest(1, case when excess > 0 then greatest(1, mu * (1 - mu) / excess - 1) else everything end) as strength from p),
+    v as (select source, (bad + mu * strength) / (n + strength) as rate from h, q)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.6 as kept,
+           rule_failed, round(rate, 6) as host_rate from j join v on v.source is not distinct from j.source
+"""
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(load(spark, sf_dir, "documents")).select(

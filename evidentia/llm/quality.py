@@ -112,8 +112,8 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """A row for every row of `docs`: doc_id, host, measures, base_failed, rule_failed, kept.
 
-    A document is kept if it passes the base rules and, unless it passes every rule, its host is
-    not rejected: a rejected host's documents all go. A null host is a host of its own.
+    A document is kept if it passes the base rules and its host isn't rejected; a rejected host's
+    documents all go. A null host is a host of its own.
     """
     measured = docs.select("doc_id", F.col(host_col).cast("string").alias("host"), measures(F.col("text")).alias("m"))
     measured = measured.select(
