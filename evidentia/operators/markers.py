@@ -143,7 +143,7 @@ def logical(parts: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def canonical_text(pages: DataFrame) -> DataFrame:
     """Pages with canonical_text and its source: a page of low trust uses its own recognised text, others the reconciled."""
-    low = F.col("trust") == "LOW"
+    low = F.col("trust") == "low"
     seen = F.coalesce("page_ocr", F.lit("")) != ""
     return pages.withColumns(
         {

@@ -115,18 +115,18 @@ def trust(count: Column, quality: Column, glyphs: Column, tokens: Column, ratio:
     severe = (ratio >= 0.01) | (glyphs >= 8) | (regions >= 4) | (tokens >= 1)
     answer = lambda level, origin: F.struct(F.lit(level).alias("trust"), F.lit(origin).alias("origin"))
     return (
-        F.when(scan, answer("LOW", "SCAN_LIKE"))
-        .when(count == 0, answer("LOW", "UNKNOWN"))
-        .when(severe, answer("LOW", "EMBEDDED_OCR_OR_CORRUPT_MAPPING_LIKELY"))
-        .when((glyphs > 0) | (quality < 0.95), answer("MEDIUM", "UNKNOWN"))
-        .when(quality >= 0.98, answer("HIGH", "NATIVE_LIKELY"))
-        .otherwise(answer("MEDIUM", "UNKNOWN"))
+        F.when(scan, answer("low", "scan_like"))
+        .when(count == 0, answer("low", "unknown"))
+        .when(severe, answer("low", "embedded_ocr_or_corrupt_mapping_likely"))
+        .when((glyphs > 0) | (quality < 0.95), answer("medium", "unknown"))
+        .when(quality >= 0.98, answer("high", "born_digital_likely"))
+        .otherwise(answer("medium", "unknown"))
     )
 
 
 def mode(count: Column, quality: Column, level: Column, largest: Column, has_image: Column) -> Column:
-    poor = (count < MIN_CHARS) | (quality < MIN_QUALITY) | (level == "LOW")
-    return F.when(poor, "OCR_REQUIRED").when((largest >= LARGE_IMAGE) | has_image, "HYBRID").otherwise("NATIVE")
+    poor = (count < MIN_CHARS) | (quality < MIN_QUALITY) | (level == "low")
+    return F.when(poor, "ocr_required").when((largest >= LARGE_IMAGE) | has_image, "hybrid").otherwise("native")
 
 
 def reasons(**named: Column) -> Column:

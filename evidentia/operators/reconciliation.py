@@ -128,7 +128,7 @@ def verdict() -> Column:
     less = F.col("noise_after") < F.col("noise_before")
     supported = F.coalesce("support", F.lit(False))
     alone = F.col("support").isNull() & (F.col("similarity") >= ALONE_SIMILARITY)
-    backed = F.when(F.col("trust") == "LOW", supported).otherwise(supported | alone)
+    backed = F.when(F.col("trust") == "low", supported).otherwise(supported | alone)
     sound = matched & F.col("length_ratio").between(*LENGTH_RATIO) & (F.col("similarity") >= MIN_SIMILARITY) & less & sure
     against = F.array_compact(
         F.array(
@@ -136,7 +136,7 @@ def verdict() -> Column:
             F.when(~less, "ocr_does_not_reduce_suspicious_content"),
             F.when(F.col("similarity") < MIN_SIMILARITY, "low_context_similarity"),
             F.when(~sure, "low_ocr_confidence"),
-            F.when((F.col("trust") == "LOW") & ~supported, "no_full_page_corroboration"),
+            F.when((F.col("trust") == "low") & ~supported, "no_full_page_corroboration"),
         )
     )
     said = F.when(F.size(against) > 0, F.array_join(against, ";")).otherwise("repair_not_safe_to_auto_apply")

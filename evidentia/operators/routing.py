@@ -112,14 +112,14 @@ def plan(pages: DataFrame, suspects: DataFrame, regions: DataFrame, marks: DataF
     full = pages.where("full_page").select(
         *on, F.lit("full_page").alias("kind"), empty("int").alias("source_index"), geo.box(F.lit(0.0), F.lit(0.0), F.col("page_width"), F.col("page_height")).alias("bbox"), empty("string").alias("native_candidate"), F.lit(r.dpi).alias("dpi"), empty("string").alias("suppress_reason")
     )
-    scan = F.when(F.col("scan_like") & F.col("full_page"), "scan_like_page_has_full_ocr")
+    scan = F.when(F.col("scan_like") & F.col("full_page"), "redundant_with_full_page_ocr_scan_like_text_layer")
     surgical = suspects.join(pages, on).select(
         *on, F.lit("suspect_native_text").alias("kind"), "source_index", "bbox", "native_candidate", F.lit(r.surgical_dpi).alias("dpi"), scan.alias("suppress_reason")
     )
     noise = edge_noise(regions, marks, r).withColumn("noise", F.lit(True))
     images = regions.where(substantive(r)).join(noise, [*on, "image_index"], "left").join(pages.select(*on, "full_page", "scan_like"), on)
     share = geo.page_coverage(F.col("bbox"), F.col("page_width"), F.col("page_height"))
-    held = F.when(F.col("noise"), "repetitive_edge_image_region").when(F.col("full_page") & (share >= r.background_coverage), "scan_background_covered_by_full_page_ocr")
+    held = F.when(F.col("noise"), "repetitive_edge_image_noise_likely_binder_hole").when(F.col("full_page") & (share >= r.background_coverage), "duplicate_of_full_page_ocr_background_image")
     images = images.select(*on, F.lit("image_region").alias("kind"), F.col("image_index").alias("source_index"), "bbox", empty("string").alias("native_candidate"), F.lit(r.dpi).alias("dpi"), held.alias("suppress_reason"))
     return full.unionByName(surgical).unionByName(images)
 

@@ -78,7 +78,7 @@ def reconciliation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on all lines; the similarity in them is order-dependent and has no SQL form."""
     records = reconciliation.reconcile(_evidence(spark, sf_dir))
-    page_rows = pages.from_documents(load(spark, sf_dir, "documents")).withColumn("trust", F.lit("MEDIUM"))
+    page_rows = pages.from_documents(load(spark, sf_dir, "documents")).withColumn("trust", F.lit("medium"))
     found = reconciliation.decisions(records, page_rows)
     return found.select("page_number", "record_id", "candidate", "similarity", "support", "protected", "status", "reason")
 
@@ -262,13 +262,13 @@ def note_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with p as (select doc_id, text, lang, case when doc_id % 3 = 0 then 'LOW' else 'HIGH' end as trust, case when doc_id % 6 = 0 then concat('OCR ', text) end as page_ocr from documents)
-       select doc_id, case when trust <> 'LOW' then 'reconciled_text' when coalesce(page_ocr, '') <> '' then 'full_page_ocr' else 'unavailable_requires_visual_review' end as canonical_source,
-              sha256(case when trust <> 'LOW' then text else page_ocr end) as canonical_sha256 from p"""
+    """with p as (select doc_id, text, lang, case when doc_id % 3 = 0 then 'low' else 'high' end as trust, case when doc_id % 6 = 0 then concat('OCR ', text) end as page_ocr from documents)
+       select doc_id, case when trust <> 'low' then 'reconciled_text' when coalesce(page_ocr, '') <> '' then 'full_page_ocr' else 'unavailable_requires_visual_review' end as canonical_source,
+              sha256(case when trust <> 'low' then text else page_ocr end) as canonical_sha256 from p"""
 )
 def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that stands for a page: its own, or the recognised one where its layer isn't trusted."""
     rows = load(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("reconciled_text"), F.when(F.col("doc_id") % 3 == 0, "LOW").otherwise("HIGH").alias("trust"), F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("OCR "), "text")).alias("page_ocr")
+        "doc_id", F.col("text").alias("reconciled_text"), F.when(F.col("doc_id") % 3 == 0, "low").otherwise("high").alias("trust"), F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("OCR "), "text")).alias("page_ocr")
     )
     return markers.canonical_text(rows).select("doc_id", "canonical_source", "canonical_sha256")

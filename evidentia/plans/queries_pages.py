@@ -126,16 +126,16 @@ _TRUST = rf"""
           len(list_filter(string_split(text, chr(10)), lambda x:
             length(regexp_replace(x, '[^\p{{L}}\p{{N}}\x{{E000}}-\x{{F8FF}}\x{{FFFD}}]', '', 'g'))
             - length(regexp_replace(x, '[^{text.CJK}{_EXTRA}]', '', 'g')) > 0)) as regions from m),
-    t as (select *, case when useful = 0 then 'LOW'
-            when ratio >= 0.01 or suspicious >= 8 or regions >= 4 then 'LOW'
-            when suspicious > 0 or quality < 0.95 then 'MEDIUM' when quality >= 0.98 then 'HIGH' else 'MEDIUM' end as trust,
-          case when useful = 0 then 'UNKNOWN'
-            when ratio >= 0.01 or suspicious >= 8 or regions >= 4 then 'EMBEDDED_OCR_OR_CORRUPT_MAPPING_LIKELY'
-            when suspicious > 0 or quality < 0.95 then 'UNKNOWN' when quality >= 0.98 then 'NATIVE_LIKELY' else 'UNKNOWN' end as origin from q)
+    t as (select *, case when useful = 0 then 'low'
+            when ratio >= 0.01 or suspicious >= 8 or regions >= 4 then 'low'
+            when suspicious > 0 or quality < 0.95 then 'medium' when quality >= 0.98 then 'high' else 'medium' end as trust,
+          case when useful = 0 then 'unknown'
+            when ratio >= 0.01 or suspicious >= 8 or regions >= 4 then 'embedded_ocr_or_corrupt_mapping_likely'
+            when suspicious > 0 or quality < 0.95 then 'unknown' when quality >= 0.98 then 'born_digital_likely' else 'unknown' end as origin from q)
 """
 
 
-@query(_TRUST + "select doc_id, trust, origin, regions as n_regions, case when useful < 120 or quality < 0.82 or trust = 'LOW' then 'OCR_REQUIRED' else 'NATIVE' end as page_mode from t")
+@query(_TRUST + "select doc_id, trust, origin, regions as n_regions, case when useful < 120 or quality < 0.82 or trust = 'low' then 'ocr_required' else 'native' end as page_mode from t")
 def text_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trust, origin and mode of each page; no expected script here, so noise tokens don't count."""
     found = pages.assessed(_pages(spark, sf_dir))

@@ -111,7 +111,7 @@ _REGIONS += [("d", 2, 0, [0.0, 0.0, 600.0, 850.0], 2480, 3508, 600.0, 850.0)]
 
 @query(
     """select * from (values (1, 'image_region', 4, null), (1, 'suspect_native_text', 0, null), (2, 'full_page', null, null),
-         (2, 'suspect_native_text', 0, 'scan_like_page_has_full_ocr'), (2, 'image_region', 0, 'scan_background_covered_by_full_page_ocr'))
+         (2, 'suspect_native_text', 0, 'redundant_with_full_page_ocr_scan_like_text_layer'), (2, 'image_region', 0, 'duplicate_of_full_page_ocr_background_image'))
        v(page_number, kind, source_index, suppress_reason)"""
 )
 def target_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ def test_trust_rules(spark):
     rows = [(0, 0.0, 0, 0, 0.0, 0, 0.9), (0, 0.0, 0, 0, 0.0, 0, 0.0), (900, 0.9, 15, 0, 0.001, 5, 0.0), (900, 0.94, 0, 0, 0.0, 0, 0.0), (900, 0.99, 0, 0, 0.0, 0, 0.1), (900, 0.96, 0, 0, 0.0, 0, 0.1), (900, 0.99, 0, 1, 0.0, 0, 0.1)]
     frame = spark.createDataFrame(rows, "c int, q double, g int, t int, r double, s int, i double")
     found = frame.select(pages.trust(*map(F.col, "cqgtrsi")).alias("t")).collect()
-    assert [r.t.trust for r in found] == ["LOW", "LOW", "LOW", "MEDIUM", "HIGH", "MEDIUM", "LOW"]
-    assert [r.t.origin for r in found][:3] == ["SCAN_LIKE", "UNKNOWN", "EMBEDDED_OCR_OR_CORRUPT_MAPPING_LIKELY"]
+    assert [r.t.trust for r in found] == ["low", "low", "low", "medium", "high", "medium", "low"]
+    assert [r.t.origin for r in found][:3] == ["scan_like", "unknown", "embedded_ocr_or_corrupt_mapping_likely"]
 
 
 def test_alignment_classes(spark):
@@ -90,7 +90,7 @@ def test_reconciliation_statuses(spark):
     assert found["r4"].selected_source == "ocr_supplement" and found["r5"].reason == "not_executed_no_backend"
 
 
-GOOD = dict(candidate="x", protected=False, coordinate_match=True, ocr_confidence=0.9, noise_before=2, noise_after=0, support=True, similarity=0.9, length_ratio=1.0, trust="LOW")
+GOOD = dict(candidate="x", protected=False, coordinate_match=True, ocr_confidence=0.9, noise_before=2, noise_after=0, support=True, similarity=0.9, length_ratio=1.0, trust="low")
 
 
 @pytest.mark.parametrize(
@@ -98,9 +98,9 @@ GOOD = dict(candidate="x", protected=False, coordinate_match=True, ocr_confidenc
     [
         ({}, "AUTO_REPAIRED", "ocr_geometry_context_and_independent_page_ocr_agree"),
         ({"support": None}, "REVIEW_REQUIRED", "no_full_page_corroboration"),
-        ({"support": None, "trust": "MEDIUM"}, "AUTO_REPAIRED", "ocr_geometry_context_and_independent_page_ocr_agree"),
-        ({"support": None, "trust": "MEDIUM", "similarity": 0.8}, "REVIEW_REQUIRED", "repair_not_safe_to_auto_apply"),
-        ({"support": False, "trust": "MEDIUM"}, "REVIEW_REQUIRED", "repair_not_safe_to_auto_apply"),
+        ({"support": None, "trust": "medium"}, "AUTO_REPAIRED", "ocr_geometry_context_and_independent_page_ocr_agree"),
+        ({"support": None, "trust": "medium", "similarity": 0.8}, "REVIEW_REQUIRED", "repair_not_safe_to_auto_apply"),
+        ({"support": False, "trust": "medium"}, "REVIEW_REQUIRED", "repair_not_safe_to_auto_apply"),
         ({"protected": True}, "REVIEW_REQUIRED", "protected_legal_or_numeric_content"),
         ({"candidate": None}, "REVIEW_REQUIRED", "missing_native_or_ocr_candidate"),
         ({"coordinate_match": None, "ocr_confidence": None}, "REVIEW_REQUIRED", "coordinate_mismatch;low_ocr_confidence"),
@@ -115,7 +115,7 @@ def test_repair_verdicts(spark, change, status, reason):
 
 
 def test_repair_applies_unique_spans_only(spark):
-    page = spark.createDataFrame([("d", 1, "前のΧΧ文、 後のЖ文 Ж", "MEDIUM")], "document string, page_number int, native_text string, trust string")
+    page = spark.createDataFrame([("d", 1, "前のΧΧ文、 後のЖ文 Ж", "medium")], "document string, page_number int, native_text string, trust string")
     schema = "document string, page_number int, record_id string, native string, candidate string, status string, reason string"
     decided = spark.createDataFrame([("d", 1, "a", "ΧΧ", "良い", "AUTO_REPAIRED", "ok"), ("d", 1, "b", "Ж", "別", "AUTO_REPAIRED", "ok")], schema)
     repaired, checked = reconciliation.repair(page, decided)
@@ -130,7 +130,7 @@ def test_ingest_resumes(spark, tmp_path):
     marks = spark.createDataFrame([("d", 1, "m1", "yellow", "NEEDS_REVIEW")], "document string, page_number int, id string, color string, review_status string")
     run = ingest.Run(spark, f"file://{tmp_path}", "run1")
     first = {r.page_number: r for r in ingest.ingest(run, table, evidence(spark, rows), marks, "h1").collect()}
-    assert first[2].canonical_text == "認識した文" and first[2].trust == "LOW" and first[1].canonical_source == "reconciled_text"
+    assert first[2].canonical_text == "認識した文" and first[2].trust == "low" and first[1].canonical_source == "reconciled_text"
     assert first[1].task.review_categories == ["image_region_page", "visual_markup_page"] and first[2].task is None
     assert run.reused == []
     again = ingest.Run(spark, f"file://{tmp_path}", "run1")
