@@ -58,30 +58,36 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r.word for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-class Coder:
-    """Words to numbers: 0 is any other word, 1 a text's beginning."""
+def coded(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, ids) for every row: tokens as 16-bit numbers; 0 is a word outside the vocabulary, 1 a text's beginning."""
+    if len(words) > (1 << 16) - 2:
+        raise ValueError("the vocabulary must fit 16 bits")
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 2)})
 
-    def __init__(self, words: list[str]) -> None:
-        self.ids = {w: i for i, w in enumerate(words, 2)}
-        self.size = len(words) + 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in bounded(batches, "text"):
+            texts = (_WORD.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist())
+            ids = [np.array([get(w, 0) for w in t], np.uint16).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
-    def pairs(self, text: str) -> np.ndarray:
-        """For each token the number of its pair: previous * size + own."""
-        get = self.ids.get
-        ids = np.array([1, *[get(w, 0) for w in _WORD.findall(text.lower())]], np.int64)
-        return ids[:-1] * self.size + ids[1:]
 
+def _pairs(ids: bytes, size: int) -> np.ndarray:
+    """For each token the number of its pair: previous * size + own."""
+    own = np.frombuffer(ids, np.uint16).astype(np.int64)
+    return np.concatenate([[1], own[:-1]]) * size + own if len(own) else own
 
-def pair_counts(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(pair, background, target): counts of token pairs over all rows (text, good)."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+def pair_counts(rows: DataFrame, size: int) -> DataFrame:
+    """(pair, background, target): counts of token pairs over all rows (ids, good), for numbers below `size`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
-        counts = np.zeros((2, coder.size**2), np.int32)
-        for batch in bounded(batches, "text"):
+        counts = np.zeros((2, size * size), np.int32)
+        for batch in bounded(batches, "ids"):
             good = batch.column("good").to_pylist()
-            found = [coder.pairs(t) for t in batch.column("text").to_pylist()]
+            found = [_pairs(t, size) for t in batch.column("ids").to_pylist()]
             for side, chosen in ((0, found), (1, [f for f, g in zip(found, good, strict=True) if g])):
                 if chosen:
                     pairs, n = np.unique(np.concatenate(chosen), return_counts=True)
@@ -117,13 +123,13 @@ def score(docs: DataFrame, labels: DataFrame, words: int = VOCABULARY) -> DataFr
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = vocabulary(source, words)
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    good = stage(good.withColumn("good", F.lit(True)), "good")
-    marked = source.where("text is not null").join(good, "doc_id", "left")
-    counted = pair_counts(marked.select("text", F.coalesce("good", F.lit(False)).alias("good")), known)
     size = len(known) + 2
+    tokens = stage(coded(source, known), "tokens")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # labels grow with the documents, so they are never broadcast; token numbers are shuffled, not texts
+    marked = tokens.join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
+    counted = stage(pair_counts(marked.select("ids", F.coalesce("good", F.lit(False)).alias("good")), size), "pairs")
     tables = np.zeros((2, size * size), np.float64)
-    counted = stage(counted, "pairs")
     found = counted.toArrow()
     pairs = found.column("pair").to_numpy()
     tables[0][pairs] = found.column("background").to_numpy()
@@ -131,15 +137,14 @@ def score(docs: DataFrame, labels: DataFrame, words: int = VOCABULARY) -> DataFr
     if not tables[1].any():
         tables[1] = tables[0]
     tables = np.stack([losses(t.reshape(size, size)).ravel() for t in tables])
-    shared = spark.sparkContext.broadcast((known, tables))
+    shared = spark.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (background, target) = shared.value
-        coder = Coder(words)
-        for batch in bounded(batches, "text"):
+        background, target = shared.value
+        for batch in bounded(batches, "ids"):
             rows = []
-            for text in batch.column("text").to_pylist():
-                pairs = coder.pairs(text or "")
+            for ids in batch.column("ids").to_pylist():
+                pairs = _pairs(ids, size)
                 n = len(pairs)
                 means = [float(t[pairs].sum(dtype=np.float64)) / n for t in (target, background)] if n else [None] * 2
                 rows.append((n, *means, means[1] - means[0] if n else None))
@@ -148,6 +153,6 @@ def score(docs: DataFrame, labels: DataFrame, words: int = VOCABULARY) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     names = ["doc_id", "n_tokens", "target_bits", "background_bits", "score"]
-    return source.mapInArrow(
+    return tokens.mapInArrow(
         run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double"
     )
