@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -33,3 +38,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their Python path or folder has it already."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    known = [Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]]
+    if app in _SHIPPED or root in known or any((p / "evidentia").is_dir() for p in known):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        tree = Path(folder, "tree")
+        shutil.copytree(root / "evidentia", tree / "evidentia", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(), "evidentia")), "zip", tree)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
