@@ -30,6 +30,19 @@ def query(f):
     return f
 
 
+def _matches(kind: str, rank: int, pattern: str, keep: str = "true", more: str = "") -> str:
+    """SQL for spans (doc_id, kind, rank, start, stop) of the matches of `pattern` that `keep` holds for, as match m.
+
+    A match starts after all gaps up to it and all matches before it.
+    """
+    return rf"""
+      select doc_id, '{kind}' as kind, {rank} as rank, a::bigint as start, (a + length(m))::bigint as stop{', ' * bool(more)}{more} from (
+        select doc_id, m, sum(length(g)) over w + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a
+        from (select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as m, unnest(string_split_regex(text, '{pattern}')) as g,
+                unnest(range(1, 2 + len(regexp_extract_all(text, '{pattern}')))) as i from t where regexp_matches(text, '{pattern}'))
+        window w as (partition by doc_id order by i)) where m is not null and {keep}"""
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(load(spark, sf_dir, "documents"))
@@ -43,19 +56,6 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _matches(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
-    """SQL for spans (doc_id, kind, rank, start, stop) of the matches of `pattern` that `keep` holds for, as match m.
-
-    A match starts after all gaps up to it and all matches before it.
-    """
-    return rf"""
-      select doc_id, '{kind}' as kind, {rank} as rank, a as start, a + length(m) as stop from (
-        select doc_id, m, sum(length(g)) over w + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as a
-        from (select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as m, unnest(string_split_regex(text, '{pattern}')) as g,
-                unnest(range(1, 2 + len(regexp_extract_all(text, '{pattern}')))) as i from t where regexp_matches(text, '{pattern}'))
-        window w as (partition by doc_id order by i)) where m is not null and {keep}"""
-
-
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}"""
 _ENDPOINT = r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\x00-\x20"''<>]+"""
@@ -160,6 +160,44 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in figures])
 
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_LUHN = """length(regexp_replace(m, '[^0-9]', '', 'g')) between 14 and 19 and list_sum(list_transform(
+    range(0, length(regexp_replace(m, '[^0-9]', '', 'g'))), lambda k: case when k % 2 = 0 then 1 else 2 end
+      * substring(reverse(regexp_replace(m, '[^0-9]', '', 'g')), k + 1, 1)::int
+      - case when k % 2 = 1 and substring(reverse(regexp_replace(m, '[^0-9]', '', 'g')), k + 1, 1)::int > 4 then 9 else 0 end)) % 10 = 0"""
+_BYTES = "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(right(concat('0', ltrim(p, '0')), 4) as int), 999) > 255)) = 0"
+_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(%s), '{_LETTERS}'), lambda w: length(w) >= 3))"
+
+ORACLE_SQL["op6_personal_data"] = rf"""
+    with t as (select doc_id, coalesce(text, '') as text from documents),
+    base as ({_matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")}
+      union all {_matches("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _BYTES)}
+      union all {_matches("card", 2, r"[0-9]([\x20-]?[0-9])+", _LUHN)}
+      union all {_matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) between 10 and 15")}),
+    kinds as (select b.doc_id, kind, min(substring(text, start + 1, stop - start)) as least from base b join t on t.doc_id = b.doc_id group by 1, 2),
+    cut as (select *, coalesce(max(stop) over (partition by doc_id order by start, rank rows between unbounded preceding and 1 preceding), 0) as seen from base),
+    segment as (select c.doc_id, substring(text, seen + 1, start - seen) as s from cut c join t on t.doc_id = c.doc_id where start >= seen
+      union all select c.doc_id, substring(text, max(stop) + 1) from cut c join t on t.doc_id = c.doc_id group by c.doc_id, text),
+    other as (select distinct doc_id, unnest({_TERMS % "s"}) as term from segment),
+    raw as (select doc_id, unnest({_TERMS % "text"}) as term from t),
+    df as (select term, sum(n) as df from (select term, 1 as n from raw union all select term, 1 from other
+      union all select term, -1 from raw where doc_id in (select doc_id from kinds)) group by 1),
+    beside as (select term, kind, count(*) as df_kind, count(distinct least) as n_values from other o join kinds k on k.doc_id = o.doc_id group by 1, 2 having count(distinct least) >= 10),
+    rate as (select kind, count(*) as n_kind, (select count(*) from t) as n from kinds group by 1),
+    risky as (select b.term, b.kind, log2(df_kind * n / (n_kind::double * df)) / -log2(n_kind / n) as d from beside b join rate r on r.kind = b.kind join df on df.term = b.term where n_kind < n),
+    worst as (select o.doc_id, o.term, max(d) as d from other o join kinds k on k.doc_id = o.doc_id join risky r on r.term = o.term and r.kind = k.kind where d >= 0.8 group by 1, 2),
+    word as ({_matches("word", 4, _LETTERS, "true", "lower(m) as term")}),
+    extra as (select w.doc_id, case when d >= 0.95 then 'term_removed' else 'term_generalised' end as kind, 4 as rank, start, stop
+      from word w join worst x on x.doc_id = w.doc_id and x.term = w.term
+      where not exists (select 1 from base c where c.doc_id = w.doc_id and c.start < w.stop and w.start < c.stop)),
+    b as (select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card,
+        count(*) filter (kind = 'phone') as n_phone, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from base group by 1),
+    e as (select doc_id, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from (from base union all from extra) group by 1)
+    select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+      sha256(coalesce(b.joined, '')) as base_sha256, coalesce(e.joined, '') as spans from t left join b on b.doc_id = t.doc_id left join e on e.doc_id = t.doc_id
+"""
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan(load(spark, sf_dir, "documents"))

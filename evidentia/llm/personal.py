@@ -81,12 +81,13 @@ def _counts(rows: DataFrame, terms: Column, sign: int) -> DataFrame:
 def holders(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base, other, kinds) of rows with base findings; other is the text without them.
 
-    kinds holds each kind present with the smallest hash of its values.
+    kinds holds each kind present with a hash of the smallest of its values.
     """
     rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    value = lambda s: F.xxhash64(F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"]))
-    own = lambda k: F.array_min(F.transform(F.filter("base", lambda s: s["kind"] == k), value))
+    value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"])
+    least = lambda k: F.array_min(F.transform(F.filter("base", lambda s: s["kind"] == k), value))
+    own = lambda k: let(least(k), lambda v: F.when(v.isNotNull(), F.xxhash64(v)))
     kinds = F.filter(
         F.array(*[F.struct(F.lit(k).alias("kind"), own(k).alias("value")) for k in KINDS]),
         lambda x: x["value"].isNotNull(),
