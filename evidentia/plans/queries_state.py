@@ -127,7 +127,7 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select n_name as nation, o_orderpriority as priority, count(*) as n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
+    """select n_name as nation, o_orderpriority as priority, count(*) as n_orders, sum(round(l_extendedprice * (1 - l_discount), 4)::decimal(20, 4))::double as revenue
        from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where l_returnflag = 'R' group by 1, 2"""
 )
 def returned_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,5 +138,6 @@ def returned_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == customers.c_custkey)
     rows = rows.join(nations, F.col("c_nationkey") == nations.n_nationkey)
-    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+    exact = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(20,4)")  # sums alike in any order
+    revenue = F.sum(exact).cast("double")
     return rows.groupBy(F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n_orders"), revenue.alias("revenue"))
