@@ -37,7 +37,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, by name."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return _spread(spark.read.parquet(path), path)
+
+
+#: Bytes of a table that is dealt out anew after reading, if it has fewer files than the session has cores.
+SPREAD = (1 << 20, 64 << 20)
+
+
+def _spread(df: DataFrame, path: str) -> DataFrame:
+    """A small table in few files, each of one row group, over all cores; it would be read by as many tasks as files.
+
+    Larger tables are left as they are read: nothing of theirs is shuffled for this.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if SPREAD[0] <= held.getLength() <= SPREAD[1] and held.getFileCount() < cores else df
 
 
 _SHIPPED: set[str] = set()
