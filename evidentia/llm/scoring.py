@@ -1,109 +1,189 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both are word bigram models over one vocabulary, the most frequent words of all documents.
-The target model counts the documents labelled good, the background model all. Each token's
-loss under either is known from a table of word pairs; a document's score is the mean of
+Both are word bigram models over every word of all documents. The target model counts the
+documents labelled good, the background model all; a document's score is the mean of
 background loss less target loss, so that it is high where the target explains a text better.
+
+The counts are a table that grows with the corpus and is never gathered in one place. Texts
+are read once, into chunks of some MB whose tokens are numbered within the chunk. A chunk asks
+for each word, context and pair that it holds once, however often it holds it, so that a hot
+pair has no more rows than there are chunks. Requests go by digest to buckets, which add them
+up and answer in the order asked; a chunk with its answers is scored alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.text import bounded
 from evidentia.staging import stage
 
-#: Words of the vocabulary, without the marks for other words and for a text's beginning.
-#: The two loss tables, of VOCABULARY squared floats each, are what tasks are sent.
-VOCABULARY = 2_046
 #: Weight of the unigram model in a bigram estimate, in counts, and what is added to each unigram count.
 BACKOFF = 100.0
 ADDED = 0.5
 _WORD = re.compile(r"\w+")
-#: Words a task counts before it hands counts on.
-_HELD = 400_000
+#: Characters of text after which a chunk ends; a longer text is a chunk of its own.
+CHUNK = 8 << 20
+#: Tokens of the corpus to a bucket: the fewest while there are under BUCKETS of them, and the most.
+FEWEST, MOST = 1 << 13, 1 << 22
+BUCKETS = 1_024
+#: Digest of a text's beginning, and what tells words, contexts and pairs apart in two low bits.
+_BEGIN = np.uint64(0x9E3779B97F4A7C15)
+_OWN, _CONTEXT, _PAIR = (np.uint64(k) for k in range(3))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The `size` most frequent words of all documents; ties go to the smaller word."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True) + len(numbers).to_bytes(8, "little")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            for lo in range(0, len(words), 50_000):
-                part = words[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"]
-                )
-            counts.clear()
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[-8:], "little")
+    planes = np.frombuffer(pa.decompress(data[:-8], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
 
-        for batch in bounded(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                counts.update(_WORD.findall(text.lower()))
-            if len(counts) > _HELD:
-                yield from out()
-        yield from out()
 
-    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    words = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, doc_ids, sizes, words, tokens, n): each row of `docs` in one chunk, with its count of tokens.
 
-
-def coded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ids) for every row: tokens as 16-bit numbers; 0 is a word outside the vocabulary, 1 a text's beginning."""
-    if len(words) > (1 << 16) - 2:
-        raise ValueError("the vocabulary must fit 16 bits")
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 2)})
+    words holds digests of the chunk's distinct words, tokens the place of each token's word there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for batch in bounded(batches, "text"):
-            texts = (_WORD.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist())
-            ids = [np.array([get(w, 0) for w in t], np.uint16).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def _pairs(ids: bytes, size: int) -> np.ndarray:
-    """For each token the number of its pair: previous * size + own."""
-    own = np.frombuffer(ids, np.uint16).astype(np.int64)
-    return np.concatenate([[1], own[:-1]]) * size + own if len(own) else own
+        task, nth = TaskContext.get().partitionId() << 32, 0
+        places, ids, sizes, tokens, held = {}, [], [], [], 0
 
+        def out() -> pa.RecordBatch:
+            words = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in places), np.uint64, len(places))
+            own = np.concatenate(tokens)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            row = (task + nth, ids, _packed(np.array(sizes, np.int64)), words.tobytes(), _packed(own), len(own))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-def pair_counts(rows: DataFrame, size: int) -> DataFrame:
-    """(pair, background, target): counts of token pairs over all rows (ids, good), for numbers below `size`."""
+        for batch in bounded(batches, "text"):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = _WORD.findall(text.lower()) if text else []
+                ids.append(doc_id)
+                sizes.append(len(found))
+                tokens.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int64, len(found)))
+                held += len(text or "")
+                if held >= CHUNK:
+                    yield out()
+                    places, ids, sizes, tokens, held, nth = {}, [], [], [], 0, nth + 1
+        if ids:
+            yield out()
+
+    names = ["chunk", "doc_ids", "sizes", "words", "tokens", "n"]
+    schema = "chunk long, doc_ids array<long>, sizes binary, words binary, tokens binary, n long"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Held:
+    """What a chunk holds: keys of words, then of contexts, then of pairs, and the order in which they are asked for."""
+
+    def __init__(self, row: dict) -> None:
+        words, self.sizes = np.frombuffer(row["words"], np.uint64), _unpacked(row["sizes"])
+        self.own, self.n_words = _unpacked(row["tokens"]), len(words)
+        self.before = np.empty_like(self.own)
+        self.before[1:] = self.own[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = self.n_words  # a text's beginning
+        pairs, self.pair = np.unique(self.before * (self.n_words + 1) + self.own, return_inverse=True)
+        self.first, self.second = np.divmod(pairs, self.n_words + 1)
+        known = np.append(words, _BEGIN)
+        both = _mixed(_mixed(known[self.first]) + known[self.second])
+        kinds = ((words, _OWN), (known, _CONTEXT), (both, _PAIR))
+        self.keys = np.concatenate([_mixed(x) & ~np.uint64(3) | kind for x, kind in kinds])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self, chosen: np.ndarray | slice) -> np.ndarray:
+        """How often the `chosen` tokens hold each key."""
+        sides = ((self.own, self.n_words), (self.before, self.n_words + 1), (self.pair, len(self.first)))
+        return np.concatenate([np.bincount(x[chosen], minlength=n) for x, n in sides])
+
+    def bits(self, counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
+        """Each text's sum of losses under a model of `counts`, which are of these keys."""
+        ahead, contexts, pairs = np.split(counts, [self.n_words, 2 * self.n_words + 1])
+        unigram = (ahead[self.second] + ADDED) / (tokens + ADDED * words)
+        lost = -np.log2((pairs + BACKOFF * unigram) / (contexts[self.first] + BACKOFF))
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(text, weights=lost[self.pair], minlength=len(self.sizes))
+
+
+def requests(held: DataFrame, good: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, keys, background, target): each chunk's keys and own counts, a row for each bucket it needs.
+
+    `good` (chunk, place) says which of a chunk's texts are of the target; `buckets` is a power of 2.
+    """
+    width = buckets.bit_length() - 1
+
+    def run(chunk: pa.Table, places: pa.Table) -> pa.Table:
+        rows = []
+        for row in chunk.to_pylist():
+            found = _Held(row)
+            target = np.zeros(len(found.sizes), bool)
+            target[places.column("place").to_numpy()] = True
+            keys = found.keys[found.order]
+            sides = [found.counts(x)[found.order] for x in (slice(None), np.repeat(target, found.sizes))]
+            edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - width)) if width else []
+            ends = [0, *np.asarray(edges).tolist(), len(keys)]
+            for bucket, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if a < b:
+                    gaps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    rows.append((bucket, row["chunk"], _packed(gaps), *[_packed(x[a:b]) for x in sides]))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.Table.from_arrays(columns, ["bucket", "chunk", "keys", "background", "target"])
+
+    sides = held.groupBy("chunk").cogroup(good.groupBy("chunk"))
+    return sides.applyInArrow(run, "bucket int, chunk long, keys binary, background binary, target binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(chunk, bucket, background, target, words, n, n_target): sums over all chunks, in the order each asked.
+
+    The last three are the bucket's distinct words and their counts, in one of its rows and 0 in others.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size * size), np.int32)
-        for batch in bounded(batches, "ids"):
-            good = batch.column("good").to_pylist()
-            found = [_pairs(t, size) for t in batch.column("ids").to_pylist()]
-            for side, chosen in ((0, found), (1, [f for f, g in zip(found, good, strict=True) if g])):
-                if chosen:
-                    pairs, n = np.unique(np.concatenate(chosen), return_counts=True)
-                    counts[side][pairs] += n.astype(np.int32)
-        seen = np.flatnonzero(counts[0])
-        for lo in range(0, len(seen), 100_000):
-            part = seen[lo : lo + 100_000]
-            columns = [part, counts[0][part].astype(np.int64), counts[1][part].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pair", "background", "target"])
-
-    counted = rows.mapInArrow(run, "pair long, background long, target long")
-    return counted.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        word = distinct & np.uint64(3) == _OWN
+        sums, packed = [int(word.sum())], []
+        for side in ("background", "target"):
+            own = np.concatenate([_unpacked(x) for x in table.column(side).to_pylist()])
+            total = np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64)  # exact below 2^53
+            sums.append(int(total[word].sum()))
+            packed.append(pa.array([_packed(x) for x in np.split(total[place], cuts)], pa.binary()))
+        once = [pa.array([x] + [0] * (len(keys) - 1), pa.int64()) for x in sums]
+        names = ["chunk", "bucket", "background", "target", "words", "n", "n_target"]
+        return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *packed, *once], names)
+
+    schema = "chunk long, bucket int, background binary, target binary, words long, n long, n_target long"
+    return asked.groupBy("bucket").applyInArrow(run, schema)
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
-    """Loss in bits of each word after each other, from pair counts [previous, own]."""
+    """Loss in bits of each word after each other, from all pair counts [previous, own]; 1 is a text's beginning.
+
+    The model in dense form, for vocabularies that are small.
+    """
     ahead = counts.sum(axis=0) + ADDED
     ahead[1] = 0  # nothing is followed by a beginning
     unigram = ahead / ahead.sum()
@@ -112,7 +192,7 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log2(estimate).astype(np.float32)
 
 
-def score(docs: DataFrame, labels: DataFrame, words: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_bits, background_bits, score) for every row of `docs` (doc_id, text).
 
     `labels` (doc_id, quality) names the target: documents with a label of quality 1. Bits are means
@@ -120,39 +200,32 @@ def score(docs: DataFrame, labels: DataFrame, words: int = VOCABULARY) -> DataFr
     has null figures. Without a target every score is 0. A document labelled twice is good if any
     label says so; rows that repeat a doc_id share its label, rows without one have none.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = vocabulary(source, words)
-    size = len(known) + 2
-    tokens = stage(coded(source, known), "tokens")
+    held = stage(chunks(source), "chunks")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # labels grow with the documents, so they are never broadcast; token numbers are shuffled, not texts
-    marked = tokens.join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    counted = stage(pair_counts(marked.select("ids", F.coalesce("good", F.lit(False)).alias("good")), size), "pairs")
-    tables = np.zeros((2, size * size), np.float64)
-    found = counted.toArrow()
-    pairs = found.column("pair").to_numpy()
-    tables[0][pairs] = found.column("background").to_numpy()
-    tables[1][pairs] = found.column("target").to_numpy()
-    if not tables[1].any():
-        tables[1] = tables[0]
-    tables = np.stack([losses(t.reshape(size, size)).ravel() for t in tables])
-    shared = spark.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = shared.value
-        for batch in bounded(batches, "ids"):
-            rows = []
-            for ids in batch.column("ids").to_pylist():
-                pairs = _pairs(ids, size)
-                n = len(pairs)
-                means = [float(t[pairs].sum(dtype=np.float64)) / n for t in (target, background)] if n else [None] * 2
-                rows.append((n, *means, means[1] - means[0] if n else None))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+    # labels grow with the documents, so they are never broadcast; ids are shuffled to them, not texts
+    places = held.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id")).where("doc_id is not null")
+    places = stage(places.join(good.hint("merge"), "doc_id", "left_semi").select("chunk", "place"), "places")
+    tokens = held.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << (max(min(tokens // FEWEST, BUCKETS), tokens // MOST, 1) - 1).bit_length()
+    told = stage(answers(requests(held, places, buckets)), "answers")
+    words, n, n_target = (x or 0 for x in told.agg(F.sum("words"), F.sum("n"), F.sum("n_target")).first())
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        found, parts = found.sort_by("bucket"), []
+        for row in chunk.to_pylist():
+            asked, sums = _Held(row), []
+            for side, total in (("target", n_target), ("background", n)) if n_target else (("background", n),) * 2:
+                counts = np.empty(len(asked.keys), np.int64)
+                counts[asked.order] = np.concatenate([_unpacked(x) for x in found.column(side).to_pylist()])
+                sums.append(asked.bits(counts, total, words))
+            empty, sizes = asked.sizes == 0, np.maximum(asked.sizes, 1)
+            means = [x / sizes for x in sums]
+            figures = [pa.array(x, pa.float64(), mask=empty) for x in (*means, means[1] - means[0])]
+            parts.append(pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(asked.sizes), *figures], names))
+        return pa.concat_tables(parts) if parts else pa.schema(zip(names, kinds, strict=True)).empty_table()
 
     names = ["doc_id", "n_tokens", "target_bits", "background_bits", "score"]
-    return tokens.mapInArrow(
-        run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double"
-    )
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    sides = held.groupBy("chunk").cogroup(told.groupBy("chunk"))
+    return sides.applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")

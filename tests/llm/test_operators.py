@@ -1,6 +1,7 @@
 """Operators on odd tables and planted cases."""
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -264,3 +265,38 @@ def test_word_counts_match_split(small):
     docs = small.select("doc_id", "text", "source")
     got = {r.doc_id: r["size"] for r in mixing.sizes(docs).collect()}
     assert got == {r.doc_id: len(brute.words(r.text)) for r in docs.collect()}
+
+
+def test_every_word_and_pair_is_scored(spark, monkeypatch):
+    """More words than any fixed table held: figures are those of counts over all words and pairs."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.3)) % 40_000}" for _ in range(rng.randint(0, 90))) for _ in range(400)]
+    texts += ["common rare1 common", "common rare2 common", None]
+    good = {i for i in range(len(texts)) if i % 3 == 0} | {400}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id long, quality int")
+    split = [[None, *t.split()] if t else [None] for t in texts]
+    models = []
+    for chosen in (good, range(len(texts))):
+        pairs = Counter(p for i in chosen for p in zip(split[i], split[i][1:], strict=False))
+        before, own = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            before[a] += n
+            own[b] += n
+        models.append((pairs, before, own))
+    size = len(models[1][2])
+    assert size > 2_046
+
+    def bits(model, text):
+        pairs, before, own = model
+        unigram = lambda b: (own[b] + scoring.ADDED) / (sum(own.values()) + scoring.ADDED * size)
+        lost = [-np.log2((pairs[a, b] + scoring.BACKOFF * unigram(b)) / (before[a] + scoring.BACKOFF)) for a, b in zip(text, text[1:], strict=False)]
+        return sum(lost) / len(lost)
+
+    monkeypatch.setattr(scoring, "FEWEST", 1 << 10)
+    found = {r.doc_id: r for r in scoring.score(frame(spark, texts).repartition(5), labels).collect()}
+    assert len(found) == len(texts) and found[402].score is None
+    for i, text in enumerate(split):
+        assert found[i].n_tokens == len(text) - 1
+        if len(text) > 1:
+            assert np.allclose([found[i].target_bits, found[i].background_bits], [bits(m, text) for m in models])
+    assert found[400].score > found[401].score  # they differ in a rare word only
