@@ -101,10 +101,12 @@ def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """(doc_id, start, stop, kept): runs of chunks that occur in several documents, of `min_span` characters or more.
 
     A digest goes with its chunk's length; a run of chunks that other documents lack is never
-    reported, so that a chance collision would have to befall neighbours to matter. kept is true
-    where the document is the first (smallest doc_id) to hold each chunk of the run. Null texts
-    have none; rows without a doc_id take no part; rows that repeat a doc_id are one document;
-    repeats inside a single document don't count.
+    reported, so that a chance collision would have to befall neighbours to matter. `min_span` is
+    asked of a run as a whole, which is then split where its chunks' fates change. kept is true
+    where the document is the first (smallest doc_id) to hold each chunk of the part, among those
+    that hold it in such a run, or of all if there is but one of those. Null texts have none; rows
+    without a doc_id take no part; rows that repeat a doc_id are one document; repeats inside a
+    single document don't count.
     """
     found = stage(chunks(docs), "chunks")
     size = F.col("stop") - F.col("start")
@@ -112,15 +114,22 @@ def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
         F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
     repeated = stage(held.where("first_doc < last_doc").select("digest", "size", "first_doc"), "repeated")
-    hits = found.withColumn("size", size).join(repeated, ["digest", "size"]).select(
-        "doc_id", "nth", "start", "stop", (F.col("doc_id") == F.col("first_doc")).alias("kept")
+    hits = found.withColumn("size", size).join(repeated, ["digest", "size"])
+    # neighbours make a run: their places less their ranks are equal
+    run = F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("nth"))
+    whole = W.partitionBy("doc_id", "run")
+    hits = hits.withColumn("run", run).withColumn("chars", F.max("stop").over(whole) - F.min("start").over(whole))
+    hits = stage(hits.where(F.col("chars") >= min_span).drop("chars"), "hits")
+    # an earlier document that holds a chunk outside any passage doesn't keep it for the passage's copies
+    keepers = hits.groupBy("digest", "size").agg(
+        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last_doc"), F.min("first_doc").alias("first_doc")
     )
-    # neighbours of one fate make a run: their places less their ranks are equal
-    order = W.partitionBy("doc_id", "kept").orderBy("nth")
-    runs = hits.withColumn("run", F.col("nth") - F.dense_rank().over(order)).groupBy("doc_id", "kept", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop")
-    )
-    return runs.where(F.col("stop") - F.col("start") >= min_span).select("doc_id", "start", "stop", "kept")
+    keepers = stage(keepers.where("first_doc < keeper and keeper < last_doc").select("digest", "size", "keeper"), "keepers")
+    kept = F.col("doc_id") == F.coalesce("keeper", "first_doc")
+    hits = hits.join(keepers, ["digest", "size"], "left").select("doc_id", "run", "nth", "start", "stop", kept.alias("kept"))
+    part = F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id", "run", "kept").orderBy("nth"))
+    parts = hits.withColumn("part", part).groupBy("doc_id", "run", "kept", "part")
+    return parts.agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc_id", "start", "stop", "kept")
 
 
 def shared_documents(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:

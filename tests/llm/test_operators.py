@@ -300,3 +300,19 @@ def test_every_word_and_pair_is_scored(spark, monkeypatch):
         if len(text) > 1:
             assert np.allclose([found[i].target_bits, found[i].background_bits], [bits(m, text) for m in models])
     assert found[400].score > found[401].score  # they differ in a rare word only
+
+
+def test_a_passage_is_measured_before_its_parts(spark):
+    """A document that holds one chunk of a passage doesn't hide the copy that the passage's other copies give way to."""
+    passage = PASSAGE[:200]
+    texts = [f"{PROSE[4]} {passage[5:115]} {PROSE[4][:50]}", f"{PROSE[0]} {passage} {PROSE[1]}", f"{PROSE[2]} {passage} {PROSE[3]}"]
+    docs = frame(spark, texts)
+    chunks = {}
+    for r in substrings.chunks(docs).collect():
+        chunks.setdefault(r.digest, set()).add(r.doc_id)
+    assert {0, 1, 2} in chunks.values() and {1, 2} in chunks.values()
+    found = {r.doc_id: r for r in substrings.shared_documents(docs).collect()}
+    assert set(found) == {1, 2} and found[1].removed_chars == 0 and found[1].n_spans == 1
+    assert found[2].removed_chars == found[2].shared_chars == found[1].shared_chars >= substrings.MIN_SPAN
+    clean = {r.doc_id: r.text for r in substrings.deduplicate(docs).collect()}
+    assert (clean[0], clean[1]) == (texts[0], texts[1]) and passage not in clean[2]
