@@ -57,7 +57,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}"""
+_IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|client_?id|account(?:_?id)?)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
 _ENDPOINT = r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\x00-\x20"''<>]+"""
 _MIXED = "length(m) >= 20 and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')"
 
@@ -70,9 +70,10 @@ ORACLE_SQL["op7_secret_scan"] = rf"""
       union all {_matches("linked_secret", 4, "[A-Za-z0-9+/_=-]+", _MIXED)}
       union all {_matches("linked_endpoint", 5, _ENDPOINT)}),
     part as (select *, case when kind in ('access', 'linked_id') then 'i' when kind = 'linked_endpoint' then 'o' else 's' end as side from (from base union all from weak)),
-    scoped as (select *, unnest([start // 200 - 1, start // 200]) as scope from part),
-    extra as (select distinct a.doc_id, a.kind, a.rank, a.start, a.stop from scoped a join scoped b on b.doc_id = a.doc_id and b.scope = a.scope
+    placed as (select p.*, len(regexp_extract_all(substring(text, 1, start), '\n[\x20\t\r]*\n')) as block from part p join t on t.doc_id = p.doc_id),
+    extra as (select distinct a.doc_id, a.kind, a.rank, a.start, a.stop from placed a join placed b on b.doc_id = a.doc_id
         and case when a.side = 's' then b.side in ('i', 'o') else b.side = 's' end
+        and greatest(a.start - b.stop, b.start - a.stop) <= case when a.block = b.block then 2000 else 400 end
       where a.kind like 'linked%' and not exists (select 1 from base c where c.doc_id = a.doc_id and c.start < a.stop and a.start < c.stop)),
     b as (select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
         string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from base group by 1),
@@ -166,7 +167,7 @@ _LUHN = """length(regexp_replace(m, '[^0-9]', '', 'g')) between 14 and 19 and li
       * substring(reverse(regexp_replace(m, '[^0-9]', '', 'g')), k + 1, 1)::int
       - case when k % 2 = 1 and substring(reverse(regexp_replace(m, '[^0-9]', '', 'g')), k + 1, 1)::int > 4 then 9 else 0 end)) % 10 = 0"""
 _BYTES = "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(right(concat('0', ltrim(p, '0')), 4) as int), 999) > 255)) = 0"
-_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(%s), '{_LETTERS}'), lambda w: length(w) >= 3))"
+_TERMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(%s, '{_LETTERS}'), lambda w: lower(w)), lambda w: length(w) >= 3))"
 
 ORACLE_SQL["op6_personal_data"] = rf"""
     with t as (select doc_id, coalesce(text, '') as text from documents),
@@ -174,21 +175,29 @@ ORACLE_SQL["op6_personal_data"] = rf"""
       union all {_matches("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _BYTES)}
       union all {_matches("card", 2, r"[0-9]([\x20-]?[0-9])+", _LUHN)}
       union all {_matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) between 10 and 15")}),
-    kinds as (select b.doc_id, kind, min(substring(text, start + 1, stop - start)) as least from base b join t on t.doc_id = b.doc_id group by 1, 2),
-    cut as (select *, coalesce(max(stop) over (partition by doc_id order by start, rank rows between unbounded preceding and 1 preceding), 0) as seen from base),
-    segment as (select c.doc_id, substring(text, seen + 1, start - seen) as s from cut c join t on t.doc_id = c.doc_id where start >= seen
-      union all select c.doc_id, substring(text, max(stop) + 1) from cut c join t on t.doc_id = c.doc_id group by c.doc_id, text),
-    other as (select distinct doc_id, unnest({_TERMS % "s"}) as term from segment),
-    raw as (select doc_id, unnest({_TERMS % "text"}) as term from t),
-    df as (select term, sum(n) as df from (select term, 1 as n from raw union all select term, 1 from other
-      union all select term, -1 from raw where doc_id in (select doc_id from kinds)) group by 1),
-    beside as (select term, kind, count(*) as df_kind, count(distinct least) as n_values from other o join kinds k on k.doc_id = o.doc_id group by 1, 2 having count(distinct least) >= 10),
-    rate as (select kind, count(*) as n_kind, (select count(*) from t) as n from kinds group by 1),
-    risky as (select b.term, b.kind, log2(df_kind * n / (n_kind::double * df)) / -log2(n_kind / n) as d from beside b join rate r on r.kind = b.kind join df on df.term = b.term where n_kind < n),
-    worst as (select o.doc_id, o.term, max(d) as d from other o join kinds k on k.doc_id = o.doc_id join risky r on r.term = o.term and r.kind = k.kind where d >= 0.8 group by 1, 2),
-    word as ({_matches("word", 4, _LETTERS, "true", "lower(m) as term")}),
+    placed as (select b.*, t.text, greatest(start - 150, 0) as lo, least(stop + 150, length(t.text)) as hi from base b join t on t.doc_id = b.doc_id),
+    around as (select text, kind, substring(text, start + 1, stop - start) as value, concat(
+        case when lo > 0 then regexp_replace(substring(text, lo + 1, start - lo), '^{_LETTERS}', '') else substring(text, lo + 1, start - lo) end, ' ',
+        case when hi < length(text) then regexp_replace(substring(text, stop + 1, hi - stop), '{_LETTERS}$', '') else substring(text, stop + 1, hi - stop) end) as context from placed),
+    pair as (select distinct text, kind, unnest([value, '']) as value, unnest([term, term]) as term
+      from (select text, kind, value, unnest({_TERMS % "context"}) as term from around)),
+    split as (select text, string_split_regex(text, '[\x20\x09-\x0D]+') as w from (select distinct text from around)),
+    digest as (select text, unnest(list_transform(range(1, len(w) + 1), lambda i: md5(concat_ws(' ', w[i], w[i + 1], w[i + 2])))) as h from split),
+    sketch as (select text, min(substring(h, 1, 16)) as a, min(substring(h, 17, 16)) as b from digest group by 1),
+    beside as (select term, kind, value, count(*) as n_beside, least(count(distinct a), count(distinct b)) as support
+      from pair p join sketch s on s.text = p.text group by all having support >= 3),
+    entity as (select kind, value, count(*) as n_entity from (select distinct text, kind, unnest([value, '']) as value from around) group by all),
+    term as (select term, count(*) as df from (select unnest({_TERMS % "text"}) as term from (select distinct text from documents where text is not null))
+      where term in (select term from beside) group by 1),
+    measured as (select b.*, n_beside / df as q, n_entity / n as p, df, (select count(*) from beside) as tested
+      from beside b join entity e on e.kind = b.kind and e.value = b.value join term f on f.term = b.term
+      cross join (select count(distinct text) as n from documents) where n_entity < n),
+    risky as (select *, 1 - log2(q) / log2(p) as d from measured where 1 - log2(q) / log2(p) >= 0.8
+      and support / q * (q * log2(q / p) + case when q < 1 then (1 - q) * log2((1 - q) / (1 - p)) else 0 end) >= log2(tested) + 7),
+    worst as (select text, p.term, max(d) as d from pair p join risky r on r.term = p.term and r.kind = p.kind and r.value = p.value group by all),
+    word as (select m.*, t.text from ({_matches("word", 4, _LETTERS, "true", "lower(m) as term")}) m join t on t.doc_id = m.doc_id),
     extra as (select w.doc_id, case when d >= 0.95 then 'term_removed' else 'term_generalised' end as kind, 4 as rank, start, stop
-      from word w join worst x on x.doc_id = w.doc_id and x.term = w.term
+      from word w join worst x on x.text = w.text and x.term = w.term
       where not exists (select 1 from base c where c.doc_id = w.doc_id and c.start < w.stop and w.start < c.stop)),
     b as (select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card,
         count(*) filter (kind = 'phone') as n_phone, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as joined from base group by 1),

@@ -1,19 +1,22 @@
 """Personal data: a base scan, and information-theoretic sanitisation of terms that give it away.
 
-All in DataFrame expressions. Addresses and numbers are found by pattern. Then document
-co-occurrence over the corpus tells how much a term reveals of each kind of protected entity:
-its pointwise mutual information with the kind as a share of the kind's information content,
-which is 1 for a term that never stands without it. In documents that hold the kind, terms
-above one threshold are generalised and above another removed.
+All in DataFrame expressions. Addresses and numbers are found by pattern. Each value found is a
+protected entity, and so is each kind as a whole. Co-occurrence over the corpus tells how much a
+term reveals of an entity that it stands beside: their pointwise mutual information as a share of
+the entity's information content, which is 1 for a term that never stands without it. Terms above
+one threshold are generalised and above another removed, provided that independent texts show it
+and that chance doesn't explain it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.binding import let
-from evidentia.llm.spans import SPAN, listed, none, replaced, spans
+from evidentia.llm.spans import SPAN, listed, matches, none, outside, part, pieces, replaced, spans
 from evidentia.staging import stage
 
 # The kinds of the base scan. Loops that can't succeed by giving back are possessive,
@@ -28,9 +31,13 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Disclosure at which a term is generalised, and removed.
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Different protected values a term must have stood beside; copies of a text count once by that.
-MIN_VALUES = 10
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Code points around a protected value in which a term stands beside it.
+CONTEXT = 150
+#: Independent texts in which a term must stand beside an entity; near copies share a sketch and count once.
+MIN_SUPPORT = 3
+#: Bits by which a term's company must surprise, beyond those that the number of pairs tried explains.
+SURPRISE = 7
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"
 MIN_TERM = 3
 
 
@@ -67,98 +74,140 @@ def base_spans(text: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Distinct terms of a text: runs of letters, in lower case."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: F.length(t) >= MIN_TERM))
+    """Terms of a text as they stand, repeats included: runs of letters, in lower case."""
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    return F.filter(F.transform(found, F.lower), lambda t: F.length(t) >= MIN_TERM)
+
+
+def _sketch(text: Column) -> Column:
+    """Two smallest-digest samples of a text's three-word windows; texts that share most windows share them."""
 
+    def least(words: Column) -> Column:
+        digests = F.transform(words, lambda w, i: F.md5(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))))
+        half = lambda held, at: F.array_min(F.transform(held, lambda h: F.substring(h, at, 16)))
+        return let(digests, lambda held: F.struct(half(held, 1).alias("a"), half(held, 17).alias("b")))
 
-def _counts(rows: DataFrame, terms: Column, sign: int) -> DataFrame:
-    """Document frequency of each term, times `sign`."""
-    counted = rows.select(F.explode(terms).alias("term")).groupBy("term").count()
-    return counted.select("term", (F.col("count") * sign).alias("df"))
+    return let(F.split(text, r"[\x20\x09-\x0D]+"), least)
+
+
+def _context(held: Column, size: Column, s: Column) -> Column:
+    """Text around a span, CONTEXT code points on either side, without words cut at its ends."""
+    lo, hi = F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["stop"] + CONTEXT, size)
+    before = F.when(lo > 0, F.regexp_replace(part(held, lo, s["start"]), f"^{_TERM}", "")).otherwise(part(held, lo, s["start"]))
+    after = F.when(hi < size, F.regexp_replace(part(held, s["stop"], hi), f"{_TERM}$", "")).otherwise(part(held, s["stop"], hi))
+    return F.concat(before, F.lit(" "), after)
 
 
 def holders(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, other, kinds) of rows with base findings; other is the text without them.
+    """(doc_id, text_key, text, base, sketch, beside) of rows with base findings.
 
-    kinds holds each kind present with a hash of the smallest of its values.
+    beside has for each finding its kind, a hash of its value, and the terms around it.
     """
     rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"])
-    least = lambda k: F.array_min(F.transform(F.filter("base", lambda s: s["kind"] == k), value))
-    own = lambda k: let(least(k), lambda v: F.when(v.isNotNull(), F.xxhash64(v)))
-    kinds = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("kind"), own(k).alias("value")) for k in KINDS]),
-        lambda x: x["value"].isNotNull(),
-    )
-    blank = let(F.col("base"), lambda s: replaced(F.col("text"), s, lambda _: F.lit(" ")))
-    return rows.select("doc_id", "text", "base", blank.alias("other"), kinds.alias("kinds"))
 
+    def around(t: Column) -> Column:
+        one = lambda s: F.struct(
+            s["kind"].alias("kind"),
+            F.xxhash64(part(t["held"], s["start"], s["stop"])).alias("value"),
+            F.array_distinct(_terms(_context(t["held"], t["size"], s))).alias("terms"),
+        )
+        return F.transform("base", one)
 
-def disclosures(docs: DataFrame, held: DataFrame, min_values: int = MIN_VALUES) -> DataFrame:
-    """(term, kind, disclosure, n_values) of terms that stood beside `min_values` different values of a kind.
+    measured = F.struct(pieces(F.col("text")).alias("held"), F.length("text").alias("size"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", "base", _sketch(F.col("text")).alias("sketch"), let(measured, around).alias("beside"))
 
-    Counts are of all documents; protected values themselves are no terms of theirs.
-    """
-    beside = held.select(F.explode("kinds").alias("k"), _terms(F.col("other")).alias("terms"))
-    beside = beside.select("k.kind", "k.value", F.explode("terms").alias("term"))
-    beside = beside.groupBy("term", "kind", "value").agg(F.count("*").alias("n")).groupBy("term", "kind")
-    beside = beside.agg(F.sum("n").alias("df_kind"), F.count("*").alias("n_values"))
-    beside = stage(beside.where(F.col("n_values") >= min_values), "beside")
-
-    with_text = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    df = _counts(with_text, _terms(F.col("text")), 1)
-    df = df.union(_counts(held, _terms(F.col("text")), -1)).union(_counts(held, _terms(F.col("other")), 1))
-    df = df.join(beside.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-
-    kinds = held.select(F.explode("kinds").alias("k")).groupBy("k.kind").agg(F.count("*").alias("n_kind"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    rates = kinds.join(F.broadcast(total), how="cross")  # one row, beside one row for each kind
-    rows = beside.join(F.broadcast(rates), "kind").join(df, "term")
-    content = -F.log2(F.col("n_kind") / F.col("n_docs"))
-    mutual = F.log2(F.col("df_kind") * F.col("n_docs") / (F.col("n_kind").cast("double") * F.col("df")))
-    return rows.where(F.col("n_kind") < F.col("n_docs")).select(
-        "term", "kind", (mutual / content).alias("disclosure"), "n_values"
-    )
+
+def _pairs(held: DataFrame, *more: str) -> DataFrame:
+    """(text_key, kind, value, term) and `more`: terms around protected entities, an entity being a value (not 0) or a whole kind (value 0)."""
+    rows = held.select("text_key", *more, F.explode("beside").alias("s"))
+    rows = rows.select("text_key", *more, "s.kind", F.explode(F.array("s.value", F.lit(0))).alias("value"), "s.terms")
+    return rows.select("text_key", *more, "kind", "value", F.explode("terms").alias("term"))
+
+
+def _frequency(rows: DataFrame, terms: DataFrame, name: str) -> DataFrame:
+    """In how many different texts of `rows` (text_key, text) each of `terms` stands."""
+    found = rows.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    return found.groupBy("term", "text_key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias(name))
 
 
-def find(docs: DataFrame, min_values: int = MIN_VALUES) -> DataFrame:
+def _revealing(rows: DataFrame, df: str, n_docs: int, tested: int) -> DataFrame:
+    """Rows (term, kind, value, n_beside, support, n_entity) with disclosure, that reach both thresholds given `df`."""
+    q, p = F.col("n_beside") / F.col(df), F.col("n_entity") / F.lit(float(n_docs))
+    share = lambda a, b: F.when(a > 0, a * F.log2(a / b)).otherwise(0.0)
+    surprise = F.col("support") / q * (share(q, p) + share(1 - q, 1 - p))
+    rows = rows.withColumn("disclosure", 1 - F.log2(q) / F.log2(p)).withColumn("surprise", surprise)
+    return rows.where((F.col("disclosure") >= GENERALISE) & (F.col("surprise") >= math.log2(max(tested, 1)) + SURPRISE))
+
+
+def disclosures(docs: DataFrame, held: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(term, kind, value, disclosure) of terms that reveal an entity: value 0 stands for the kind as a whole.
+
+    Counts are of different texts over the whole corpus. A text counts for a term beside an entity
+    if the term stands around one of the entity's findings, and for the term if it stands anywhere.
+    """
+    texts = _pairs(held, "sketch").groupBy("term", "kind", "value", "text_key").agg(F.first("sketch").alias("sketch"))
+    beside = texts.groupBy("term", "kind", "value").agg(
+        F.count("*").alias("n_beside"), F.least(F.count_distinct("sketch.a"), F.count_distinct("sketch.b")).alias("support")
+    )
+    beside = stage(beside.where(F.col("support") >= min_support), "beside")
+    tested = beside.count()
+    found = held.select("text_key", F.explode("beside").alias("s")).select("text_key", "s.kind", F.explode(F.array("s.value", F.lit(0))).alias("value"))
+    entities = found.distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    with_text = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    n_docs = with_text.select("text_key").distinct().count()
+    rows = beside.join(stage(entities, "entities"), ["kind", "value"]).where(F.col("n_entity") < n_docs)
+    # texts with findings alone bound a term's frequency from below: what fails with that, fails
+    fewest = stage(_frequency(held, beside.select("term").distinct(), "df_held"), "df_held")
+    rows = stage(_revealing(rows.join(fewest, "term"), "df_held", n_docs, tested).drop("disclosure", "surprise"), "candidates")
+    if not rows.take(1):
+        return _revealing(rows, "df_held", n_docs, tested).select("term", "kind", "value", "disclosure")
+    df = stage(_frequency(with_text, stage(rows.select("term").distinct(), "candidate_terms"), "df"), "df")
+    return _revealing(rows.join(df, "term"), "df", n_docs, tested).select("term", "kind", "value", "disclosure")
+
+
+def find(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """(doc_id, text_key, base, extra) for every row: base spans, and spans of terms to generalise or remove.
 
-    A null text is empty. Rows alike in doc_id and text get the same spans.
+    A term that reveals an entity goes from every text that has it around one of the entity's
+    findings, wherever in that text it stands outside base spans. A null text is empty. Rows
+    alike in doc_id and text get the same spans; texts are told apart by a 64-bit hash.
     """
     held = stage(holders(docs), "holders")
-    risky = disclosures(docs, held, min_values).where(F.col("disclosure") >= GENERALISE)
-    risky = stage(risky.select("term", "kind", "disclosure"), "risky")
-    key = F.xxhash64("text").alias("text_key")
-    present = F.col("kinds.kind").alias("present")
-    terms = held.select("doc_id", key, "text", "base", present, _terms(F.col("other")).alias("terms"))
-    terms = terms.select("doc_id", "text_key", "text", "base", "present", F.explode("terms").alias("term"))
-    terms = terms.join(risky, (terms.term == risky.term) & F.array_contains("present", F.col("kind"))).drop(risky.term)
-    worst = terms.groupBy("doc_id", "text_key", "term").agg(
-        F.max("disclosure").alias("disclosure"), F.first("text").alias("text"), F.first("base").alias("base")
-    )
-    letters = _TERM.removesuffix("+")
-    whole = F.concat(F.lit(f"(?iu)(?<!{letters})"), F.col("term"), F.lit(f"(?!{letters})"))
-    kind = F.when(F.col("disclosure") >= REMOVE, "term_removed").otherwise("term_generalised")
-    placed = worst.withColumn("found", spans(F.col("text"), whole, kind, 4))
-    outside = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    extra = placed.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(outside)).alias("extra"))
-
-    base = held.select("doc_id", key, "base").dropDuplicates(["doc_id", "text_key"])
-    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.text_key == b.text_key)
-    both = stage(base.join(extra, same(base, extra), "left").select(base.doc_id, base.text_key, "base", "extra"), "found")
+    risky = stage(disclosures(docs, held, min_support), "risky")
+    named = _pairs(held).join(risky, ["term", "kind", "value"]).groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    removed = lambda yes: F.collect_list(F.when((F.col("disclosure") >= REMOVE) == yes, F.col("term")))
+    named = stage(named.groupBy("text_key").agg(removed(True).alias("removed"), removed(False).alias("generalised")), "named")
+
+    def extra(text: Column, base: Column) -> Column:
+        def told(words: Column) -> Column:
+            lower = F.transform(words, lambda w: w.withField("match", F.lower(w["match"])))
+            of = lambda names, kind: F.transform(
+                F.filter(lower, lambda w: F.array_contains(names, w["match"])),
+                lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.lit(kind).alias("kind"), F.lit(4).alias("rank")),
+            )
+            return outside(F.concat(of(F.col("removed"), "term_removed"), of(F.col("generalised"), "term_generalised")), base)
+
+        return let(matches(text, _TERM), told)
+
+    rows = held.select("doc_id", "text_key", "text", "base").join(named, "text_key", "left")
+    rows = rows.select("doc_id", "text_key", "base", F.when(F.col("removed").isNull(), none()).otherwise(extra(F.col("text"), F.col("base"))).alias("extra"))
+    both = stage(rows.groupBy("doc_id", "text_key").agg(F.first("base").alias("base"), F.first("extra").alias("extra")), "found")
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    return rows.join(both, same(rows, both), "left").select(
+    same = rows.doc_id.eqNullSafe(both.doc_id) & (rows.text_key == both.text_key)
+    return rows.join(both, same, "left").select(
         rows.doc_id, rows.text_key, F.coalesce("base", none()).alias("base"), F.coalesce("extra", none()).cast(SPAN).alias("extra")
     )
 
 
-def scan(docs: DataFrame, min_values: int = MIN_VALUES) -> DataFrame:
-    """A row for every row of `docs`: counts and digest of the base spans, all spans listed."""
+def scan(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """A row for every row of `docs`: counts and digest of the base spans, all spans listed.
+
+    A null text is empty; a null doc_id stays null; repeated rows each get a row; columns but
+    doc_id and text aren't read, whatever their names.
+    """
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return find(docs, min_values).select(
+    return find(docs, min_support).select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
@@ -166,9 +215,12 @@ def scan(docs: DataFrame, min_values: int = MIN_VALUES) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, min_values: int = MIN_VALUES) -> DataFrame:
-    """`docs` with protected values and removed terms taken out and generalised terms replaced by a class word."""
-    found = find(docs, min_values).where((F.size("base") > 0) | (F.size("extra") > 0))
+def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """`docs` with protected values and removed terms taken out and generalised terms replaced by a class word.
+
+    A row for each row, in the same columns; a null text stays null.
+    """
+    found = find(docs, min_support).where((F.size("base") > 0) | (F.size("extra") > 0))
     found = found.dropDuplicates(["doc_id", "text_key"]).select(
         F.col("doc_id").alias("id"), "text_key", F.concat("base", "extra").alias("gone")
     )

@@ -1,5 +1,7 @@
 """Queries with SQL against DuckDB: whole small tables, and planted cases that make the methods speak."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -34,15 +36,27 @@ def planted(spark, tmp_path, texts, sources=None):
 
 
 def test_revealing_terms(spark, tmp_path):
-    known = [f"report by mercury{i % 3} Écho to user{i}@mail.example.com Zenith, zenith or +1 (212) 555-{1000 + i}" for i in range(40)]
-    docs, path = planted(spark, tmp_path, known + [f"plain report {i} with words" for i in range(60)] + ["zenith alone", None])
-    found = personal.scan(docs)
-    assert found.where("spans like '%term_%'").count() == 40
-    agrees(found, catalogue.ORACLE_SQL["op6_personal_data"], path)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(300)]
+    prose = lambda n=60: " ".join(rng.choices(vocabulary, k=n))
+    known = [f"{prose()} by mercury{i % 3} Écho to user{i}@mail.example.com Zenith, zenith or +1 (212) 555-{1000 + i} {prose()}" for i in range(40)]
+    known += [f"{prose()} Marlowe reads jane@corp.example.com {prose()}" for _ in range(12)]
+    copied = [f"{prose()} Quillon reads joan@corp.example.com and {prose()}"] * 9
+    copied = [f"{t} {prose(2)}" for t in copied]  # near copies are one witness
+    docs, path = planted(spark, tmp_path, known + copied + [prose(120) for _ in range(200)] + ["zenith alone", None])
+    found = {r.doc_id: r.spans for r in personal.scan(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    gone = lambda i: {texts[i][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k.startswith("term")}
+    assert all({"écho", "zenith"} <= gone(i) for i in range(40)) and all("marlowe" in gone(i) for i in range(40, 52))
+    assert not any("quillon" in gone(i) for i in range(52, 61)) and not any(gone(i) for i in range(61, 263))
+    named = {"mercury", "zenith", "écho", "marlowe", "reads"}
+    right = [gone(i) & named for i in range(52)], [gone(i) - named for i in range(52)]
+    assert sum(map(len, right[1])) <= 0.05 * sum(map(len, right[0]))
+    agrees(personal.scan(docs), catalogue.ORACLE_SQL["op6_personal_data"], path)
 
 
 def test_linked_parts(spark, tmp_path):
-    texts = ["username: alice Zx81kQw0PqLm55TrYv99 https://db.example.com/x", "login=bob_b password=hunter22 and " + "w " * 300 + "user=carol", "é" * 199 + " user=abc " + "é" * 190 + " token=abcdef1", None]
+    texts = ["username: alice Zx81kQw0PqLm55TrYv99 https://db.example.com/x", "login=bob_b password=hunter22 and " + "w " * 300 + "user=carol", "é" * 199 + " user=abc " + "é" * 190 + " token=abcdef1", "x@y.zz " + "w " * 150 + "\n \t\n" + "w " * 40 + "secret: abcdef https://a.b/c", "u@v.ww " + "w " * 600 + "token=abcdef1\n\n" + "f" * 30, None]
     docs, path = planted(spark, tmp_path, texts)
     found = secrets.secret_scan(docs)
     assert found.where("spans like '%linked%'").count() >= 2
