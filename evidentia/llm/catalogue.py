@@ -103,8 +103,9 @@ ORACLE_SQL["op8_quality_rules"] = r"""
     h as (select source, count(*) as n, count(*) filter (rule_failed) as bad from j group by 1),
     p as (select avg(bad / n) as mu, coalesce(var_samp(bad / n), 0) - avg(bad / n) * (1 - avg(bad / n)) * avg(1 / n) as excess, sum(n) as everything from h),
     q as (select mu, greatest(1, case when excess > 0 then greatest(1, mu * (1 - mu) / excess - 1) else everything end) as strength from p),
-    v as (select source, (bad + mu * strength) / (n + strength) as rate from h, q)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.6 as kept,
+    r as (select source, (bad + mu * strength) / (n + strength) as rate, n + strength as weight, mu from h, q),
+    v as (select source, rate, mu, greatest(0, rate - 2 * sqrt(rate * (1 - rate) / (weight + 1))) as low from r)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not rule_failed and low * (1 - mu) <= 3 * mu * (1 - low) as kept,
            rule_failed, round(rate, 6) as host_rate from j join v on v.source is not distinct from j.source
 """
 

@@ -2,7 +2,8 @@
 
 Each document is tried by rules. Failures are summed by host (here the source column), each
 host's failure rate is shrunk to the rate of all hosts by a beta prior fitted to the hosts
-themselves, and the verdict on the host is joined back to its documents.
+themselves, and the verdict on the host is joined back to its documents: a host is rejected
+where even the low end of its shrunk rate is far worse than what hosts have in common.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_WORD = 0.5
 WORD_LENGTHS = (2.0, 15.0)
 MAX_DUP_LINE_PERCENT = 50
-#: A host whose shrunk failure rate passes this is rejected with all its documents.
-MAX_HOST_RATE = 0.6
+#: A host is rejected with all its documents if the odds of failure at the low end of its shrunk
+#: rate, so many standard deviations below the mean, pass so many times the common odds.
+DEVIATIONS = 2.0
+MAX_ODDS = 3.0
 
 
 def repeat_words(words: Column) -> Column:
@@ -86,11 +89,12 @@ def rule_failed(m) -> Column:
 
 
 def host_verdicts(judged: DataFrame) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_rejected) from (host, failed).
+    """(host, n_docs, n_failed, rate, low, host_rejected) from (host, failed).
 
     The prior Beta(a, b) has the mean and the spread of the hosts' rates, by moments with each
     host weighed alike; a spread that chance alone explains gives a prior as strong as all hosts
-    together, so that every host gets close to the common rate.
+    together, so that every host gets close to the common rate. low is the low end of the host's
+    posterior. A null host is a host of its own.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     hosts = hosts.withColumn("raw", F.col("n_failed") / F.col("n_docs"))
@@ -104,16 +108,23 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     excess = F.col("spread") - within * F.col("inverse")
     strength = F.when(excess > 0, F.greatest(within / excess - 1, F.lit(1.0))).otherwise(F.col("all_docs").cast("double"))
     prior = prior.select("mean", F.greatest(strength, F.lit(1.0)).alias("strength"))
-    rate = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
     hosts = hosts.join(F.broadcast(prior), how="cross")  # one row of prior
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > MAX_HOST_RATE).alias("host_rejected"))
+    weight = F.col("n_docs") + F.col("strength")
+    hosts = hosts.withColumn("rate", (F.col("n_failed") + F.col("mean") * F.col("strength")) / weight)
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
+    hosts = hosts.withColumn("low", F.greatest(F.col("rate") - DEVIATIONS * deviation, F.lit(0.0)))
+    # odds compared without dividing: low / (1 - low) > MAX_ODDS * mean / (1 - mean)
+    worse = F.col("low") * (1 - F.col("mean")) > MAX_ODDS * F.col("mean") * (1 - F.col("low"))
+    return hosts.select("host", "n_docs", "n_failed", "rate", "low", worse.alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """A row for every row of `docs`: doc_id, host, measures, base_failed, rule_failed, kept.
+    """A row for every row of `docs`: doc_id, host, measures, base_failed, rule_failed, host_rate, kept.
 
-    A document is kept if it passes the base rules and its host isn't rejected; a rejected host's
-    documents all go. A null host is a host of its own.
+    A document is kept if it passes all rules and its host isn't rejected; a rejected host's
+    documents all go. A null host is a host of its own; a null text is empty, and fails; a null
+    doc_id stays null; repeated rows each count and get a row; columns but doc_id, text and the
+    host aren't read, whatever their names.
     """
     measured = docs.select("doc_id", F.col(host_col).cast("string").alias("host"), measures(F.col("text")).alias("m"))
     measured = measured.select(
@@ -127,17 +138,17 @@ def judge(docs: DataFrame, host_col: str = "source") -> DataFrame:
     hosts = stage(host_verdicts(measured.select("host", F.col("rule_failed").alias("failed"))), "hosts")
     hosts = hosts.select(F.col("host").alias("judged_host"), F.col("rate").alias("host_rate"), "host_rejected")
     rows = measured.join(hosts, F.col("host").eqNullSafe(F.col("judged_host")), "left").drop("judged_host")
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return rows.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """The rows of `docs` that the rules and their hosts' verdicts keep, with all their columns.
+    """The rows of `docs` that the rules and their hosts' verdicts keep, in the same columns (see `judge`).
 
     Measures are taken twice, once for the hosts and once beside the text, so texts aren't shuffled.
     """
     judged = docs.select(F.col(host_col).cast("string").alias("host"), rule_failed(measures(F.col("text"))).alias("failed"))
     hosts = stage(host_verdicts(judged), "hosts").where("host_rejected").select(F.col("host").alias("rejected_host"))
     rows = docs.select(F.struct("*").alias("row"), measures(F.col("text")).alias("m"))
-    rows = rows.where(~base_failed(F.col("m.n_words"), F.col("m.n_repeat_words")))
+    rows = rows.where(~rule_failed(F.col("m")))
     host = F.col(f"row.{host_col}").cast("string")
     return rows.join(hosts, host.eqNullSafe(F.col("rejected_host")), "left_anti").select("row.*")

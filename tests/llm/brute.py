@@ -88,6 +88,13 @@ def quality(text):
     )
 
 
+def passes(text):
+    """Whether a text passes all rules of quality."""
+    n, chars, symbols, dup, _, failed = quality(text)
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    return not failed and symbols <= n * 0.5 and 2 <= chars / max(n, 1) <= 15 and 100 * dup <= 50 * lines
+
+
 def fingerprint(text):
     found = words((text or "").translate(LOWER))
     if not found:

@@ -253,15 +253,18 @@ def test_revealing_terms(spark):
 
 
 def test_host_verdicts(spark):
-    bad = [("bad", "tiny")] * 30 + [("good", " ".join(PROSE[0].split()))] * 300 + [("bad", PROSE[0])] * 2 + [("new", "tiny")]
-    rows = [(i, t, "en", s, 0) for i, (s, t) in enumerate(bad)]
+    """A host far worse than the common rate loses all its documents; one that chance may explain, or of one document, only its bad ones."""
+    good = " ".join(PROSE[0].split())
+    hosts = [("bad", "tiny")] * 30 + [("bad", good)] * 12 + [("new", "tiny"), ("new", good), ("poor", "tiny"), *[("poor", good)] * 4]
+    hosts += [(f"good{i}", t) for i in range(8) for t in [good] * 27 + ["tiny"] * 3]
+    rows = [(i, t, "en", s, 0) for i, (s, t) in enumerate(hosts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     judged = quality.judge(docs).collect()
     kept = {r.doc_id for r in judged if r.kept}
-    assert kept == {r.doc_id for r in judged if r.host == "good"}
+    assert kept == {r.doc_id for r in judged if not r.rule_failed and r.host != "bad"}
     assert kept == {r.doc_id for r in quality.keep_good(docs).collect()}
     rate = {r.host: r.host_rate for r in judged}
-    assert rate["bad"] < 30 / 32 and rate["new"] < 1
+    assert rate["good0"] < rate["bad"] < 30 / 42 and rate["new"] < 0.5
 
 
 def test_licence_templates(spark):

@@ -65,10 +65,11 @@ def test_linked_parts(spark, tmp_path):
 
 def test_rejected_host(spark, tmp_path):
     good = " ".join(f"word{i}" for i in range(80))
-    docs, path = planted(spark, tmp_path, ["tiny"] * 30 + [good] * 32 + [None], ["bad"] * 30 + ["good"] * 30 + ["bad"] * 2 + [None])
+    hosts = ["bad"] * 32 + [f"good{i % 6}" for i in range(60)] + [None, "bad"]
+    docs, path = planted(spark, tmp_path, ["tiny"] * 30 + [good] * 58 + ["tiny"] * 4 + [None, good + " ### $$$ %%% &&& ***" * 20], hosts)
     columns = catalogue.QUERIES["op8_quality_rules"](spark, SF).columns
     from pyspark.sql import functions as F
 
     found = quality.judge(docs).withColumn("host_rate", F.round("host_rate", 6)).select(columns)
-    assert found.where("kept").count() == 30
+    assert found.where("kept").count() == 56
     agrees(found, catalogue.ORACLE_SQL["op8_quality_rules"], path)
