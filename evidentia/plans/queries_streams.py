@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.plans.queries_state import moves
 from evidentia.plans.registry import ORACLE_SQL, query
 from evidentia.session import load
-from evidentia.staging import shared_dir
+from evidentia.staging import root
 from evidentia.streaming import changes
 
 
@@ -25,7 +25,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, writer: Callable) -> DataFrame:
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex[:12]}"
+    base = f"{root(stream.sparkSession)}/stream-{uuid.uuid4().hex[:12]}"
     changes.drain(stream, f"{base}/checkpoint", writer(f"{base}/table"))
     return stream.sparkSession.read.parquet(f"{base}/table")
 

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -37,24 +38,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, by name."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir}/{name}.parquet"
-    return _spread(spark.read.parquet(path), path)
-
-
-#: Bytes of a table that is dealt out anew after reading, if it has fewer files than the session has cores.
-SPREAD = (1 << 20, 64 << 20)
-
-
-def _spread(df: DataFrame, path: str) -> DataFrame:
-    """A small table in few files, each of one row group, over all cores; it would be read by as many tasks as files.
-
-    Larger tables are left as they are read: nothing of theirs is shuffled for this.
-    """
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if SPREAD[0] <= held.getLength() <= SPREAD[1] and held.getFileCount() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _SHIPPED: set[str] = set()
@@ -66,9 +50,11 @@ def ship(spark: SparkSession) -> None:
     known = [Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]]
     if app in _SHIPPED or root in known or any((p / "evidentia").is_dir() for p in known):
         return
+    held = Path(SparkFiles.getRootDirectory(), "shipped")  # Spark deletes this folder with the session
+    held.mkdir(exist_ok=True)
     with tempfile.TemporaryDirectory() as folder:
         tree = Path(folder, "tree")
         shutil.copytree(root / "evidentia", tree / "evidentia", ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(), "evidentia")), "zip", tree)
+        archive = shutil.make_archive(str(held / "evidentia"), "zip", tree)
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)

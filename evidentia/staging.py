@@ -14,25 +14,38 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` if the session has it, else the warehouse, which is shared too."""
+    """`spark.checkpoint.dir` if the session has it, else a folder of the warehouse, which is shared too.
+
+    On a cluster a warehouse that is a local folder of this machine isn't shared: there the
+    setting must be made, and its absence is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    if found:
+        return found
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local[") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_staged"
+
+
+def root(spark: SparkSession) -> str:
+    """The folder below which this session stages; `release` deletes it."""
+    app = spark.sparkContext.applicationId
+    return _ROOTS.setdefault(app, f"{shared_dir(spark)}/evidentia-{app}-{uuid.uuid4().hex[:8]}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    root = _ROOTS.setdefault(app, f"{shared_dir(spark)}/evidentia-{app}-{uuid.uuid4().hex[:8]}")
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table this session has staged. Results that read them must be written first."""
-    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
-    if root:
+    used = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if used:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(root)
+        path = jvm.org.apache.hadoop.fs.Path(used)
         path.getFileSystem(conf).delete(path, True)
