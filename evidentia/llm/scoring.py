@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.text import bounded
+from evidentia.llm.text import bounded, mixed
 from evidentia.staging import stage
 
 #: Weight of the unigram model in a bigram estimate, in counts, and what is added to each unigram count.
@@ -87,13 +87,6 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _Held:
     """What a chunk holds: keys of words, then of contexts, then of pairs, and the order in which they are asked for."""
 
@@ -106,9 +99,9 @@ class _Held:
         pairs, self.pair = np.unique(self.before * (self.n_words + 1) + self.own, return_inverse=True)
         self.first, self.second = np.divmod(pairs, self.n_words + 1)
         known = np.append(words, _BEGIN)
-        both = _mixed(_mixed(known[self.first]) + known[self.second])
+        both = mixed(mixed(known[self.first]) + known[self.second])
         kinds = ((words, _OWN), (known, _CONTEXT), (both, _PAIR))
-        self.keys = np.concatenate([_mixed(x) & ~np.uint64(3) | kind for x, kind in kinds])
+        self.keys = np.concatenate([mixed(x) & ~np.uint64(3) | kind for x, kind in kinds])
         self.order = np.argsort(self.keys, kind="stable")
 
     def counts(self, chosen: np.ndarray | slice) -> np.ndarray:

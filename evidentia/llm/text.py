@@ -1,4 +1,4 @@
-"""Arrow-side text helpers: bounded batches and whitespace word counts."""
+"""Text helpers: row identity, bounded Arrow batches and whitespace word counts."""
 
 from __future__ import annotations
 
@@ -7,11 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit digest of a row, all its columns but maps; rows that differ are told apart even if their doc_id repeats."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in sorted(docs.schema, key=lambda f: f.name) if _hashable(f.dataType)])
+
+
+def text_key() -> Column:
+    """A 64-bit digest of a row's text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most `limit` bytes of text, or a single row."""
     for batch in batches:
@@ -25,6 +44,13 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20
             start = stop
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each row."""
     return column.cast(pa.binary()).to_pylist()

@@ -124,6 +124,34 @@ def components(ids, fps, radius=2):
     return [least.get(top(i)) for i in range(len(ids))]
 
 
+def near_groups(texts, shingle):
+    """A function of a similarity that gives groups of texts linked by that share of their shingles, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        found = words((t or "").translate(LOWER))
+        sets.append({tuple(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1))})
+    alike = [[len(a & b) / len(a | b) for b in sets[:i]] for i, a in enumerate(sets)]
+
+    def groups(least):
+        up = list(range(len(sets)))
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, row in enumerate(alike):
+            for j, x in enumerate(row):
+                if x >= least:
+                    up[top(i)] = top(j)
+        found = {}
+        for i in range(len(sets)):
+            found.setdefault(top(i), []).append(i)
+        return list(found.values())
+
+    return groups
+
+
 def edits(a, b):
     """Levenshtein distance."""
     row = list(range(len(b) + 1))
