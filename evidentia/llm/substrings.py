@@ -2,9 +2,10 @@
 
 A gear hash rolls over the UTF-8 bytes; where its top bits are zero a chunk may end, so cuts
 depend on the last WINDOW bytes only and fall alike in every copy of a passage, wherever
-insertions have shifted it. Chunks are counted by digest over all documents; runs of
-adjacent chunks that other documents hold too make shared spans, of which the document with
-the smallest doc_id keeps its own and the others lose theirs.
+insertions have shifted it. Chunks are deduplicated by digest over all documents; the first
+place of a digest is its own, later ones repeat it. A run of adjacent chunks that occur elsewhere
+too makes a shared passage, which is then extended into the chunks at its ends as far as the text
+there equals that of the place it repeats. The first place keeps a passage and later ones lose it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.llm.text import bounded, flat
+from evidentia.llm.text import bounded, flat, text_key
 from evidentia.staging import stage
 
 WINDOW = 32
@@ -26,8 +27,11 @@ MIN_BYTES = 24
 MAX_BYTES = 192
 #: Top bits that are zero at a cut: one place in 16.
 CUT_BITS = 4
-#: Least length in characters of a run of repeated chunks that counts as a passage.
+#: Least length in characters of a passage, and of a run of repeated chunks that is worth extending.
 MIN_SPAN = 100
+MIN_RUN = 32
+#: Characters beyond a run's ends that are compared with those of the place it repeats.
+REACH = 256
 
 _GEAR = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 32, 256, np.uint32)
 
@@ -65,7 +69,10 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, nth, start, stop, digest): all chunks of whole texts, start and stop in code points."""
+    """(doc_id, key, nth, start, stop, digest): all chunks of whole texts, start and stop in code points.
+
+    key is a digest of the text: with doc_id it tells documents apart, and rows equal in both are one document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 2 << 20):
@@ -80,68 +87,148 @@ def chunks(docs: DataFrame) -> DataFrame:
                 starts += [int(offsets[row]), *ends[:-1]] if ends else []
                 stops += ends
             digests = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts, stops, strict=True)]
-            base = points[offsets[:-1]][rows]
+            base, own = points[offsets[:-1]][rows], pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    batch.column("doc_id").take(own),
+                    batch.column("key").take(own),
                     pa.array(nths, pa.int32()),
                     pa.array(points[starts] - base, pa.int32()),
                     pa.array(points[stops] - base, pa.int32()),
                     pa.array(np.array(digests, np.uint64).view(np.int64)),
                 ],
-                ["doc_id", "nth", "start", "stop", "digest"],
+                ["doc_id", "key", "nth", "start", "stop", "digest"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.where("doc_id is not null and text is not null")
-    return source.mapInArrow(run, "doc_id long, nth int, start int, stop int, digest long")
+    source = _identified(docs).where("text is not null")
+    return source.mapInArrow(run, "doc_id long, key long, nth int, start int, stop int, digest long")
 
 
-def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_id, start, stop, kept): runs of chunks that occur in several documents, of `min_span` characters or more.
-
-    A digest goes with its chunk's length; a run of chunks that other documents lack is never
-    reported, so that a chance collision would have to befall neighbours to matter. `min_span` is
-    asked of a run as a whole, which is then split where its chunks' fates change. kept is true
-    where the document is the first (smallest doc_id) to hold each chunk of the part, among those
-    that hold it in such a run, or of all if there is but one of those. Null texts have none; rows
-    without a doc_id take no part; rows that repeat a doc_id are one document; repeats inside a
-    single document don't count.
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+
+
+def _place(*fields: str) -> Column:
+    """A place in the corpus, in order: by doc_id, rows without one last, then by text and place in it."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", *fields)
+
+
+def _runs(docs: DataFrame, min_span: int) -> DataFrame:
+    """Runs of repeated chunks (doc_id, key, run, start, stop, head, tail, chunks): head and tail are other places of the first and last chunk."""
+    found = stage(chunks(docs), "chunks").withColumn("size", F.col("stop") - F.col("start"))
+    place = _place("nth", "start", "stop")
+    held = found.groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = stage(held.where("first <> last"), "repeated")
+    hits = found.join(repeated, ["digest", "size"])
+    document = W.partitionBy("doc_id", "key")
+    # neighbours make a run: their places less their ranks are equal; repeated rows are one document
+    hits = hits.withColumn("run", F.col("nth") - F.dense_rank().over(document.orderBy("nth")))
+    own = (F.col("first.nth") == F.col("nth")) & (F.col("first.key") == F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    hits = hits.withColumn("other", F.when(own, F.col("last")).otherwise(F.col("first")))
+    whole = W.partitionBy("doc_id", "key", "run")
+    chars = F.max("stop").over(whole) - F.min("start").over(whole)
+    return stage(hits.withColumn("chars", chars).where(F.col("chars") >= min(min_span, MIN_RUN)), "hits")
+
+
+def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, key, at, before, after) for each wanted place (doc_id, key, at): REACH characters of its text on either side."""
+    places = wanted.groupBy("doc_id", "key").agg(F.collect_set("at").alias("places"))
+    texts = _identified(docs).where("text is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text"):
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)
+            out = [(d, k, at, t[max(0, at - REACH) : at], t[at : at + REACH]) for d, k, t, own in rows for at in own]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["doc_id", "key", "at", "before", "after"])
+
+    places = stage(places, "places").withColumnsRenamed({"doc_id": "p_doc", "key": "p_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("key") == F.col("p_key"))
+    joined = texts.join(places, same).select("doc_id", "key", "text", "places")
+    found = joined.mapInArrow(cut, "doc_id long, key long, at int, before string, after string")
+    return found.dropDuplicates(["doc_id", "key", "at"])
+
+
+def _shared_end(a: str, b: str) -> Column:
+    """Number of equal characters at the ends of two texts."""
+
+    @F.arrow_udf("int")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            n = min(len(x or ""), len(y or ""))
+            out.append(next((k for k in range(n) if x[-1 - k] != y[-1 - k]), n))
+        return pa.array(out, pa.int32())
+
+    return count(a, b)
+
+
+def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """Chunks of passages (doc_id, key, run, nth, start, stop, digest, size, first): runs extended to their true bounds.
+
+    The first and last chunk of a run also hold the characters by which it was extended. Passages
+    of under `min_span` characters are left out.
     """
-    found = stage(chunks(docs), "chunks")
-    size = F.col("stop") - F.col("start")
-    held = found.withColumn("size", size).groupBy("digest", "size").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+    hits = _runs(docs, min_span)
+    ends = hits.groupBy("doc_id", "key", "run").agg(
+        F.min(F.struct("nth", "start", "other")).alias("a"), F.max(F.struct("nth", "stop", "other")).alias("z")
     )
-    repeated = stage(held.where("first_doc < last_doc").select("digest", "size", "first_doc"), "repeated")
-    hits = found.withColumn("size", size).join(repeated, ["digest", "size"])
-    # neighbours make a run: their places less their ranks are equal
-    run = F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id").orderBy("nth"))
-    whole = W.partitionBy("doc_id", "run")
-    hits = hits.withColumn("run", run).withColumn("chars", F.max("stop").over(whole) - F.min("start").over(whole))
-    hits = stage(hits.where(F.col("chars") >= min_span).drop("chars"), "hits")
-    # an earlier document that holds a chunk outside any passage doesn't keep it for the passage's copies
-    keepers = hits.groupBy("digest", "size").agg(
-        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last_doc"), F.min("first_doc").alias("first_doc")
+    place = lambda side, doc, key, at: F.struct(F.lit(side).alias("side"), F.col(doc).alias("doc_id"), F.col(key).alias("key"), F.col(at).alias("at"))
+    wanted = F.array(
+        place("own_a", "doc_id", "key", "a.start"),
+        place("other_a", "a.other.doc_id", "a.other.key", "a.other.start"),
+        place("own_z", "doc_id", "key", "z.stop"),
+        place("other_z", "z.other.doc_id", "z.other.key", "z.other.stop"),
     )
-    keepers = stage(keepers.where("first_doc < keeper and keeper < last_doc").select("digest", "size", "keeper"), "keepers")
-    kept = F.col("doc_id") == F.coalesce("keeper", "first_doc")
-    hits = hits.join(keepers, ["digest", "size"], "left").select("doc_id", "run", "nth", "start", "stop", kept.alias("kept"))
-    part = F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id", "run", "kept").orderBy("nth"))
-    parts = hits.withColumn("part", part).groupBy("doc_id", "run", "kept", "part")
-    return parts.agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc_id", "start", "stop", "kept")
+    asked = stage(ends.select(F.struct("doc_id", "key", "run").alias("id"), F.explode(wanted).alias("w")).select("id", "w.*"), "asked")
+    told = stage(_context(docs, asked.select("doc_id", "key", "at")), "contexts")
+    told = told.withColumnsRenamed({"doc_id": "t_doc", "key": "t_key", "at": "t_at"})
+    same = F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key")) & (F.col("at") == F.col("t_at"))
+    told = asked.join(told, same).select("id", "side", F.when(F.col("side").endswith("a"), F.col("before")).otherwise(F.reverse("after")).alias("text"))
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("text")))
+    sides = told.groupBy("id").agg(*[side(n).alias(n) for n in ("own_a", "other_a", "own_z", "other_z")])
+    grown = sides.select("id.*", _shared_end("own_a", "other_a").alias("more_a"), _shared_end("own_z", "other_z").alias("more_z"))
+    grown = stage(grown, "grown").withColumnsRenamed({"doc_id": "g_doc", "key": "g_key", "run": "g_run"})
+    same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("key") == F.col("g_key")) & (F.col("run") == F.col("g_run"))
+    whole = W.partitionBy("doc_id", "key", "run")
+    rows = hits.join(grown, same).withColumns({"first_nth": F.min("nth").over(whole), "last_nth": F.max("nth").over(whole)})
+    rows = rows.withColumn("chars", F.col("chars") + F.col("more_a") + F.col("more_z")).where(F.col("chars") >= min_span)
+    more = lambda edge, by: F.when(F.col("nth") == F.col(edge), F.col(by)).otherwise(0)
+    return rows.select(
+        "doc_id", "key", "run", "nth", (F.col("start") - more("first_nth", "more_a")).alias("start"), (F.col("stop") + more("last_nth", "more_z")).alias("stop"), "digest", "size"
+    )
+
+
+def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc_id, key, start, stop, kept): passages of `min_span` characters or more that occur elsewhere too.
+
+    Elsewhere is another document or another place of the same one. `min_span` is asked of a passage
+    as a whole, which is then split where its chunks' fates change. kept is true where this is the
+    first place of the part in any passage: places go by doc_id, those without a doc_id last, then by
+    the text's digest and the place in it. A digest goes with its chunk's length; a chance collision
+    of 64 bits would have to befall chunk after chunk to matter. Null texts have none; rows equal in
+    doc_id and text are one document; texts that differ are told apart even under one doc_id.
+    """
+    hits = stage(passages(docs, min_span), "passages")
+    keepers = stage(hits.groupBy("digest", "size").agg(F.min(_place("nth")).alias("keeper")), "keepers")
+    kept = (F.col("keeper.nth") == F.col("nth")) & (F.col("keeper.key") == F.col("key")) & F.col("keeper.doc_id").eqNullSafe(F.col("doc_id"))
+    hits = hits.join(keepers, ["digest", "size"]).select("doc_id", "key", "run", "nth", "start", "stop", kept.alias("kept"))
+    part = F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id", "key", "run", "kept").orderBy("nth"))
+    parts = hits.withColumn("part", part).groupBy("doc_id", "key", "run", "kept", "part")
+    return parts.agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("doc_id", "key", "start", "stop", "kept")
 
 
 def shared_documents(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """A row for each document with shared spans: doc_id, n_spans, shared_chars, removed_chars, spans.
 
-    spans lists start:stop of each, in order, those that go with a minus sign before them.
+    spans lists start:stop of each, in order, those that go with a minus sign before them. Texts
+    that differ are documents of their own, with a row each, even under one doc_id or without one.
     """
     size = F.col("stop") - F.col("start")
     label = F.concat(F.when(F.col("kept"), "").otherwise("-"), F.concat_ws(":", "start", "stop"))
     return (
         shared_spans(docs, min_span)
-        .groupBy("doc_id")
+        .groupBy("doc_id", "key")
         .agg(
             F.count("*").alias("n_spans"),
             F.sum(size).alias("shared_chars"),
@@ -149,12 +236,12 @@ def shared_documents(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("start", "stop", label.alias("label")))).alias("listed"),
         )
         .withColumn("spans", F.array_join(F.transform("listed", lambda s: s["label"]), ","))
-        .drop("listed")
+        .drop("listed", "key")
     )
 
 
 def deduplicate(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """`docs` without the spans that another document keeps, all columns and rows as they were otherwise."""
+    """`docs` without the spans that an earlier place keeps, all columns and rows as they were otherwise."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -163,14 +250,14 @@ def deduplicate(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
             at, parts = 0, []
             for s in sorted(gone, key=lambda s: s["start"]):
                 parts.append(text[at : s["start"]])
-                at = s["stop"]
+                at = max(at, s["stop"])
             out.append("".join([*parts, text[at:]]))
         return pa.array(out, pa.string())
 
     gone = shared_spans(docs, min_span).where("not kept")
-    gone = stage(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone")), "gone")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    rows = rows.join(gone, rows.id == gone.doc_id, "left").select("row", "gone")
+    gone = stage(gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("gone")), "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("own"), F.struct("*").alias("row"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key")), "left").select("row", "gone")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
         cut(F.coalesce("row.text", F.lit("")), F.coalesce("gone", F.array().cast("array<struct<start:int,stop:int>>")))
     )

@@ -13,6 +13,7 @@ from evidentia.llm import decontaminate, language, licenses, mixing, personal, q
 from evidentia.llm.components import roots
 
 RANDOM = random.Random(7)
+SAME = "one two three four five six seven eight nine ten " * 8
 PROSE = [" ".join("".join(RANDOM.choices("abcdefghijklmnop", k=RANDOM.randint(2, 9))) for _ in range(n)) for n in (120, 90, 200, 60, 150)]
 PASSAGE = " ".join("".join(RANDOM.choices("qrstuvwxyz", k=RANDOM.randint(3, 8))) for _ in range(55))
 
@@ -70,7 +71,9 @@ def test_odd_results(odd_docs):
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(odd_docs).collect())
     assert kept == [(False, i) for i in (1, 3, 6, 7, 8, 9, 10)]
     shared = {r.doc_id: r for r in substrings.shared_documents(odd_docs).collect()}
-    assert set(shared) == {1, 2} and shared[1].removed_chars == 0 and shared[2].removed_chars > 300
+    assert set(shared) == {None, 1, 2, 6, 9, 10} and shared[2].removed_chars == shared[None].removed_chars == len(SAME)
+    clean = [(r.doc_id, r.text) for r in substrings.deduplicate(odd_docs).collect()]
+    assert clean.count((2, "")) == clean.count((None, "")) == 1 and len(set(t for d, t in clean if d == 1)) == 1
     plan = mixing.plan(odd_docs).collect()
     assert all(r.copies == 0 for r in plan if r["size"] == 0) and all(r.copies <= 2 for r in plan)
 
@@ -85,6 +88,31 @@ def test_chunks_resist_insertion(spark):
     assert clean[3].startswith("é" * 7 + PROSE[4][:-60])
 
 
+def test_passages_are_extended_to_their_bounds(spark):
+    """Of 150 passages of 51 words in two documents each, every one is found, and its bounds are its own."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    shared = [prose(51) for _ in range(150)]
+    texts = [f"{prose(40)} 1 {p} 2 {prose(30)}" for p in shared] + [f"{prose(25)} 3 {p} 4 {prose(50)}" for p in shared]
+    found = {r.doc_id: r for r in substrings.shared_documents(frame(spark, texts)).collect()}
+    assert set(found) == set(range(300))
+    for i, text in enumerate(texts):
+        at = text.index(shared[i % 150])
+        a, b = (int(x) for x in found[i].spans.lstrip("-").split(":"))
+        assert (a, b) == (at - 1, at + len(shared[i % 150]) + 1) and (found[i].removed_chars > 0) == (i >= 150)
+
+
+def test_repeats_within_a_document_and_without_id(spark):
+    texts = [f"{PROSE[0]}\n{PASSAGE}\n{PROSE[1]}\n{PASSAGE}\n{PROSE[2]}", f"{PROSE[3]}\n{PASSAGE}\n{PROSE[4]}"]
+    rows = [(0, texts[0]), (None, texts[1]), (7, PROSE[0][:150] + "q"), (7, PROSE[3] + "r"), (7, "z " + PROSE[4][:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [r.text for r in substrings.deduplicate(docs).collect()]
+    joined = "".join(clean)
+    assert joined.count(PASSAGE[5:-5]) == 1 and len(clean) == 5
+    assert all(p in joined for p in (PROSE[1], PROSE[2], PROSE[4][60:]))
+    assert "z " + PROSE[4][:60] in clean and "q" in clean  # what shares nothing is as it was
+
+
 def test_rolling_hash_depends_on_its_window_only():
     data = np.frombuffer((PROSE[0] + PASSAGE).encode(), np.uint8)
     cuts = set(substrings._cut_places(data))
@@ -400,7 +428,7 @@ def test_every_word_and_pair_is_scored(spark, monkeypatch):
 def test_a_passage_is_measured_before_its_parts(spark):
     """A document that holds one chunk of a passage doesn't hide the copy that the passage's other copies give way to."""
     passage = PASSAGE[:200]
-    texts = [f"{PROSE[4]} {passage[5:115]} {PROSE[4][:50]}", f"{PROSE[0]} {passage} {PROSE[1]}", f"{PROSE[2]} {passage} {PROSE[3]}"]
+    texts = [f"{PROSE[4][:300]} {passage[5:100]} {PROSE[4][300:350]}", f"{PROSE[0]} {passage} {PROSE[1]}", f"{PROSE[2]} {passage} {PROSE[3]}"]
     docs = frame(spark, texts)
     chunks = {}
     for r in substrings.chunks(docs).collect():
