@@ -38,6 +38,7 @@ MIN_SUPPORT = 3
 #: Bits by which a term's company must surprise, beyond those that the number of pairs tried explains.
 SURPRISE = 7
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_TERM = 3
 
 
@@ -73,10 +74,14 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _words(text: Column) -> Column:
+    """Runs of letters of a text in lower case, repeats included, with an empty one where it ends in something else."""
+    return F.split(F.lower(text), _BETWEEN)
+
+
 def _terms(text: Column) -> Column:
-    """Terms of a text as they stand, repeats included: runs of letters, in lower case."""
-    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
-    return F.filter(F.transform(found, F.lower), lambda t: F.length(t) >= MIN_TERM)
+    """Distinct terms of a text: words of MIN_TERM letters or more."""
+    return F.filter(F.array_distinct(_words(text)), lambda t: F.length(t) >= MIN_TERM)
 
 
 def _sketch(text: Column) -> Column:
@@ -110,7 +115,7 @@ def holders(docs: DataFrame) -> DataFrame:
         one = lambda s: F.struct(
             s["kind"].alias("kind"),
             F.xxhash64(part(t["held"], s["start"], s["stop"])).alias("value"),
-            F.array_distinct(_terms(_context(t["held"], t["size"], s))).alias("terms"),
+            _terms(_context(t["held"], t["size"], s)).alias("terms"),
         )
         return F.transform("base", one)
 
@@ -127,7 +132,7 @@ def _pairs(held: DataFrame, *more: str) -> DataFrame:
 
 def _frequency(rows: DataFrame, terms: DataFrame, name: str) -> DataFrame:
     """In how many different texts of `rows` (text_key, text) each of `terms` stands."""
-    found = rows.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    found = rows.select("text_key", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
     return found.groupBy("term", "text_key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias(name))
 
 
@@ -160,8 +165,6 @@ def disclosures(docs: DataFrame, held: DataFrame, min_support: int = MIN_SUPPORT
     # texts with findings alone bound a term's frequency from below: what fails with that, fails
     fewest = stage(_frequency(held, beside.select("term").distinct(), "df_held"), "df_held")
     rows = stage(_revealing(rows.join(fewest, "term"), "df_held", n_docs, tested).drop("disclosure", "surprise"), "candidates")
-    if not rows.take(1):
-        return _revealing(rows, "df_held", n_docs, tested).select("term", "kind", "value", "disclosure")
     df = stage(_frequency(with_text, stage(rows.select("term").distinct(), "candidate_terms"), "df"), "df")
     return _revealing(rows.join(df, "term"), "df", n_docs, tested).select("term", "kind", "value", "disclosure")
 
