@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.text import bounded
 
 RATE = 0.1
+#: Characters under which an item must stand apart as words.
+SHORT = 20
 #: Bytes of items held at once; a larger benchmark is matched in blocks of items, a scan for each.
 BLOCK_BYTES = 2 << 20
 _RUN = re.compile(r"\S+")
@@ -42,18 +44,16 @@ def places(text: str) -> list[int]:
     return out
 
 
-def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the passage of `text` nearest to `pattern`, if within `most` edits; the first of equals."""
-    return _myers(pattern, text, most, anchored=False)
+def _ends(pattern: str, text: str, most: int, anchored: bool = False) -> Iterator[tuple[int, int]]:
+    """(distance, end) for each end in `text` of a passage within `most` edits of `pattern`, by Myers' bit-parallel columns.
 
-
-def _myers(pattern: str, text: str, most: int, anchored: bool) -> tuple[int, int] | None:
+    An anchored passage begins where `text` does.
+    """
     mask, high = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
     where: dict[str, int] = {}
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
-    up, down, score = mask, 0, len(pattern)
-    found, first = None, 1 if anchored else 0
+    up, down, score, first = mask, 0, len(pattern), int(anchored)
     for end, c in enumerate(text, 1):
         same = where.get(c, 0)
         vertical = same | down
@@ -64,27 +64,43 @@ def _myers(pattern: str, text: str, most: int, anchored: bool) -> tuple[int, int
         plus, minus = plus << 1 | first, minus << 1
         up = (minus | ~(vertical | plus)) & mask
         down = plus & vertical & mask
-        if score <= most and (found is None or score < found[0]):
-            found = score, end
-            if not score:
-                break
+        if score <= most:
+            yield score, end
         elif score - (len(text) - end) > most:  # a character changes the score by one at most
-            break
-    return found
+            return
+
 
+def passages(pattern: str, text: str, most: int, good: Callable[[int, int], bool] = lambda a, b: True) -> list[tuple[int, int, int]]:
+    """(distance, start, stop) of passages within `most` edits that `good` accepts, apart from one another.
 
-def nearest(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
-    """(distance, start, stop) of the passage of `text` nearest to `pattern`, if within `most` edits."""
+    Whole ones first, from the left, then those nearest to `pattern`, the first of equals; one that
+    `good` refuses hides no other.
+    """
+    found: list[tuple[int, int, int]] = []
     at = text.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    found = best_end(pattern, text, most)
-    if not found:
-        return None
-    distance, stop = found
-    back = text[max(0, stop - len(pattern) - distance) : stop][::-1]
-    length = _myers(pattern[::-1], back, distance, anchored=True)[1]
-    return distance, stop - length, stop
+    while at >= 0:
+        if good(at, at + len(pattern)):
+            found.append((0, at, at + len(pattern)))
+            at = text.find(pattern, at + len(pattern))
+        else:
+            at = text.find(pattern, at + 1)
+    if not most:
+        return found
+    edges = [0, *(x for _, a, b in found for x in (a, b)), len(text)]
+    for lo, hi in list(zip(edges[::2], edges[1::2], strict=True)):
+        if hi - lo < len(pattern) - most:
+            continue
+        own: list[tuple[int, int, int]] = []
+        for distance, end in sorted(_ends(pattern, text[lo:hi], most)):
+            latest = end - len(pattern) + distance  # no passage that ends here begins later
+            if any(a < end and latest < b for _, a, b in own):
+                continue
+            back = text[max(lo, lo + end - len(pattern) - distance) : lo + end][::-1]
+            start = end - min(_ends(pattern[::-1], back, distance, anchored=True), default=(0, end))[1]
+            if start < end and not any(a < end and start < b for _, a, b in own) and good(lo + start, lo + end):
+                own.append((distance, start, end))
+        found += [(d, lo + a, lo + b) for d, a, b in own]
+    return sorted(found, key=lambda m: m[1])
 
 
 def _runs(cuts: list[int], piece: int) -> tuple[tuple[int, int, int], ...]:
@@ -138,7 +154,7 @@ class Matcher:
         """Whether a run of pieces lies where it should, an item beginning at about `start`, within its edits."""
         a, b, most = run
         passage, part = clean[max(0, start + a - most) : max(0, start + b + most)], item[a:b]
-        return part in passage or best_end(part, passage, most) is not None
+        return part in passage or next(_ends(part, passage, most), None) is not None
 
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start, stop) of passages in `text`, places those of the text itself."""
@@ -147,10 +163,10 @@ class Matcher:
         for n, own in self._windows(clean).items():
             item_id, item, most = self.items[n]
             for lo, hi in own:
-                found = nearest(item, clean[lo:hi], most)
-                if found and (len(item) >= 20 or self.whole(clean, lo + found[1], lo + found[2])):
+                apart = lambda a, b, lo=lo: len(item) >= SHORT or self.whole(clean, lo + a, lo + b)  # noqa: E731, B023
+                for distance, start, stop in passages(item, clean[lo:hi], most, apart):
                     back = back or places(text)
-                    yield item_id, found[0], back[lo + found[1]], back[lo + found[2] - 1] + 1
+                    yield item_id, distance, back[lo + start], back[lo + stop - 1] + 1
 
     @staticmethod
     def whole(text: str, start: int, stop: int) -> bool:
@@ -163,30 +179,35 @@ def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
+def _sorted(held: set[tuple[int | None, str]]) -> tuple[tuple[int | None, str], ...]:
+    return tuple(sorted(held, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+
 def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple[tuple[int, str], ...]]:
-    """Items (item_id, text) in blocks of bounded size; those without id or words are left out."""
+    """Items (item_id, text) in blocks of bounded size; those without words are left out."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     held: set[tuple[int, str]] = set()
     size = 0
-    for r in rows.where("item_id is not null and text is not null").toLocalIterator():
+    for r in rows.where("text is not null").toLocalIterator():
         text = normal(r.text)
         if not text:
             continue
         if held and size + len(text) > most:
-            yield tuple(sorted(held))
+            yield _sorted(held)
             held, size = set(), 0
         held.add((r.item_id, text))
         size += len(text)
     if held:
-        yield tuple(sorted(held))
+        yield _sorted(held)
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, start, stop): passages of `items` in whole texts of `docs`.
 
-    start and stop are code points of the text as it is. Places of an item whose search windows
-    overlap give one row, the nearest passage. Null texts have none; repeated rows give repeated
-    rows; a null doc_id stays null.
+    start and stop are code points of the text as it is. Every passage of an item gives a row; those
+    that overlap give one, the nearest. Items of under SHORT characters must stand apart as words. Null
+    and empty texts and items have none; repeated rows give repeated rows, repeated items one; a null
+    doc_id or item_id stays null; columns but ids and texts aren't read, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +235,11 @@ def _scan(shared, rate: float):
 
 
 def remove(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of `docs` that hold no passage of `items`. Texts aren't shuffled; null texts stay."""
+    """The rows of `docs` that hold no passage of `items` (see `matches`), in the same columns.
+
+    Texts aren't shuffled. Null and empty texts stay; items without an id count like others; without
+    items all rows stay; rows that repeat are each kept or not.
+    """
     rows = docs
     for block in blocks(items):
         rows = rows.where(~_holds(docs.sparkSession.sparkContext.broadcast(block), rate)(F.coalesce("text", F.lit(""))))
@@ -225,6 +250,8 @@ def _holds(shared, rate: float):
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
         matcher = _matcher(shared.value, rate)
-        return pa.array([next(matcher.find(t), None) is not None for t in texts.to_pylist()], pa.bool_())
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [next(matcher.find(t), None) is not None for part in bounded([batch], "text") for t in part.column("text").to_pylist()]
+        return pa.array(found, pa.bool_())
 
     return holds

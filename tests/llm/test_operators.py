@@ -51,6 +51,9 @@ def test_odd_tables_with_two_inputs(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "x"), (2, None), (3, ""), (None, "y"), (4, "six seven eight nine ten one two")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.matches(odd_docs, items).collect()}
     assert found == {(1, 4), (2, 4), (None, 4), (7, 1)}
+    assert len([r for r in decontaminate.matches(odd_docs, items).collect() if r.doc_id == 2]) == 7
+    stay = Counter(r.doc_id for r in decontaminate.remove(odd_docs, items).collect())
+    assert stay == {None: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1}
     assert decontaminate.matches(odd_docs, items.limit(0)).collect() == []
     assert decontaminate.remove(no_docs, items).collect() == []
     labels = spark.createDataFrame([(1, 1), (1, 0), (9, 0), (None, 1)], "doc_id long, quality int")
@@ -134,16 +137,46 @@ def test_edit_matching(spark):
     assert [r.doc_id for r in decontaminate.remove(frame(spark, texts), items).collect()] == [1, 2]
 
 
-def test_nearest_is_levenshtein():
-    for _ in range(200):
+def test_passages_are_levenshtein():
+    for _ in range(300):
         a = "".join(RANDOM.choices("abc", k=RANDOM.randint(1, 12)))
-        b = "".join(RANDOM.choices("abc", k=RANDOM.randint(0, 20)))
-        best = min(brute.edits(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
-        found = decontaminate.nearest(a, b, 3)
-        if best > 3 or not b:
-            assert found is None or found[0] == best
-        else:
-            assert found[0] == best == brute.edits(a, b[found[1] : found[2]])
+        b = "".join(RANDOM.choices("abc", k=RANDOM.randint(1, 20)))
+        best = min(brute.edits(a, b[i:j]) for i in range(len(b) + 1) for j in range(i + 1, len(b) + 1))
+        found = decontaminate.passages(a, b, 3)
+        assert (min(found)[0] if found else 4) == min(best, 4) or len(a) <= 3
+        assert all(brute.edits(a, b[i:j]) == d <= 3 for d, i, j in found)
+        assert all(x[2] <= y[1] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_every_passage_counts(spark):
+    items = spark.createDataFrame([(1, "cat in hat"), (None, PASSAGE[:150]), (3, PASSAGE[150:240])], "item_id long, text string")
+    near = PASSAGE[150:180] + "#" + PASSAGE[181:240]
+    texts = ["xcat in hat cat in hat", "xcat in hattt cattt in hatx", PROSE[0] + PASSAGE[:150] + PROSE[1], near + " " + PASSAGE[150:240] + near, "cat in hat, cat in hat"]
+    rows = decontaminate.matches(frame(spark, texts), items).collect()
+    found = Counter((r.doc_id, r.item_id) for r in rows)
+    assert found == {(0, 1): 1, (2, None): 1, (3, 3): 3, (4, 1): 2}
+    assert [(r.start, r.stop) for r in rows if r.doc_id == 0] == [(12, 22)]
+    assert [r.doc_id for r in decontaminate.remove(frame(spark, texts), items).collect()] == [1]
+
+
+def test_no_edited_passage_is_missed(spark):
+    """Passages with edits up to the budget, at random places and of all kinds, against distances of plain tables."""
+    rng = random.Random(4)
+    item, texts, sure = PASSAGE[:180], [], set()
+    for i in range(120):
+        passage = list(item)
+        for _ in range(rng.randint(0, 24)):
+            k = rng.randrange(len(passage))
+            passage[k : k + rng.randint(0, 1)] = rng.choices(["#", "", "q w"], k=1)
+        text = PROSE[i % 5][:80] + " " + "".join(passage) + " " + PROSE[(i + 1) % 5][:60]
+        texts.append(text)
+        if brute.edits(item, " ".join("".join(passage).split())) <= 18:
+            sure.add(i)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = decontaminate.matches(frame(spark, texts), items).collect()
+    assert sure <= {r.doc_id for r in rows} and 20 < len(sure) < 110
+    for r in rows:
+        assert brute.edits(item, " ".join(texts[r.doc_id][r.start : r.stop].lower().split())) == r.distance <= 18
 
 
 def test_quota_tree():
