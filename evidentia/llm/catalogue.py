@@ -51,7 +51,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         "source_size",
         "target",
-        (F.col("size") * F.col("copies")).alias("taken"),
+        (F.col("size") * F.col("copies") + F.col("part")).alias("taken"),
         F.array_join("shards", ",").alias("shards"),
     )
 

@@ -78,7 +78,8 @@ def test_odd_results(odd_docs):
     clean = [(r.doc_id, r.text) for r in substrings.deduplicate(odd_docs).collect()]
     assert clean.count((2, "")) == clean.count((None, "")) == 1 and len(set(t for d, t in clean if d == 1)) == 1
     plan = mixing.plan(odd_docs).collect()
-    assert all(r.copies == 0 for r in plan if r["size"] == 0) and all(r.copies <= 2 for r in plan)
+    assert all(r.copies == r.part == 0 for r in plan if r["size"] == 0)
+    assert all(r.copies * r["size"] + r.part <= 2 * r["size"] and len(r.shards) == r.copies + (r.part > 0) for r in plan)
 
 
 def test_chunks_resist_insertion(spark):
@@ -184,17 +185,69 @@ def test_quota_tree():
     shares = mixing.split_quotas(quotas, 16)
     assert (shares.sum(axis=1) == quotas).all() and np.ptp(shares.sum(axis=0)) <= 1
     assert (shares == mixing.split_quotas(quotas, 16)).all()
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
-
-
-def test_mix_rows_follow_the_plan(small):
+    leaves = np.array([1300, 0, 44])
+    shares = mixing.split_quotas(quotas, leaves)
+    assert (shares.sum(axis=1) == quotas).all() and (shares.sum(axis=0) == leaves).all()
+
+
+def test_targets_of_many_sources(spark):
+    """Levels and numbers worked out in the cluster are those of a plain loop, null source last."""
+    rng = random.Random(8)
+    totals = {f"s{i:03}é": int(rng.paretovariate(0.4)) for i in range(300)} | {None: 12, "": 7, "Z": 0}
+    rows = spark.createDataFrame(list(totals.items()), "source string, source_size long").repartition(7)
+    found = {r.source: r for r in mixing.with_targets(mixing._numbered(rows)).collect()}
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    assert [found[s].nth for s in order] == list(range(len(order)))
+    aims = brute.mixing_targets(totals)
+    assert all(found[s].target == pytest.approx(aims[s]) for s in order)
+
+
+def near_targets(plan):
+    taken, aim = Counter(), {}
+    for r in plan:
+        taken[r.source] += r["size"] * r.copies + r.part
+        aim[r.source] = r.target
+        assert r["size"] * r.copies + r.part <= 2 * r["size"]
+    return all(abs(taken[s] - aim[s]) <= 0.01 * aim[s] + 1 for s in aim)
+
+
+def test_targets_of_coarse_sources(spark):
+    """Rows without ids, rows that are all alike, and sources of one document meet their targets."""
+    rows = [(None, f"{PROSE[i % 5]} {i}", "a") for i in range(50)] + [(None, PROSE[1], "b")] * 50 + [(1, PROSE[2], "c"), (2, PROSE[3], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert near_targets(mixing.plan(docs).collect())
+    assert near_targets(mixing.plan(docs.where("source = 'a'")).collect())
+    assert near_targets(mixing.plan(docs.where("source = 'c'")).collect())
+    words = Counter()
+    for r in mixing.mix(docs).collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[r.source] - r.target) <= 0.01 * r.target + 1 for r in mixing.plan(docs).collect())
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 0}, {"SOURCES": 3}])
+def test_mix_rows_follow_the_plan(small, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(mixing, name, value)
     plan = {r.doc_id: r for r in mixing.plan(small).collect()}
     mixed = mixing.mix(small).collect()
-    assert len(mixed) == sum(r.copies for r in plan.values())
-    by_doc = {}
+    assert len(mixed) == sum(len(r.shards) for r in plan.values())
+    by_doc, words = {}, Counter()
     for r in mixed:
         by_doc.setdefault(r.doc_id, []).append(r.mix_shard)
+        words[r.doc_id] += len(brute.words(r.text))
     assert all(sorted(by_doc.get(i, [])) == sorted(r.shards) for i, r in plan.items())
+    assert all(words[i] == r["size"] * r.copies + r.part for i, r in plan.items())
+    places = [(r.mix_shard, r.mix_order) for r in mixed]
+    assert places == sorted(places) and near_targets(plan.values())
+    shards = Counter(s for r in plan.values() for s in r.shards)
+    assert len(shards) == mixing.SHARDS and max(shards.values()) - min(shards.values()) <= 30
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, PROSE[i % 5], "s", i, "x", 1) for i in range(20)], "doc_id long, text string, source string, mix_shard long, MIX_ORDER string, block int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "mix_shard_input", "MIX_ORDER_input", "block", "mix_shard", "mix_order"]
+    assert all(r.mix_shard_input == r.doc_id and r.MIX_ORDER_input == "x" for r in mixed.collect())
 
 
 def test_near_pairs_match_brute_force():

@@ -63,11 +63,10 @@ def test_op3_reaches_targets(spark, docs):
     for i, r in found.items():
         assert r["size"] == size[i] and r.source_size == totals[docs[i].source]
         assert r.target == pytest.approx(aims[docs[i].source])
-        assert r.taken <= 2 * r["size"] and r.taken % max(1, r["size"]) == 0
+        assert r.taken <= 2 * r["size"]
         taken[docs[i].source] += r.taken
     for s, aim in aims.items():
-        least = min(size[i] for i, r in docs.items() if r.source == s and size[i])
-        assert abs(taken[s] - aim) <= max(0.05 * aim, 2 * least)
+        assert abs(taken[s] - aim) <= 0.005 * aim + 1
     assert found == run(spark, "op3_mixing")
 
 
