@@ -3,7 +3,8 @@
 All templates are put into one automaton of words. A text is streamed through it once, which
 gives at each word the longest passage of any template that ends there; passages that can't
 be carried on are long matches, and matches that follow each other both in the text and in
-a template chain to the span that the template covers.
+a template chain to the span that the template covers. A span names its licence if it covers
+enough of the template, or holds a long passage that no other licence has.
 """
 
 from __future__ import annotations
@@ -19,42 +20,123 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.text import as_bytes, bounded
 
-# Phrases of the base scan, and well-known openings of public licences.
+# Phrases of the base scan, and texts of public licences: whole where they are short,
+# else the whole notice that their authors ask for; statements are sentences by which texts are licensed.
 PHRASES = {
     "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-    "associated documentation files the software to deal in the software without restriction including without "
-    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in "
-    "compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided "
-    "that the following conditions are met redistributions of source code must retain the above copyright notice "
-    "this list of conditions and the following disclaimer",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-    "general public license as published by the free software foundation either version",
-    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu "
-    "lesser general public license as published by the free software foundation either version",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the "
-    "mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-    "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy "
-    "modify publish use compile sell or distribute this software",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+_MIT = """
+    Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+    "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+    HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+    ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+    promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+    COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+    COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+    DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+    BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+    (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+    POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """
+    Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+    provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS
+    IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+    DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+    NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """
+    This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+    for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+    purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+    restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+    software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+    is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+    original software. 3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """
+    Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+    accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+    transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+    is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement,
+    including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
+    Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are
+    solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED
+    "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR
+    ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+    ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """
+    This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+    compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+    commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+    this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+    the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+    overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_APACHE = """
+    Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+    License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+    law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+    WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+    permissions and limitations under the License."""
+_MPL = """
+    This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_GNU = """
+    This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public
+    License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any
+    later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for
+    more details. You should have received a copy of the GNU {name} General Public License along with this {work}."""
+_STATEMENTS = {
+    "mit": "Released under the MIT License",
+    "apache-2": "Licensed under the Apache License, Version 2.0",
+    "bsd": "Licensed under the BSD License",
+    "mpl-2": "Licensed under the Mozilla Public License, version 2.0",
+    "gpl-2": "Licensed under the GNU General Public License, version 2",
+    "gpl-3": "Licensed under the GNU General Public License, version 3",
+    "lgpl-3": "Licensed under the GNU Lesser General Public License, version 3",
+    "agpl-3": "Licensed under the GNU Affero General Public License, version 3",
+    "cc-by": "Licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-nc": "Licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
+    "cc-by-sa": "Licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
 }
+TEMPLATES = [
+    *[("mit", _MIT), ("bsd", _BSD), ("isc", _ISC), ("zlib", _ZLIB), ("boost", _BOOST), ("unlicense", _UNLICENSE), ("apache-2", _APACHE), ("mpl-2", _MPL)],
+    ("gpl-2", _GNU.format(work="program", name="", version="2")),
+    ("gpl-3", _GNU.format(work="program", name="", version="3")),
+    ("lgpl-2", _GNU.format(work="library", name="Lesser", version="2.1")),
+    ("lgpl-3", _GNU.format(work="library", name="Lesser", version="3")),
+    ("agpl-3", _GNU.format(work="program", name="Affero", version="3")),
+    *_STATEMENTS.items(),
+]
 #: Words of a match worth chaining, of the widest gap in a chain, and the share of a template that names it.
-MIN_MATCH = 4
+MIN_MATCH = 3
 MAX_GAP = 12
-MIN_COVERAGE = 0.6
+MIN_COVERAGE = 0.8
+#: Words in a row that name a licence whatever share of it they are, if no other licence has them.
+DISTINCT = 25
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def words(text: str) -> list[str]:
+    """Words of a text in lower case, as the scan takes them."""
+    return [w.decode() for w in _WORD.findall(text.encode().lower())]
+
+
 class Found(NamedTuple):
     """What a scan of one text gives; places count words from 0."""
 
@@ -71,19 +153,17 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.templates = [(label, len(words)) for label, words in templates]
-        self.ends: list[dict[int, int]] = [{}]
-        states: list[tuple[int, int, int]] = []
+        self.ends: list[set[tuple[int, int]]] = [set()]  # (template, place) of each passage's last word
         for n, (_, words) in enumerate([*templates, *phrases]):
             last = 0
             for at, word in enumerate(words):
                 last = self._extend(last, self.ids.setdefault(word.encode(), len(self.ids)))
                 if n < len(templates):
-                    self.ends[last].setdefault(n, at)
+                    self.ends[last].add((n, at))
         # a state's places in templates are also those of all its suffixes
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for n, at in self.ends[state].items():
-                known = self.ends[self.link[state]]
-                known[n] = min(at, known.get(n, at))
+            if self.link[state]:
+                self.ends[self.link[state]] |= self.ends[state]
         self.phrases: list[tuple[tuple[int, str], ...]] = [()] * len(self.link)
         whole = {self._walk(words): (len(words), label) for label, words in phrases}
         for state in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
@@ -100,7 +180,7 @@ class Automaton:
         self.next.append(follow)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, state: int, word: int, target: int) -> int:
@@ -153,35 +233,48 @@ class Automaton:
         return Found(len(words), base, list(self._chains(matches)) if matches else [])
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, float]]:
-        """Spans (label, start, stop, coverage) of templates that chained matches cover enough of."""
-        open_chains: dict[int, list[int]] = {}  # start, stop in the text, stop in the template, words
+        """Spans (label, start, stop, coverage) that chained matches cover enough of, the best of those that overlap.
 
-        def close(n: int) -> Iterator[tuple[str, int, int, float]]:
-            start, stop, _, words = open_chains.pop(n)
-            label, total = self.templates[n]
-            if words >= MIN_COVERAGE * total:
-                yield label, start, stop, min(1.0, words / total)
+        A match stands at each of its places in each template. It goes on with the chain of that
+        template that covers most and lies before it, in the text and in the template, or begins one.
+        """
+        chains: dict[int, list[list]] = {}  # by template: start, stop, stop in the template, words covered, named
+        done: list[tuple[int, int, int, int, bool]] = []
+
+        def close(n: int, before: int) -> list[list]:
+            """Chains that may go on; the others are done."""
+            done.extend((c[3], n, c[0], c[1], c[4]) for c in chains.get(n, ()) if c[1] < before)
+            return [c for c in chains.get(n, ()) if c[1] >= before]
 
         for stop, size, state in matches:
-            for n, end in self.ends[state].items():
-                chain = open_chains.get(n)
-                begin, place = stop - size, end + 1 - size
-                if chain and begin - chain[1] <= MAX_GAP and place >= chain[2] - size and end + 1 > chain[2]:
-                    fresh = min(size, stop - chain[1], end + 1 - chain[2])
-                    chain[1:] = [stop, end + 1, chain[3] + max(0, fresh)]
-                else:
-                    if chain:
-                        yield from close(n)
-                    open_chains[n] = [begin, stop, end + 1, size]
-        for n in list(open_chains):
-            yield from close(n)
+            begin = stop - size
+            named = size >= DISTINCT and len({self.templates[n][0] for n, _ in self.ends[state]}) == 1
+            for n in sorted({n for n, _ in self.ends[state]}):
+                still, fresh = close(n, begin - MAX_GAP), {}
+                for at in sorted(at + 1 for m, at in self.ends[state] if m == n):
+                    ways = [(size, [begin, stop, at, size, named])]
+                    for c in still:
+                        if c[2] < at and c[1] < stop and at - size - c[2] <= MAX_GAP:
+                            words = c[3] + min(size, stop - c[1], at - c[2])
+                            ways.append((words, [c[0], stop, at, words, named or c[4]]))
+                    fresh[at] = max(ways, key=lambda w: w[0])[1]
+                chains[n] = still + list(fresh.values())
+        for n in list(chains):
+            chains[n] = close(n, 1 << 62)
+        taken: dict[str, list[tuple[int, int]]] = {}
+        for words, n, start, stop, named in sorted(done, key=lambda d: (-d[0], d[1], d[2])):
+            label, total = self.templates[n]
+            own = taken.setdefault(label, [])
+            if (named or words >= MIN_COVERAGE * total) and not any(a < stop and start < b for a, b in own):
+                own.append((start, stop))
+                yield label, start, stop, min(1.0, words / total)
 
 
 @lru_cache(maxsize=1)
 def automaton() -> Automaton:
     """The automaton of TEMPLATES and PHRASES."""
     return Automaton(
-        [(label, text.split()) for label, text in TEMPLATES.items()],
+        [(label, words(text)) for label, text in TEMPLATES],
         [(label, text.split()) for text, label in PHRASES.items()],
     )
 
@@ -189,7 +282,8 @@ def automaton() -> Automaton:
 def scan(docs: DataFrame) -> DataFrame:
     """A row for every row of `docs`: doc_id, n_words, base (array of label, start) and spans (label, start, stop, coverage).
 
-    Whole texts; a null text is empty and has neither.
+    Whole texts; a null text is empty and has neither; a null doc_id stays null; repeated rows each
+    get a row; columns but doc_id and text aren't read, whatever their names.
     """
     schema = (
         "doc_id long, n_words long, base array<struct<label:string,start:long>>, "
