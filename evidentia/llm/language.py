@@ -9,7 +9,6 @@ answer as not accepted.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,14 +17,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.text import bounded
+from evidentia.llm.text import bounded, text_key
+from evidentia.staging import stage
 
-#: Bound of the sample a language's dictionary is made of: rows, and bytes of one row's text.
+#: Bound of the sample a language's dictionary is made of: rows at most, and bytes after which no further row is taken.
 SAMPLE_ROWS = 64
-SAMPLE_ROW_CHARS = 16_384
 DICTIONARY_BYTES = 65_536
-#: Languages have names; more of them than this is an error.
-MAX_LANGUAGES = 1_000
+#: Rows of more characters are taken only where a language's shorter ones don't fill its dictionary.
+LONG_ROW = 16_384
+#: Languages whose dictionaries a worker holds at once; of more, texts meet one set after another.
+LANGUAGES = 128
 BLOCK_BYTES = 4_096
 LEVEL = 6
 #: Least share by which the second smallest size must exceed the smallest for an answer to be accepted.
@@ -34,26 +35,27 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_ROW_CHARS) -> dict[str, bytes]:
-    """Dictionary content for each language of `labelled` (doc_id, text, lang), from at most `rows` rows each.
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+    """Dictionary content for each language of `labelled` (doc_id, text, lang): at most `rows` whole rows each.
 
-    Rows are chosen by hash of doc_id: one for each of `rows` hash classes of a language.
+    One row is chosen for each of `rows` hash classes of a language, a shorter one before one of over
+    LONG_ROW characters, then the smallest hash. They are joined in that order until DICTIONARY_BYTES
+    are reached, so content doesn't depend on how the table is dealt. Rows without a text, a language
+    or a doc_id teach nothing; rows that repeat count once.
     """
     known = labelled.where("doc_id is not null and lang is not null and text is not null")
-    known = known.select("lang", "text", F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    least = known.groupBy("lang", F.pmod("h", F.lit(rows)).alias("class")).agg(F.min("h").alias("h"))
-    chosen = least.limit(MAX_LANGUAGES * rows + 1).select("lang", "h").collect()
-    if len(chosen) > MAX_LANGUAGES * rows:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not chosen:
-        return {}
-    keys = labelled.sparkSession.createDataFrame(chosen, "lang string, h long")
-    picked = known.join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", F.substring("text", 1, chars).alias("text"))
-    texts = defaultdict(set)
+    order = F.struct((F.length("text") > LONG_ROW).alias("long"), F.xxhash64("doc_id", F.lit("language")).alias("h"), text_key().alias("key"))
+    known = known.select("lang", F.col("text").cast("string").alias("text"), order.alias("rank"))
+    least = stage(known.groupBy("lang", F.pmod("rank.h", F.lit(rows)).alias("class")).agg(F.min("rank").alias("rank")), "chosen")
+    picked = known.join(least, ["lang", "rank"], "left_semi").orderBy("lang", "rank")
+    found: dict[str, bytes] = {}
+    last = None
     for r in picked.toLocalIterator():
-        if sum(len(t) for _, t in texts[r.lang]) < 4 * DICTIONARY_BYTES:
-            texts[r.lang].add((r.h, r.text.lower()))
-    return {k: "\n".join(t for _, t in sorted(v)).encode()[:DICTIONARY_BYTES] for k, v in texts.items()}
+        fresh = (r.lang, r.rank) != last
+        if fresh and len(found.get(r.lang, b"")) < DICTIONARY_BYTES:
+            found[r.lang] = found.get(r.lang, b"") + r.text.lower().encode() + b"\n"
+        last = (r.lang, r.rank)
+    return found
 
 
 @lru_cache(maxsize=4)
@@ -68,44 +70,51 @@ def _compressors(content: tuple[tuple[str, bytes], ...], level: int) -> dict[str
     return found
 
 
-def identify(text: str | None, content: tuple[tuple[str, bytes], ...]) -> tuple[str, float, bool]:
-    """(language, score, accepted) of one text.
-
-    score is 0 at a tie and nears 1 as the second language needs ever more bytes than the first.
-    Ties go to the first language by name. No letters, or nothing learned, give `und` and 0.
-    """
-    if not content or not text or not _LETTER.search(text):
-        return UNKNOWN, 0.0, False
+def sizes(text: str | None, content: tuple[tuple[str, bytes], ...]) -> list[tuple[int, str]]:
+    """(bytes, language) of a text in lower case, encoded block by block with each dictionary; none for a text without letters."""
+    if not text or not _LETTER.search(text):
+        return []
     data = text.lower().encode()
-    sizes = {
-        name: sum(len(c.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES))
+    return [
+        (sum(len(c.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES)), name)
         for name, c in _compressors(content, LEVEL).items()
-    }
-    best, *others = sorted(sizes, key=lambda name: (sizes[name], name))
-    if not others:
-        return best, 1.0, True
-    score = 1 - sizes[best] / sizes[others[0]]
-    return best, score, score >= MARGIN
+    ]
 
 
 def predict(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) for every row of `docs` (doc_id, text), whole texts."""
-    fixed = tuple(sorted(content.items()))
-    if len(fixed) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    shared = docs.sparkSession.sparkContext.broadcast(fixed)
+    """(doc_id, lang_pred, score, accepted) for every row of `docs` (doc_id, text), whole texts.
+
+    score is 0 at a tie and nears 1 as the second language needs ever more bytes than the first; with
+    one language it is 1. Ties go to the first language by name. A null text, one without letters, or
+    nothing learned give `und` and 0. A null doc_id stays null; repeated rows each get a row; columns
+    but doc_id and text aren't read. Of more than LANGUAGES languages one set is tried after another,
+    in the same pass over the texts; the two smallest sizes go along.
+    """
+    fixed = sorted(content.items())
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    two = "array<struct<size:long,name:string>>"
+    rows = source.withColumn("best", F.array().cast(two))
+    for lo in range(0, len(fixed), LANGUAGES):
+        rows = rows.mapInArrow(_tried(docs.sparkSession.sparkContext.broadcast(tuple(fixed[lo : lo + LANGUAGES]))), f"doc_id long, text string, best {two}")
+    first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+    score = F.when(first.isNull(), 0.0).when(second.isNull(), 1.0).otherwise(1 - first["size"] / second["size"])
+    rows = rows.select("doc_id", F.coalesce(first["name"], F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
+    return rows.withColumn("accepted", F.col("score") >= MARGIN)
+
+
+def _tried(shared):
+    """The two smallest of the sizes that came along and of those by one set of dictionaries."""
+    kind = pa.list_(pa.struct([("size", pa.int64()), ("name", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            found = [identify(t, shared.value) for t in batch.column("text").to_pylist()]
-            names, scores, accepted = zip(*found, strict=True)
-            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns], ["doc_id", "lang_pred", "score", "accepted"]
-            )
+            best = []
+            for text, before in zip(batch.column("text").to_pylist(), batch.column("best").to_pylist(), strict=True):
+                found = sorted(sizes(text, shared.value) + [(x["size"], x["name"]) for x in before])[:2]
+                best.append([{"size": n, "name": name} for n, name in found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(best, kind)], ["doc_id", "text", "best"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return run
 
 
 def held_out(doc_id: Column) -> Column:

@@ -513,6 +513,28 @@ def test_automaton_statistics_match_brute_force():
         assert all(span[2] - span[1] >= licenses.MIN_MATCH for span in found.spans) and (longest >= licenses.MIN_MATCH or not found.spans)
 
 
+def test_language_sizes_match_plain_compression(small, monkeypatch):
+    """Sets of dictionaries, one after another, against the smallest of all plain compressed sizes."""
+    import zstandard
+
+    docs = small.select("doc_id", "text", "lang")
+    content = language.sample(docs.where("doc_id % 2 = 0"))
+    assert content == language.sample(docs.where("doc_id % 2 = 0").repartition(7)) and all(len(c) >= 1000 for c in content.values())
+    known = {r.doc_id: r.text.lower() for r in docs.collect()}
+    assert all(any(c.decode().startswith(t + "\n") for t in known.values()) for c in content.values())
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    found = {r.doc_id: r for r in language.predict(docs, content).collect()}
+    for i, text in list(known.items())[:60]:
+        size = {}
+        for name, data in content.items():
+            held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=held, level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+            raw = text.encode()
+            size[name] = sum(len(c.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+        first, second = sorted(size.items(), key=lambda x: (x[1], x[0]))[:2]
+        assert found[i].lang_pred == first[0] and found[i].score == pytest.approx(1 - first[1] / second[1])
+
+
 def test_loss_table_is_a_distribution():
     counts = np.random.default_rng(1).integers(0, 20, (12, 12)).astype(float)
     counts[:, 1] = 0
