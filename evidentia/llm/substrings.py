@@ -113,21 +113,30 @@ def _place(*fields: str) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", *fields)
 
 
-def _runs(docs: DataFrame, min_span: int) -> DataFrame:
-    """Runs of repeated chunks (doc_id, key, run, start, stop, head, tail, chunks): head and tail are other places of the first and last chunk."""
+def _runs(docs: DataFrame) -> DataFrame:
+    """Chunks that occur elsewhere too, in runs of neighbours: (doc_id, key, run, nth, start, stop, digest, size, chars, first_nth, last_nth)."""
     found = stage(chunks(docs), "chunks").withColumn("size", F.col("stop") - F.col("start"))
-    place = _place("nth", "start", "stop")
-    held = found.groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = stage(held.where("first <> last"), "repeated")
+    place = F.xxhash64("doc_id", "key", "nth")  # equal rows are one document: their chunks don't repeat each other
+    held = found.groupBy("digest", "size").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    repeated = stage(held.where("a <> b").select("digest", "size"), "repeated")
     hits = found.join(repeated, ["digest", "size"])
-    document = W.partitionBy("doc_id", "key")
-    # neighbours make a run: their places less their ranks are equal; repeated rows are one document
-    hits = hits.withColumn("run", F.col("nth") - F.dense_rank().over(document.orderBy("nth")))
-    own = (F.col("first.nth") == F.col("nth")) & (F.col("first.key") == F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
-    hits = hits.withColumn("other", F.when(own, F.col("last")).otherwise(F.col("first")))
+    # neighbours make a run: their places less their ranks are equal
+    hits = hits.withColumn("run", F.col("nth") - F.dense_rank().over(W.partitionBy("doc_id", "key").orderBy("nth")))
     whole = W.partitionBy("doc_id", "key", "run")
     chars = F.max("stop").over(whole) - F.min("start").over(whole)
-    return stage(hits.withColumn("chars", chars).where(F.col("chars") >= min(min_span, MIN_RUN)), "hits")
+    hits = hits.withColumns({"chars": chars, "first_nth": F.min("nth").over(whole), "last_nth": F.max("nth").over(whole)})
+    return stage(hits.where(F.col("chars") >= MIN_RUN), "hits")
+
+
+def _others(hits: DataFrame) -> DataFrame:
+    """First and last chunks of runs, each with another place of its digest as `other`: the first place, or the last for that."""
+    ends = hits.where("nth = first_nth or nth = last_nth")
+    asked = stage(ends.select("digest", "size").distinct(), "end_digests")
+    place = _place("nth", "start", "stop")
+    held = hits.join(asked, ["digest", "size"], "left_semi").groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    ends = ends.join(stage(held, "places"), ["digest", "size"])
+    own = (F.col("first.nth") == F.col("nth")) & (F.col("first.key") == F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    return stage(ends.withColumn("other", F.when(own, F.col("last")).otherwise(F.col("first"))), "ends")
 
 
 def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,16 +178,15 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     The first and last chunk of a run also hold the characters by which it was extended. Passages
     of under `min_span` characters are left out.
     """
-    hits = _runs(docs, min_span)
-    ends = hits.groupBy("doc_id", "key", "run").agg(
-        F.min(F.struct("nth", "start", "other")).alias("a"), F.max(F.struct("nth", "stop", "other")).alias("z")
+    hits = _runs(docs)
+    ends = _others(hits)
+    at = lambda side, place, field: F.struct(
+        F.lit(side).alias("side"), F.col(f"{place}doc_id").alias("doc_id"), F.col(f"{place}key").alias("key"), F.col(f"{place}{field}").alias("at")
     )
-    place = lambda side, doc, key, at: F.struct(F.lit(side).alias("side"), F.col(doc).alias("doc_id"), F.col(key).alias("key"), F.col(at).alias("at"))
-    wanted = F.array(
-        place("own_a", "doc_id", "key", "a.start"),
-        place("other_a", "a.other.doc_id", "a.other.key", "a.other.start"),
-        place("own_z", "doc_id", "key", "z.stop"),
-        place("other_z", "z.other.doc_id", "z.other.key", "z.other.stop"),
+    both = lambda edge, field: F.array(at(f"own_{edge}", "", field), at(f"other_{edge}", "other.", field))
+    wanted = F.concat(
+        F.when(F.col("nth") == F.col("first_nth"), both("a", "start")).otherwise(F.array()),
+        F.when(F.col("nth") == F.col("last_nth"), both("z", "stop")).otherwise(F.array()),
     )
     asked = stage(ends.select(F.struct("doc_id", "key", "run").alias("id"), F.explode(wanted).alias("w")).select("id", "w.*"), "asked")
     told = stage(_context(docs, asked.select("doc_id", "key", "at")), "contexts")
@@ -190,8 +198,7 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     grown = sides.select("id.*", _shared_end("own_a", "other_a").alias("more_a"), _shared_end("own_z", "other_z").alias("more_z"))
     grown = stage(grown, "grown").withColumnsRenamed({"doc_id": "g_doc", "key": "g_key", "run": "g_run"})
     same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("key") == F.col("g_key")) & (F.col("run") == F.col("g_run"))
-    whole = W.partitionBy("doc_id", "key", "run")
-    rows = hits.join(grown, same).withColumns({"first_nth": F.min("nth").over(whole), "last_nth": F.max("nth").over(whole)})
+    rows = hits.join(grown, same)
     rows = rows.withColumn("chars", F.col("chars") + F.col("more_a") + F.col("more_z")).where(F.col("chars") >= min_span)
     more = lambda edge, by: F.when(F.col("nth") == F.col(edge), F.col(by)).otherwise(0)
     return rows.select(
