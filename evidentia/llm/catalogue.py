@@ -158,7 +158,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    figures = ("target_bits", "background_bits", "score")
+    figures = ("target_bits", "background_bits", "corpus_bits", "score")
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in figures])
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate, language, licenses, mixing, personal, quality, scoring, secrets, simhash, substrings
@@ -535,14 +536,6 @@ def test_language_sizes_match_plain_compression(small, monkeypatch):
         assert found[i].lang_pred == first[0] and found[i].score == pytest.approx(1 - first[1] / second[1])
 
 
-def test_loss_table_is_a_distribution():
-    counts = np.random.default_rng(1).integers(0, 20, (12, 12)).astype(float)
-    counts[:, 1] = 0
-    table = 2.0 ** -scoring.losses(counts).astype(np.float64)
-    table[:, 1] = 0
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
-
-
 def test_word_counts_match_split(small):
     docs = small.select("doc_id", "text", "source")
     got = {r.doc_id: r["size"] for r in mixing.sizes(docs).collect()}
@@ -557,21 +550,32 @@ def test_every_word_and_pair_is_scored(spark, monkeypatch):
     good = {i for i in range(len(texts)) if i % 3 == 0} | {400}
     labels = spark.createDataFrame([(i, int(i in good)) for i in range(len(texts))], "doc_id long, quality int")
     split = [[None, *t.split()] if t else [None] for t in texts]
-    models = []
-    for chosen in (good, range(len(texts))):
+    def model(chosen):
         pairs = Counter(p for i in chosen for p in zip(split[i], split[i][1:], strict=False))
         before, own = Counter(), Counter()
         for (a, b), n in pairs.items():
             before[a] += n
             own[b] += n
-        models.append((pairs, before, own))
-    size = len(models[1][2])
-    assert size > 2_046
+        return pairs, before, own
 
-    def bits(model, text):
-        pairs, before, own = model
-        unigram = lambda b: (own[b] + scoring.ADDED) / (sum(own.values()) + scoring.ADDED * size)
-        lost = [-np.log2((pairs[a, b] + scoring.BACKOFF * unigram(b)) / (before[a] + scoring.BACKOFF)) for a, b in zip(text, text[1:], strict=False)]
+    size = len(model(range(len(texts)))[2])
+    assert size > 2_046
+    n_good, n_other = sum(len(split[i]) - 1 for i in good), sum(len(t) - 1 for i, t in enumerate(split) if i not in good)
+    drawn = lambda i: xxhash.xxh3_64_intdigest((texts[i] or "").encode(), i) >> 33
+    match = {i for i in range(len(texts)) if i not in good and drawn(i) < n_good / n_other * 2**31}
+    assert 0.7 < sum(len(split[i]) - 1 for i in match) / n_good < 1.4
+    models = [(chosen, model(chosen)) for chosen in (good, match, range(len(texts)))]
+
+    def bits(i, chosen, counted):
+        """Loss of a text under a model of all chosen texts but itself."""
+        pairs, before, own = counted
+        mine = model([i] if i in chosen else [])
+        text, total = split[i], sum(own.values()) - sum(mine[2].values())
+        unigram = lambda b: (own[b] - mine[2][b] + scoring.ADDED) / (total + scoring.ADDED * size)
+        lost = [
+            -np.log2((pairs[a, b] - mine[0][a, b] + scoring.BACKOFF * unigram(b)) / (before[a] - mine[1][a] + scoring.BACKOFF))
+            for a, b in zip(text, text[1:], strict=False)
+        ]
         return sum(lost) / len(lost)
 
     monkeypatch.setattr(scoring, "FEWEST", 1 << 10)
@@ -580,8 +584,27 @@ def test_every_word_and_pair_is_scored(spark, monkeypatch):
     for i, text in enumerate(split):
         assert found[i].n_tokens == len(text) - 1
         if len(text) > 1:
-            assert np.allclose([found[i].target_bits, found[i].background_bits], [bits(m, text) for m in models])
-    assert found[400].score > found[401].score  # they differ in a rare word only
+            plain = [bits(i, *m) for m in models]
+            assert np.allclose([found[i].target_bits, found[i].background_bits, found[i].corpus_bits], plain)
+            assert found[i].score == pytest.approx(plain[1] - plain[0])
+
+
+def test_scores_are_held_out_and_matched(spark):
+    """Documents of the target's language score higher, whether they are in the target or not; a lone odd one in it doesn't."""
+    rng = random.Random(12)
+    fresh = lambda letters, n: ["".join(rng.choices(letters, k=rng.randint(2, 5))) for _ in range(n)]
+    good, poor = fresh("abcde", 300), fresh("fghij", 300)
+    texts = [" ".join(rng.choices(w, k=60)) for w in [good] * 60 + [poor] * 140]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(199, 1)], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in scoring.score(frame(spark, texts), labels).collect()}
+    inside, outside, other = [found[i] for i in range(30)], [found[i] for i in range(30, 60)], [found[i] for i in range(60, 200)]
+    assert min(inside + outside) > max(other)
+    assert abs(np.mean(inside) - np.mean(outside)) < 0.1 * abs(np.mean(outside) - np.mean(other))
+    alike = scoring.score(frame(spark, texts), spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int"))
+    assert all(r.score == 0 for r in alike.collect())
+    copied = scoring.score(frame(spark, texts + texts[100:110]), labels).collect()
+    lone, twice = [r.corpus_bits for r in copied if 110 <= r.doc_id < 199], [r.corpus_bits for r in copied if 100 <= r.doc_id < 110]
+    assert max(twice) < min(lone)  # what the corpus holds again costs less
 
 
 def test_a_passage_is_measured_before_its_parts(spark):

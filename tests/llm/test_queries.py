@@ -89,11 +89,13 @@ def test_op4_base(spark, docs):
 
 
 def test_op5_prefers_good_documents(spark, docs):
-    found = run(spark, "op5_lm_scoring")
-    assert set(found) == set(docs)
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    """Held-out scores part labelled good from poor documents; a few hundred documents are too few to tell."""
+    assert set(run(spark, "op5_lm_scoring")) == set(docs)
+    more = SF.replace("0.001", "0.01")
+    found = {r.doc_id: r for r in catalogue.QUERIES["op5_lm_scoring"](spark, more).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{more}/labels.parquet").collect()}
     mean = lambda q: sum(s := [found[i].score for i, x in labels.items() if x == q and i in found]) / len(s)
-    assert mean(1) > mean(0)
+    assert mean(1) > mean(0) + 0.3
 
 
 @pytest.mark.parametrize(
