@@ -7,10 +7,12 @@ is read, survives lost executors and gives the optimizer real sizes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_PATHS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +41,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`build()` as a staged table; tables that were staged on the way to it are deleted."""
+    paths = _PATHS.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    out = stage(build(), name)
+    for path in paths[before:-1]:
+        _delete(spark, path)
+    del paths[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this session has staged. Results that read them must be written first."""
-    used = _ROOTS.pop(spark.sparkContext.applicationId, None)
-    if used:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(used)
-        path.getFileSystem(conf).delete(path, True)
+    app = spark.sparkContext.applicationId
+    _PATHS.pop(app, None)
+    if used := _ROOTS.pop(app, None):
+        _delete(spark, used)
