@@ -51,3 +51,23 @@ def test_stages(spark, small):
 def test_run_gives_the_last_stage(spark):
     rows = pipeline.run(spark, SF)
     assert {"doc_id", "text", "mix_shard", "mix_order"} <= set(rows.columns) and rows.count() > 100
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    """The whole chain on nulls, blanks, repeats and clashing names; texts under one id stay apart."""
+    from pyspark.sql import functions as F
+
+    prose = [" ".join(f"{a}{k}" for k in range(70)) for a in "abc"]
+    more = spark.createDataFrame([(2, t, "en", s, None, None, None) for t, s in zip([*prose, prose[0]], ["a", None, "a", "a"], strict=True)], odd_docs.schema)
+    docs = odd_docs.union(more).withColumn("mix_shard", F.lit("own")).withColumn("row", F.lit(1))
+    columns = docs.columns
+    for name, apply in pipeline.STAGES:
+        empty = apply(spark, no_docs, SF)
+        assert empty.collect() == []
+        docs = spark.createDataFrame(apply(spark, docs, SF).collect(), apply(spark, docs, SF).schema)
+        if name != "source_mix":
+            assert docs.columns == columns
+        if name == "near_dedup":
+            assert sorted(r.text for r in docs.where("doc_id = 2").collect()) == sorted(prose)
+    assert {"mix_shard_input", "mix_shard", "mix_order"} <= set(docs.columns) and docs.count() > 0
+    assert {t for t in prose if docs.where(F.col("text") == t).count()} <= set(prose)
