@@ -10,6 +10,7 @@ import difflib
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +77,13 @@ def casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def character_counts(texts: pa.Array) -> pa.Array:
+    """How many characters of a text lie in each of 64 classes of code points; null for null."""
+    counts = [None if t is None else np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in texts.to_pylist()]
+    return pa.array(counts, pa.list_(pa.int32()))
+
+
 @F.arrow_udf(T.DoubleType())
 def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matching-block ratio of two texts; not symmetric, as frequent characters of a long second text are left out."""

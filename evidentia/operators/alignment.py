@@ -6,12 +6,14 @@ what is still left is deleted or new.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import sequence_ratio
+from evidentia.functions.text import character_counts, sequence_ratio
 
 # Fixed values of the approximate stage.
 MIN_LENGTH = 40
@@ -60,21 +62,30 @@ def exact(old: DataFrame, new: DataFrame) -> DataFrame:
 def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Similar pages (document, previous_page, current_page, similarity, markup_changed) of two leftovers.
 
-    Only pages of equal images and nearly equal size meet, and only where lengths allow the
-    least similarity; the ratio itself is order-dependent and computed in Python.
+    Only pages of equal images, nearly equal size and of lengths that allow the least similarity meet:
+    lengths are dealt into bands so wide that no such pair lies more than one band apart. Characters in
+    common, counted by classes of code points, bound the ratio from above and lose no pair; the ratio
+    itself is order-dependent and computed in Python for what is left.
     """
+    shortest = MIN_SIMILARITY / (2 - MIN_SIMILARITY)  # of the longer length
+    band = F.floor(F.log(F.length("normalized_text").cast("double")) / -math.log(shortest)).alias("band")
     pick = lambda df, side: df.where(F.length("normalized_text") >= MIN_LENGTH).select(
         "document",
         "image_fingerprint",
+        band,
         *[F.col(c).alias(f"{side}_{c}") for c in ("page_number", "width", "height", "normalized_text", "vector_fingerprint", "annotation_fingerprint")],
+        character_counts(F.col("normalized_text")).alias(f"{side}_counts"),
     )
     a, b = F.length("old_normalized_text"), F.length("new_normalized_text")
+    common = F.aggregate(F.zip_with("old_counts", "new_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
     near = (
         (F.abs(F.col("old_width") - F.col("new_width")) <= SIZE_DELTA)
         & (F.abs(F.col("old_height") - F.col("new_height")) <= SIZE_DELTA)
         & (F.least(a, b) * 2 >= (a + b) * MIN_SIMILARITY)
     )
-    rows = pick(old, "old").join(pick(new, "new"), ["document", "image_fingerprint"]).where(near)
+    beside = pick(old, "old").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    rows = beside.join(pick(new, "new"), ["document", "image_fingerprint", "band"]).where(near)
+    rows = rows.where(common * 2 >= (a + b) * MIN_SIMILARITY)
     rows = rows.withColumn("similarity", sequence_ratio(F.col("old_normalized_text"), F.col("new_normalized_text")))
     markup = (F.col("old_vector_fingerprint") != F.col("new_vector_fingerprint")) | (
         F.col("old_annotation_fingerprint") != F.col("new_annotation_fingerprint")

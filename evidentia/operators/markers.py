@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import geometry as geo
 from evidentia.functions import text
-from evidentia.staging import stage
+from evidentia.operators.graphs import roots
 
 ON = ("document", "page_number")
 MIN_STROKE = 3.0
@@ -104,17 +104,12 @@ def adjacent(parts: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(document, id, component): component is the smallest id reached over pairs, by label spreading with staged rounds."""
-    both = stage(pairs.union(pairs.select("document", "b", "a")), "pairs")
-    labels = stage(nodes.select("document", "id", F.col("id").alias("component")), "labels")
-    while True:
-        near = both.join(labels, (both.document == labels.document) & (both.b == labels.id)).groupBy(both.document, both.a).agg(F.min("component").alias("near"))
-        joined = labels.join(near, (labels.document == near.document) & (labels.id == near.a), "left")
-        least = F.least("component", "near")
-        moved = stage(joined.select(labels.document, "id", least.alias("component"), (least < F.col("component")).alias("moved")), "labels")
-        labels = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
-            return labels
+    """(document, id, component): component is the smallest id reached over pairs (document, a, b), by star contraction."""
+    node = lambda c: F.struct("document", F.col(c).alias("id"))
+    found = roots(pairs.select(node("a").alias("u"), node("b").alias("v")))
+    found = found.select("node.document", "node.id", F.col("root.id").alias("root"))
+    rows = nodes.select("document", "id").join(found, ["document", "id"], "left")
+    return rows.select("document", "id", F.coalesce("root", "id").alias("component"))
 
 
 def logical(parts: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions import text
 
-#: Queries are written by people; so many are matched by a broadcast, more in further blocks.
+#: Queries of one automaton, and notes whose matches make one batch.
 QUERY_BLOCK = 10_000
+NOTES = 256
 
 
 def keyed(notes: DataFrame) -> DataFrame:
@@ -27,35 +36,55 @@ def search(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """(query_id, note_id, match_rank, position): exact matches of a query if it has any, else substring matches.
 
     Ranks: 0 id, 1 alias, 2 in title, 3 in an alias, 4 anywhere else; ties go by note id. Blank queries
-    match nothing. A stated, checked number of queries meets all notes; the notes aren't shuffled.
+    match nothing. Queries go to the notes in blocks of at most QUERY_BLOCK, as one automaton that reads
+    each note once; the notes aren't shuffled.
     """
     asked = queries.select("query_id", text.search_key(F.col("text")).alias("q")).where("q <> ''")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for k in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        part = _matches(block, keyed(notes))
-        found = part if found is None else found.unionByName(part)
+    types = {"query_id": queries.schema["query_id"].dataType, "note_id": notes.schema["note_id"].dataType}
+    block, parts, rows = [], [], keyed(notes)
+    for r in asked.toLocalIterator():
+        block.append((r.query_id, r.q))
+        if len(block) == QUERY_BLOCK:
+            parts.append(_matches(block, rows, types))
+            block = []
+    parts.append(_matches(block, rows, types))
     best = W.partitionBy("query_id")
-    rows = found.withColumn("any_exact", F.bool_or("is_exact").over(best)).where("is_exact or not any_exact")
+    found = reduce(DataFrame.unionByName, parts).withColumn("any_exact", F.bool_or("is_exact").over(best)).where("is_exact or not any_exact")
     nth = F.row_number().over(best.orderBy("match_rank", "note_id"))
-    return rows.select("query_id", "note_id", "match_rank", nth.alias("position"))
-
-
-def _matches(asked: DataFrame, notes: DataFrame) -> DataFrame:
-    q = F.col("q")
-    alias = lambda test: F.exists("k_aliases", test)
-    is_exact = (F.col("k_id") == q) | (F.col("k_title") == q) | alias(lambda a: a == q)
-    held = F.col("k_id").contains(q) | F.col("k_title").contains(q) | alias(lambda a: a.contains(q)) | F.col("k_body").contains(q)
-    rank = (
-        F.when(F.col("k_id") == q, 0)
-        .when(alias(lambda a: a == q), 1)
-        .when(F.col("k_title").contains(q), 2)
-        .when(alias(lambda a: a.contains(q)), 3)
-        .otherwise(4)
-    )
-    return notes.join(F.broadcast(asked), held).select("query_id", "note_id", is_exact.alias("is_exact"), rank.alias("match_rank"))
+    return found.select("query_id", "note_id", "match_rank", nth.alias("position"))
+
+
+def _matches(asked: list[tuple], notes: DataFrame, types: dict) -> DataFrame:
+    """(query_id, note_id, is_exact, match_rank): each pair of a query and a note that holds it, from one scan of the notes."""
+    shared = notes.sparkSession.sparkContext.broadcast(asked)
+    kinds = [to_arrow_type(types["query_id"]), to_arrow_type(types["note_id"]), pa.bool_(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, machine = defaultdict(list), ahocorasick.Automaton()
+        for query_id, q in shared.value:
+            ids[q].append(query_id)
+        for q in ids:
+            machine.add_word(q, q)
+        machine.make_automaton()
+
+        def inside(key: str | None) -> set[str]:
+            return {q for _, q in machine.iter(key)} if ids and key else set()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, NOTES):
+                rows = []
+                for r in batch.slice(lo, NOTES).to_pylist():
+                    names = r["k_aliases"] or []
+                    title, aliases = inside(r["k_title"]), set().union(*map(inside, names))
+                    for q in title | aliases | inside(r["k_id"]) | inside(r["k_body"]):
+                        places = (r["k_id"] == q, q in names, q in title, q in aliases, True)
+                        exact = r["k_id"] == q or r["k_title"] == q or q in names
+                        rows += [(query_id, r["note_id"], exact, places.index(True)) for query_id in ids[q]]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "note_id", "is_exact", "match_rank"])
+
+    schema = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField("note_id", types["note_id"]), T.StructField("is_exact", T.BooleanType()), T.StructField("match_rank", T.IntegerType())])
+    return notes.mapInArrow(run, schema)
 
 
 def attempts(queries: DataFrame, found: DataFrame) -> DataFrame:
