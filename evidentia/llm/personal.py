@@ -166,7 +166,7 @@ def disclosures(docs: DataFrame, held: DataFrame, min_support: int = MIN_SUPPORT
     fewest = stage(_frequency(held, beside.select("term").distinct(), "df_held"), "df_held")
     rows = stage(_revealing(rows.join(fewest, "term"), "df_held", n_docs, tested).drop("disclosure", "surprise"), "candidates")
     # the empty word is asked for too, so that the corpus is read alike whether or not terms are left
-    asked = rows.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    asked = rows.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     df = stage(_frequency(with_text, stage(asked, "candidate_terms"), "df"), "df")
     return _revealing(rows.join(df, "term"), "df", n_docs, tested).select("term", "kind", "value", "disclosure")
 
