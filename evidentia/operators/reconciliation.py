@@ -79,6 +79,14 @@ def status() -> Column:
     )
 
 
+def mean_confidence(records: DataFrame) -> DataFrame:
+    """Records with mean_confidence over the lines that state one, null without any, and n_lines, how many do."""
+    stated = F.filter(F.transform("lines", lambda x: x["confidence"]), lambda c: c.isNotNull())
+    total = F.aggregate("stated", F.lit(0.0), lambda s, c: s + c.cast("double"))
+    rows = records.withColumn("stated", stated).withColumn("n_lines", F.when(F.col("stated").isNull(), 0).otherwise(F.size("stated")))
+    return rows.withColumn("mean_confidence", F.when(F.col("n_lines") > 0, total / F.col("n_lines"))).drop("stated")
+
+
 def supplements(records: DataFrame) -> DataFrame:
     """Records whose recognised text adds to a page."""
     return records.where((F.coalesce("ocr_text", F.lit("")) != "") & F.col("kind").isin("image_region", "full_page"))
