@@ -69,9 +69,10 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, nth, start, stop, digest): all chunks of whole texts, start and stop in code points.
+    """(doc_id, key, nth, start, stop, final, digest): all chunks of whole texts, start and stop in code points.
 
-    key is a digest of the text: with doc_id it tells documents apart, and rows equal in both are one document.
+    key is a digest of the text: with doc_id it tells documents apart, and rows equal in both are one
+    document. final says of a text's last chunk that it is that.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +81,13 @@ def chunks(docs: DataFrame) -> DataFrame:
             if not len(data):
                 continue
             view, points = memoryview(data), np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            rows, nths, starts, stops = [], [], [], []
+            rows, nths, starts, stops, finals = [], [], [], [], []
             for row, ends in enumerate(chunk_ends(data, offsets)):
                 rows += [row] * len(ends)
                 nths += range(len(ends))
                 starts += [int(offsets[row]), *ends[:-1]] if ends else []
                 stops += ends
+                finals += [False] * (len(ends) - 1) + [True] if ends else []
             digests = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts, stops, strict=True)]
             base, own = points[offsets[:-1]][rows], pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -95,13 +97,14 @@ def chunks(docs: DataFrame) -> DataFrame:
                     pa.array(nths, pa.int32()),
                     pa.array(points[starts] - base, pa.int32()),
                     pa.array(points[stops] - base, pa.int32()),
+                    pa.array(finals, pa.bool_()),
                     pa.array(np.array(digests, np.uint64).view(np.int64)),
                 ],
-                ["doc_id", "key", "nth", "start", "stop", "digest"],
+                ["doc_id", "key", "nth", "start", "stop", "final", "digest"],
             )
 
     source = _identified(docs).where("text is not null")
-    return source.mapInArrow(run, "doc_id long, key long, nth int, start int, stop int, digest long")
+    return source.mapInArrow(run, "doc_id long, key long, nth int, start int, stop int, final boolean, digest long")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -129,8 +132,11 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _others(hits: DataFrame) -> DataFrame:
-    """First and last chunks of runs, each with another place of its digest as `other`: the first place, or the last for that."""
-    ends = hits.where("nth = first_nth or nth = last_nth")
+    """First and last chunks of runs, each with another place of its digest as `other`: the first place, or the last for that.
+
+    Where a run reaches an end of its text there is nothing to extend it into.
+    """
+    ends = hits.where("(nth = first_nth and start > 0) or (nth = last_nth and not final)")
     asked = stage(ends.select("digest", "size").distinct(), "end_digests")
     place = _place("nth", "start", "stop")
     held = hits.join(asked, ["digest", "size"], "left_semi").groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -185,8 +191,8 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     )
     both = lambda edge, field: F.array(at(f"own_{edge}", "", field), at(f"other_{edge}", "other.", field))
     wanted = F.concat(
-        F.when(F.col("nth") == F.col("first_nth"), both("a", "start")).otherwise(F.array()),
-        F.when(F.col("nth") == F.col("last_nth"), both("z", "stop")).otherwise(F.array()),
+        F.when((F.col("nth") == F.col("first_nth")) & (F.col("start") > 0), both("a", "start")).otherwise(F.array()),
+        F.when((F.col("nth") == F.col("last_nth")) & ~F.col("final"), both("z", "stop")).otherwise(F.array()),
     )
     asked = stage(ends.select(F.struct("doc_id", "key", "run").alias("id"), F.explode(wanted).alias("w")).select("id", "w.*"), "asked")
     told = stage(_context(docs, asked.select("doc_id", "key", "at")), "contexts")
@@ -198,7 +204,7 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     grown = sides.select("id.*", _shared_end("own_a", "other_a").alias("more_a"), _shared_end("own_z", "other_z").alias("more_z"))
     grown = stage(grown, "grown").withColumnsRenamed({"doc_id": "g_doc", "key": "g_key", "run": "g_run"})
     same = F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("key") == F.col("g_key")) & (F.col("run") == F.col("g_run"))
-    rows = hits.join(grown, same)
+    rows = hits.join(grown, same, "left").fillna(0, ["more_a", "more_z"])
     rows = rows.withColumn("chars", F.col("chars") + F.col("more_a") + F.col("more_z")).where(F.col("chars") >= min_span)
     more = lambda edge, by: F.when(F.col("nth") == F.col(edge), F.col(by)).otherwise(0)
     return rows.select(
