@@ -89,7 +89,7 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matching-block ratio of two texts; not symmetric, as frequent characters of a long second text are left out."""
     found = []
     for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        found.append(None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio())
+        found.append(None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio())
     return pa.array(found, pa.float64())
 
 
