@@ -194,29 +194,31 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with asked(law, article, k) as (values ('ASIA', '第008条', 8), ('ASIA', '9', 9), ('EUROPE', '99', 99), ('EUROPE', 'x', null), ('AFRICA', '0', 0)),
+    """with asked as (select distinct r_name as law, case when c_custkey % 11 = 0 then 'x' else '第' || lpad((c_custkey % 40)::varchar, 3, '0') || '条' end as article, case when c_custkey % 11 <> 0 then c_custkey % 40 end as k
+          from customer join region on r_regionkey = c_custkey % 5),
         t as (select r_name as law, n_nationkey as k, count(*) as n, min(n_name) as statute_id from nation join region on r_regionkey = n_regionkey group by 1, 2)
         select a.law, a.article, case when a.k is null then 'BAD_ARTICLE' when t.k is null then 'MISSING' else 'FOUND' end as outcome, coalesce(n, 0) as n_rows, t.statute_id
         from asked a left join t on t.law = a.law and t.k = a.k"""
 )
 def statute_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as articles of their region."""
-    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    """Nations as articles of their region, asked for by customers."""
+    nation, region, n = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region"), F.col("c_custkey")
     table = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
         F.col("r_name").alias("law"), F.col("n_nationkey").cast("string").alias("article"), F.col("n_name").alias("statute_id"), F.col("n_name").alias("text")
     )
-    asked = spark.createDataFrame([("ASIA", "第008条"), ("ASIA", "9"), ("EUROPE", "99"), ("EUROPE", "x"), ("AFRICA", "0")], "law string, article string")
-    return retrieval.statutes(asked, table)
+    article = F.when(n % 11 == 0, F.lit("x")).otherwise(F.concat(F.lit("第"), F.lpad((n % 40).cast("string"), 3, "0"), F.lit("条")))
+    asked = load(spark, sf_dir, "customer").join(F.broadcast(region), n % 5 == F.col("r_regionkey")).select(F.col("r_name").alias("law"), article.alias("article"))
+    return retrieval.statutes(asked.distinct(), table)
 
 
 @query(
-    """select distinct c_custkey as customer, 'missing' as side from customer where c_custkey not in (select o_custkey from orders)
-       union all select distinct o_custkey, 'unexpected' from orders where o_custkey not in (select c_custkey from customer)"""
+    """select distinct c_custkey as customer, 'missing' as side from customer where c_custkey % 10 <> 0 and c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')
+       union all select distinct o_custkey, 'unexpected' from orders where o_orderstatus = 'F' and o_custkey not in (select c_custkey from customer where c_custkey % 10 <> 0)"""
 )
 def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, and orders of unknown customers."""
-    expected = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
-    return sets.difference(expected, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer")), "customer")
+    """Nine in ten customers against those of finished orders."""
+    expected = load(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("customer"))
+    return sets.difference(expected, load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("customer")), "customer")
 
 
 @query("select p_name, count(*) as n from part group by 1 having count(*) > 1")

@@ -253,17 +253,23 @@ def heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEADING_ROWS = [
-    (1, "第１問\n次の事例について論ぜよ", False), (2, "続き", True), (3, "第2問\n目次", False), (4, "本文", True),
-    (5, "第 3 問 甲説\nMEMO", False), (6, "本文", True), (7, "第?問", False), (8, "本文", True), (9, "第4問\n第5問", True), (10, "参照は第9問を見よ", True),
+    (2, "続き", True), (3, "第2問\n目次", False), (4, "本文", True), (5, "第 3 問 甲説\nMEMO", False),
+    (6, "本文", True), (8, "本文", True), (9, "第4問\n第5問", True), (10, "参照は第9問を見よ", True),
 ]
 
 
 @query(
-    """select * from (values (2, true, '1', 1, 'RESOLVED'), (4, true, '1', 1, 'RESOLVED'), (6, true, '1', 1, 'RESOLVED'),
-         (8, false, null, null, 'UNRESOLVED_AMBIGUOUS_HEADING'), (9, false, null, null, 'UNRESOLVED_AMBIGUOUS_HEADING'),
-         (10, false, null, null, 'UNRESOLVED_AMBIGUOUS_HEADING')) v(done_page, resolved, question, start_page, reason)"""
+    """with c as (select c_custkey as k, (c_custkey % 90 + 1)::varchar as q, c_custkey % 2 = 0 as odd_heading from customer), p as (select *, unnest([2, 4, 6, 8, 9, 10]) as done_page from c),
+       r as (select *, done_page <= 6 or (done_page = 8 and not odd_heading) as resolved from p)
+       select k, done_page, resolved, case when resolved then q end as question, case when resolved then 1 end as start_page, case when resolved then 'RESOLVED' else 'UNRESOLVED_AMBIGUOUS_HEADING' end as reason from r"""
 )
 def heading_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Done pages of a small fixture with the question whose heading precedes them."""
-    rows = spark.createDataFrame([("d", *r) for r in _HEADING_ROWS], "document string, page_number int, text string, done boolean")
-    return headings.resolve(rows).drop("document")
+    """Done pages of each customer's document with the question whose heading precedes them; even ones have a heading nobody can read."""
+    page = lambda n, t, done: F.struct(F.lit(n).alias("page_number"), t.alias("text"), F.lit(done).alias("done"))
+    k = F.col("c_custkey")
+    first = page(1, F.concat(F.lit("第"), (k % 90 + 1).cast("string"), F.lit("問\n次の事例について論ぜよ")), False)
+    seventh = F.when(k % 2 == 0, F.lit("第?問")).otherwise(F.lit("本文"))
+    rows = F.array(first, page(7, seventh, False), *[page(n, F.lit(t), done) for n, t, done in _HEADING_ROWS])
+    rows = load(spark, sf_dir, "customer").select(k.cast("string").alias("document"), F.explode(rows).alias("p")).select("document", "p.*")
+    found = headings.resolve(rows)
+    return found.select(F.col("document").cast("long").alias("k"), *[F.col(c).cast("long").alias(c) for c in ("done_page", "start_page")], "resolved", "question", "reason")

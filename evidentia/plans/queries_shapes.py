@@ -1,4 +1,4 @@
-"""Geometry, colours and routing: expressions over numbers of the star schema, and small fixtures."""
+"""Geometry, colours and routing: expressions over numbers of the star schema."""
 
 from __future__ import annotations
 
@@ -98,83 +98,112 @@ def signature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(geo.signature_similarity(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query("select * from (values ('1-3,7', [1, 2, 3, 7]), ('7, 2-3,3', [2, 3, 7]), ('5-2', null), ('0', null), ('x', null)) v(literal, page_numbers)")
+@query(
+    """with c as (select c_custkey, c_custkey % 9 as a, c_custkey % 13 + 1 as b, c_custkey % 7 as c from customer)
+       select c_custkey, concat(a, ' - ', b, ',', c) as literal, case when a >= 1 and a <= b and c >= 1 then array_to_string(list_sort(list_distinct(list_append(range(a, b + 1), c))), ',') end as page_numbers from c"""
+)
 def page_list_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("1-3,7",), ("7, 2-3,3",), ("5-2",), ("0",), ("x",)], "literal string")
-    return rows.select("literal", text.page_list(F.col("literal")).alias("page_numbers"))
+    n = F.col("c_custkey")
+    literal = F.concat((n % 9).cast("string"), F.lit(" - "), (n % 13 + 1).cast("string"), F.lit(","), (n % 7).cast("string"))
+    found = F.array_join(F.transform(text.page_list(F.col("literal")), lambda p: p.cast("string")), ",")
+    return load(spark, sf_dir, "customer").select("c_custkey", literal.alias("literal")).select("c_custkey", "literal", found.alias("page_numbers"))
+
+
+# Each customer's document has a page whose shapes depend on its number.
+
 
+def _documents(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    return load(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("document"), F.lit(1).alias("page_number"), *columns)
 
-_HOLES = [(n, [5.0, y, 25.0, y + 20.0], 60, 60) for n, y in enumerate((100.0, 300.0, 500.0, 700.0))]
-_REGIONS = [("d", 1, n, b, w, h, 600.0, 850.0) for n, b, w, h in [*_HOLES, (4, [100.0, 100.0, 400.0, 300.0], 900, 600), (5, [300.0, 500.0, 340.0, 510.0], 300, 200)]]
-_REGIONS += [("d", 2, 0, [0.0, 0.0, 600.0, 850.0], 2480, 3508, 600.0, 850.0)]
+
+def _fixed_box(*edges: float):
+    return F.array(*[F.lit(e) for e in edges])
 
 
 @query(
-    """select * from (values (1, 'image_region', 4, null), (1, 'suspect_native_text', 0, null), (2, 'full_page', null, null),
-         (2, 'suspect_native_text', 0, 'redundant_with_full_page_ocr_scan_like_text_layer'), (2, 'image_region', 0, 'duplicate_of_full_page_ocr_background_image'))
-       v(page_number, kind, source_index, suppress_reason)"""
+    """with c as (select c_custkey as k, c_custkey % 4 = 0 as whole, c_custkey % 2 = 0 as full_page from customer)
+       select k, 'full_page' as kind, null::bigint as source_index, null as suppress_reason from c where full_page
+       union all select k, 'suspect_native_text', 0, case when full_page then 'redundant_with_full_page_ocr_scan_like_text_layer' end from c
+       union all select k, 'image_region', 0, case when full_page and whole then 'duplicate_of_full_page_ocr_background_image' end from c"""
 )
 def target_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of a small fixture: binder holes, a substantive image, a tiny one, a scanned page."""
-    regions = spark.createDataFrame(
-        _REGIONS, "document string, page_number int, image_index int, bbox array<double>, width_px int, height_px int, page_width double, page_height double"
-    )
-    page_rows = spark.createDataFrame(
-        [("d", 1, False, False, 600.0, 850.0), ("d", 2, True, True, 600.0, 850.0)], "document string, page_number int, full_page boolean, scan_like boolean, page_width double, page_height double"
-    )
-    suspects = spark.createDataFrame(
-        [("d", p, 0, [10.0, 10.0, 90.0, 30.0], "x") for p in (1, 2)], "document string, page_number int, source_index int, bbox array<double>, native_candidate string"
-    )
-    marks = spark.createDataFrame([], "document string, page_number int, mark_box array<double>")
-    return routing.plan(page_rows, suspects, regions, marks).select("page_number", "kind", "source_index", "suppress_reason")
+    """A substantive image, the whole page on each fourth, beside a tiny one; each second page is read in full."""
+    k, names = F.col("c_custkey"), ("document", "page_number")
+    size = (F.lit(600.0).alias("page_width"), F.lit(850.0).alias("page_height"))
+    docs = _documents(spark, sf_dir)
+    large = F.struct(F.lit(0).alias("image_index"), F.when(k % 4 == 0, _fixed_box(0.0, 0.0, 600.0, 850.0)).otherwise(_fixed_box(100.0, 100.0, 400.0, 300.0)).alias("bbox"), F.lit(900).alias("width_px"), F.lit(600).alias("height_px"))
+    tiny = F.struct(F.lit(1).alias("image_index"), _fixed_box(300.0, 500.0, 340.0, 510.0).alias("bbox"), F.lit(300).alias("width_px"), F.lit(200).alias("height_px"))
+    regions = docs.select(*names, F.explode(F.array(large, tiny)).alias("r")).select(*names, "r.*", *size)
+    page_rows = docs.select(*names, (k % 2 == 0).alias("full_page"), (k % 2 == 0).alias("scan_like"), *size)
+    suspects = docs.select(*names, F.lit(0).alias("source_index"), _fixed_box(10.0, 10.0, 90.0, 30.0).alias("bbox"), F.lit("x").alias("native_candidate"))
+    marks = docs.limit(0).select(*names, _fixed_box(0.0).alias("mark_box"))
+    found = routing.plan(page_rows, suspects, regions, marks)
+    return found.select(F.col("document").cast("long").alias("k"), "kind", F.col("source_index").cast("long").alias("source_index"), "suppress_reason")
 
 
-@query("select image_index from (values (0), (1), (2), (3)) v(image_index)")
+@query(
+    """with h as (select c_custkey as k, unnest(range(0, c_custkey % 6)) as image_index from customer),
+       m as (select * from h where not (k % 7 = 0 and image_index = 0)), c as (select k, count(*) as n from m group by 1)
+       select m.k, image_index from m join c on c.k = m.k where n >= 3 and m.k % 3 <> 0"""
+)
 def edge_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated holes along an edge of the fixture's first page."""
-    regions = spark.createDataFrame(
-        _REGIONS, "document string, page_number int, image_index int, bbox array<double>, width_px int, height_px int, page_width double, page_height double"
+    """Holes along an edge: noise where three or more are evenly spaced; on each third page the last one isn't, on each seventh a mark protects the first."""
+    k, names = F.col("c_custkey"), ("document", "page_number")
+    docs = _documents(spark, sf_dir, (k % 6).cast("int").alias("n")).where("n > 0")
+    holes = docs.select("c_custkey", *names, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("image_index"))
+    y = F.col("image_index") * 100.0 + F.when((k % 3 == 0) & (F.col("image_index") == F.col("n") - 1), 90.0).otherwise(0.0)
+    regions = holes.select(*names, "image_index", geo.box(F.lit(5.0), y, F.lit(25.0), y + 20).alias("bbox"), F.lit(60).alias("width_px"), F.lit(60).alias("height_px"), F.lit(600.0).alias("page_width"), F.lit(850.0).alias("page_height"))
+    marks = docs.where(k % 7 == 0).select(*names, _fixed_box(0.0, 0.0, 30.0, 10.0).alias("mark_box"))
+    found = routing.edge_noise(regions, marks, routing.Routing())
+    return found.select(F.col("document").cast("long").alias("k"), F.col("image_index").cast("long").alias("image_index"))
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Marks and characters: two strokes that continue one another, the second only on even pages, one on a line of its own, red boxes, a thin line."""
+    k, names = F.col("c_custkey"), ("document", "page_number")
+    docs = _documents(spark, sf_dir)
+    colour = lambda name: F.array(*[F.lit(v) for v in geo.COLOURS[name]])
+    drawing = lambda i, rect, width, name: F.struct(F.lit(i).alias("drawing_index"), rect.alias("rect"), F.lit(width).alias("width"), colour(name).alias("stroke"), F.lit(None).cast("array<double>").alias("fill"))
+    gap = (k % 20).cast("double")
+    second = F.when(k % 2 == 0, F.array(drawing(1, _fixed_box(40.6, 104.0, 70.0, 104.0), 8.0, "yellow")))
+    others = F.array(
+        drawing(0, _fixed_box(10.0, 104.0, 39.4, 104.0), 8.0, "yellow"), drawing(2, _fixed_box(10.0, 204.0, 40.0, 204.0), 8.0, "yellow"),
+        drawing(3, _fixed_box(300.0, 300.0, 320.0, 320.0), 1.0, "red"), drawing(4, geo.box(gap + 320, F.lit(305.0), gap + 340, F.lit(325.0)), 1.0, "red"),
+        drawing(5, _fixed_box(500.0, 500.0, 510.0, 510.0), 1.0, "red"), drawing(6, _fixed_box(10.0, 300.0, 40.0, 300.0), 1.0, "blue"),
+    )
+    drawings = docs.select(*names, F.explode(F.concat(others, F.coalesce(second, F.slice(others, 1, 0)))).alias("d")).select(*names, "d.*")
+    word = lambda line, n, t, x, y: F.struct(F.lit(0).alias("block"), F.lit(line).alias("line"), F.lit(n).alias("word"), F.lit(t).alias("text"), _fixed_box(x, y, x + 30, y + 8).alias("bbox"))
+    words = F.array(word(0, 0, "abc", 10.0, 100.0), word(0, 1, "def", 40.0, 100.0), word(1, 0, "ghi", 10.0, 200.0))
+    char = lambda i, c: F.struct(
+        F.lit(i).alias("index"), F.lit(c).alias("c"), _fixed_box(10.0 + 10 * (i % 6), 100.0 + 100 * (i // 6), 20.0 + 10 * (i % 6), 108.0 + 100 * (i // 6)).alias("bbox"), F.lit(0).alias("block"), F.lit(i // 6).alias("line")
     )
-    marks = spark.createDataFrame([], "document string, page_number int, mark_box array<double>")
-    return routing.edge_noise(regions, marks, routing.Routing()).select("image_index")
-
-
-_DRAWINGS = [
-    ("d", 1, 0, [10.0, 104.0, 39.4, 104.0], 8.0, [1.0, 1.0, 0.5137255], None),
-    ("d", 1, 1, [40.6, 104.0, 70.0, 104.0], 8.0, [1.0, 1.0, 0.5137255], None),
-    ("d", 1, 2, [10.0, 204.0, 40.0, 204.0], 8.0, [1.0, 1.0, 0.5137255], None),
-    ("d", 1, 3, [300.0, 300.0, 320.0, 320.0], 1.0, [1.0, 0.1647059, 0.1333181], None),
-    ("d", 1, 4, [325.0, 305.0, 345.0, 325.0], 1.0, [1.0, 0.1647059, 0.1333181], None),
-    ("d", 1, 5, [500.0, 500.0, 510.0, 510.0], 1.0, [1.0, 0.1647059, 0.1333181], None),
-    ("d", 1, 6, [10.0, 300.0, 40.0, 300.0], 1.0, [0.3450828, 0.6941177, 1.0], None),
-]
-_WORDS = [("d", 1, 0, 0, 0, "abc", [10.0, 100.0, 40.0, 108.0]), ("d", 1, 0, 0, 1, "def", [40.0, 100.0, 70.0, 108.0]), ("d", 1, 0, 1, 0, "ghi", [10.0, 200.0, 40.0, 208.0])]
-_CHARS = [("d", 1, i, c, [10.0 + 10 * (i % 6), 100.0 + 100 * (i // 6), 20.0 + 10 * (i % 6), 108.0 + 100 * (i // 6)], 0, i // 6) for i, c in enumerate("abcdefghi")]
-
-
-def _marks(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    drawings = spark.createDataFrame(_DRAWINGS, "document string, page_number int, drawing_index int, rect array<double>, width double, stroke array<double>, fill array<double>")
-    words = spark.createDataFrame(_WORDS, "document string, page_number int, block int, line int, word int, text string, bbox array<double>")
-    chars = spark.createDataFrame(_CHARS, "document string, page_number int, index int, c string, bbox array<double>, block int, line int")
-    return markers.classified(drawings, words), chars
+    chars = F.array(*[char(i, c) for i, c in enumerate("abcdefghi")])
+    listed = lambda rows: docs.select(*names, F.explode(rows).alias("r")).select(*names, "r.*")
+    return markers.classified(drawings, listed(words)), listed(chars)
 
 
 @query(
-    """select id, exact_text, review_status, boundary_confidence::double as boundary_confidence, x0::double as x0, x1::double as x1 from (values ('p0001-logical-mark-001', 'abcdef', 'AUTO_VERIFIED', 0.98, 10.0, 70.0),
-         ('p0001-logical-mark-002', 'ghi', 'AUTO_VERIFIED', 0.98, 10.0, 40.0)) v(id, exact_text, review_status, boundary_confidence, x0, x1)"""
+    """select c_custkey as k, 'p0001-logical-mark-001' as id, case when c_custkey % 2 = 0 then 'abcdef' else 'abc' end as exact_text, 'AUTO_VERIFIED' as review_status, 0.98::double as boundary_confidence, 10.0::double as x0,
+         case when c_custkey % 2 = 0 then 70.0 else 39.4 end::double as x1 from customer
+       union all select c_custkey, 'p0001-logical-mark-002', 'ghi', 'AUTO_VERIFIED', 0.98, 10.0, 40.0 from customer"""
 )
 def logical_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of a small fixture that continue one another, as one marker."""
-    marks, chars = _marks(spark)
+    """Fragments that continue one another, as one marker."""
+    marks, chars = _marks(spark, sf_dir)
     parts = markers.fragments(marks, chars)
     merged = markers.logical(parts, markers.components(parts, markers.adjacent(parts)))
-    return merged.select("id", "exact_text", "review_status", "boundary_confidence", geo.edge(F.col("bbox"), 0).alias("x0"), geo.edge(F.col("bbox"), 2).alias("x1"))
+    return merged.select(F.col("document").cast("long").alias("k"), "id", "exact_text", "review_status", "boundary_confidence", geo.edge(F.col("bbox"), 0).alias("x0"), geo.edge(F.col("bbox"), 2).alias("x1"))
 
 
-@query("select cluster, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1 from (values (1, 300.0, 300.0, 345.0, 325.0), (2, 500.0, 500.0, 510.0, 510.0)) v(cluster, x0, y0, x1, y1)")
+@query(
+    """with c as (select c_custkey as k, (c_custkey % 20)::double as g from customer)
+       select k, 1 as cluster, 300.0::double as x0, 300.0::double as y0, case when g < 12 then g + 340 else 320.0 end as x1, case when g < 12 then 325.0 else 320.0 end::double as y1 from c
+       union all select k, 2, g + 320, 305, g + 340, 325 from c where g >= 12 union all select k, case when g < 12 then 2 else 3 end, 500, 500, 510, 510 from c"""
+)
 def red_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markers.red_clusters(_marks(spark)[0])
-    return found.select("cluster", *[geo.edge(F.col("bbox"), n).alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))])
+    """Red boxes at gaps of 0 to 19, which are one up to a gap of 12."""
+    found = markers.red_clusters(_marks(spark, sf_dir)[0])
+    return found.select(F.col("document").cast("long").alias("k"), F.col("cluster").cast("long").alias("cluster"), *[geo.edge(F.col("bbox"), n).alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 @query("select doc_id::varchar as id, min(doc_id) over (partition by text)::varchar as component from documents")
