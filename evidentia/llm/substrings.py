@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.functions.binding import let
+from evidentia.llm.spans import part, pieces
 from evidentia.llm.text import bounded, flat, text_key
 from evidentia.staging import stage
 
@@ -148,34 +150,27 @@ def _others(hits: DataFrame) -> DataFrame:
 def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, key, at, before, after) for each wanted place (doc_id, key, at): REACH characters of its text on either side."""
     places = wanted.groupBy("doc_id", "key").agg(F.collect_set("at").alias("places"))
-    texts = _identified(docs).where("text is not null")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)
-            out = [(d, k, at, t[max(0, at - REACH) : at], t[at : at + REACH]) for d, k, t, own in rows for at in own]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["doc_id", "key", "at", "before", "after"])
-
     places = stage(places, "places").withColumnsRenamed({"doc_id": "p_doc", "key": "p_key"})
     same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("key") == F.col("p_key"))
-    joined = texts.join(places, same).select("doc_id", "key", "text", "places")
-    found = joined.mapInArrow(cut, "doc_id long, key long, at int, before string, after string")
-    return found.dropDuplicates(["doc_id", "key", "at"])
+    texts = _identified(docs).where("text is not null").join(places, same)
+    around = lambda held: F.transform(
+        "places",
+        lambda at: F.struct(
+            at.alias("at"),
+            part(held, F.greatest(at - REACH, F.lit(0)), at).alias("before"),
+            part(held, at, F.least(at + REACH, F.col("size"))).alias("after"),
+        ),
+    )
+    found = texts.withColumn("size", F.length("text")).select("doc_id", "key", F.explode(let(pieces(F.col("text")), around)).alias("c"))
+    return found.select("doc_id", "key", "c.*").dropDuplicates(["doc_id", "key", "at"])
 
 
 def _shared_end(a: str, b: str) -> Column:
-    """Number of equal characters at the ends of two texts."""
-
-    @F.arrow_udf("int")
-    def count(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            n = min(len(x or ""), len(y or ""))
-            out.append(next((k for k in range(n) if x[-1 - k] != y[-1 - k]), n))
-        return pa.array(out, pa.int32())
-
-    return count(a, b)
+    """Number of equal characters at the ends of two texts of REACH characters at most, by halving."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    steps = F.array(*[F.lit(REACH >> k) for k in range(REACH.bit_length())])
+    alike = lambda n: (F.length(a) >= n) & (F.length(b) >= n) & (F.right(a, n) == F.right(b, n))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(alike(n + step), n + step).otherwise(n))
 
 
 def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
