@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ON = ("document", "page_number")
+#: Characters of a rendered document after which it goes on in another part.
+PART_CHARS = 32 << 20
 
 
 def issues(decisions: DataFrame, records: DataFrame, markers: DataFrame) -> DataFrame:
@@ -82,16 +85,29 @@ def handoff_page(with_markers: bool = True) -> Column:
     return F.concat_ws("\n", head, pasted, summary) if with_markers else F.concat_ws("\n", head, pasted)
 
 
-def handoff(pages: DataFrame) -> DataFrame:
-    """(document, markdown): frontmatter and all pages in order."""
+def _parts(pages: DataFrame, most: int) -> DataFrame:
+    """(document, part, body): `page` texts in order, joined by line ends, in parts of about `most` characters.
+
+    Parts joined as they are make the whole text; no task holds more than a part, however long a document is.
+    """
+    order = W.partitionBy("document").orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("page").cast("long") + 1).over(order), F.lit(0))
+    rows = pages.select("document", "page_number", "page", F.floor(before / most).cast("int").alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page"))), lambda p: p["page"]), "\n")
-    rows = pages.withColumn("page", handoff_page()).groupBy("document").agg(body.alias("body"), F.count("task").alias("n_tasks"))
+    rows = rows.groupBy("document", "part").agg(body.alias("body"))
+    return rows.select("document", "part", F.concat(F.when(F.col("part") > 0, "\n").otherwise(""), "body").alias("body"))
+
+
+def handoff(pages: DataFrame, most: int = PART_CHARS) -> DataFrame:
+    """(document, part, markdown): frontmatter and all pages in order, in parts of about `most` characters."""
+    tasks = pages.groupBy("document").agg(F.count("task").alias("n_tasks"))
     head = F.concat(F.lit("---\nhandoff_schema_version: 2\nsource: "), F.to_json(F.struct("document")), F.lit("\npage_review_count: "), F.col("n_tasks").cast("string"), F.lit("\n---\n\n# Page Reading Pack\n\n"))
-    return rows.select("document", F.concat(head, "body").alias("markdown"))
+    rows = _parts(pages.withColumn("page", handoff_page()), most).join(tasks, "document")
+    return rows.select("document", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), "body").alias("markdown"))
 
 
-def audit(pages: DataFrame) -> DataFrame:
-    """(document, markdown): reconciled text, the embedded text as evidence, and open issues, page by page."""
+def audit(pages: DataFrame, most: int = PART_CHARS) -> DataFrame:
+    """(document, part, markdown): reconciled text, the embedded text as evidence, and open issues, page by page, in parts."""
     line = F.transform(F.col("task.issues"), lambda i: F.concat(F.lit("- "), i["category"], F.lit(" / "), i["id"], F.lit(": "), i["reason"]))
     page = F.concat_ws(
         "\n",
@@ -99,8 +115,7 @@ def audit(pages: DataFrame) -> DataFrame:
         F.lit("### Embedded"), F.lit(""), "native_text", F.lit(""),
         F.lit("### Needs Review"), F.lit(""), F.coalesce(F.array_join(line, "\n"), F.lit("No unresolved or review-required evidence.")), F.lit(""),
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page"))), lambda p: p["page"]), "\n")
-    return pages.withColumn("page", page).groupBy("document").agg(body.alias("markdown"))
+    return _parts(pages.withColumn("page", page), most).withColumnRenamed("body", "markdown")
 
 
 def evidence_index(*sources: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import geometry as geo
 from evidentia.functions import hashing, text
 from evidentia.functions import json as payloads
-from evidentia.operators import alignment, drafts, headings, pages, reconciliation, review, routing, stamps
+from evidentia.operators import alignment, drafts, headings, pages, recognition, reconciliation, review, routing, stamps
 from evidentia.plans import cycle
 from evidentia.plans.queries_pages import _VERSIONS, _aligned
 from evidentia.plans.registry import query
@@ -651,3 +651,69 @@ def timestamps_with_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_marker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("evidence_image"), F.when(F.col("value") >= 100, "AUTO_VERIFIED").otherwise("NEEDS_REVIEW").alias("review_status"))
     return drafts.compact_markers(rows, ["event_id", "evidence_image"])
+
+
+# Recognition: texts as images, read by an engine that is given to the operator.
+
+
+class _Reader:
+    """Reads the lines of a UTF-8 text, and gives up where one is too short to be a page."""
+
+    name, settings = "reader", {"dpi": 300}
+
+    def recognise(self, image: bytes) -> list[tuple[str, float, list[float] | None]]:
+        body = image.decode()
+        if len(body) < 100:
+            raise ValueError("too short")
+        return [(line, min(1.0, len(line) / 200), [0.0, float(i), float(len(line)), i + 1.0]) for i, line in enumerate(body.split("\n"))]
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.col("text").cast("binary")
+    key = routing.target_key(F.col("lang"), F.lit("full_page"), F.array(F.lit(0.0)), F.lit(300), F.lit(0.0), recognition.image_key(image), F.lit(recognition.backend_signature(_Reader())))
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("target_id"), key.alias("cache_key"), image.alias("image"))
+
+
+_READ = """
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as x from documents where length(text) >= 100),
+    r as (select doc_id, count(*) as n_lines, avg(least(1.0, length(x) / 200)) as confidence from l group by 1)
+"""
+
+
+@query(
+    _READ
+    + """select d.doc_id as target_id, case when r.doc_id is null then 'failed' else 'completed' end as status, case when r.doc_id is null then 'ValueError: too short' end as error,
+         case when r.doc_id is not null then sha256(text) end as text_sha256, round(confidence, 6) as confidence, coalesce(n_lines, 0) as n_lines from documents d left join r on r.doc_id = d.doc_id"""
+)
+def recognised_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recognition.recognise(_images(spark, sf_dir), _Reader)
+    size = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    return found.select("target_id", "status", "error", F.sha2("text", 256).alias("text_sha256"), F.round("confidence", 6).alias("confidence"), size.alias("n_lines"))
+
+
+@query(
+    """with k as (select text, lang, bool_or(doc_id % 2 = 0 and doc_id % 3 <> 0 and length(text) >= 100) as held from documents group by 1, 2)
+       select doc_id as target_id, case when length(d.text) >= 100 then 'completed' else 'failed' end as status, held as reused, case when length(d.text) >= 100 then sha256(d.text) end as text_sha256
+       from documents d join k on k.text = d.text and k.lang = d.lang"""
+)
+def recognition_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from a cache that holds every other target, a third of them corrupt; the rest is recognised anew."""
+    targets = _images(spark, sf_dir)
+    cache = recognition.recognise(targets.where("target_id % 2 = 0"), _Reader).where("status = 'completed'")
+    cache = cache.select("cache_key", F.when(F.col("target_id") % 3 == 0, F.lit("corrupt")).otherwise(F.col("text")).alias("text"), "confidence", "lines")
+    answers, _ = recognition.read_through(targets, cache, _Reader)
+    return answers.select("target_id", "status", "reused", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("select doc_id as target_id, 'not_executed_no_backend' as status from documents")
+def recognition_without_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.recognise(_images(spark, sf_dir), None).select("target_id", "status")
+
+
+@query(_READ + "select doc_id as target_id, n_lines, 0.5 * (n_lines - 1) + 20 as last_top from r")
+def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised lines on their page, under a crop's map of half a point a pixel."""
+    found = recognition.recognise(_images(spark, sf_dir), _Reader).where("status = 'completed'")
+    m = F.array(*[F.lit(v) for v in (0.5, 0.0, 0.0, 0.5, 10.0, 20.0)])
+    lines = recognition.placed(F.col("lines"), m)
+    return found.select("target_id", F.size(lines).cast("long").alias("n_lines"), F.array_max(F.transform(lines, lambda x: geo.edge(x["pdf_bbox"], 1))).alias("last_top"))

@@ -6,27 +6,34 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
+#: Bytes of members after which a packet goes on in another part.
+PART_BYTES = 64 << 20
 
-def packets(members: DataFrame) -> DataFrame:
-    """(packet, content, content_sha256): a ZIP of each packet's members (packet, member, content), byte for byte repeatable.
 
-    A packet's members make one group; packets are documents, of bounded size.
+def packets(members: DataFrame, most: int = PART_BYTES) -> DataFrame:
+    """(packet, part, content, content_sha256): ZIPs of each packet's members (packet, member, content), byte for byte repeatable.
+
+    Members go in order of their names into parts of about `most` bytes, a larger member alone, so that
+    no task holds more than a part, however large a packet is. A packet of under `most` bytes has one part.
     """
+    rows = members.select("packet", "member", F.col("content").cast("binary").alias("content"))
+    before = F.sum(F.octet_length("content").cast("long")).over(Window.partitionBy("packet").orderBy("member").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / most).cast("int"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
             for member, content in sorted(zip(rows["member"], rows["content"], strict=True)):
                 z.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), bytes(content), zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"packet": [rows["packet"].iloc[0]], "content": [data.getvalue()]})
+        return pd.DataFrame({"packet": [rows["packet"].iloc[0]], "part": [rows["part"].iloc[0]], "content": [data.getvalue()]})
 
-    found = members.select("packet", "member", F.col("content").cast("binary").alias("content")).groupBy("packet")
-    return found.applyInPandas(build, "packet string, content binary").withColumn("content_sha256", F.sha2("content", 256))
+    found = rows.groupBy("packet", "part").applyInPandas(build, "packet string, part int, content binary")
+    return found.withColumn("content_sha256", F.sha2("content", 256))
 
 
 def publication(candidates: DataFrame, published: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def card_issues(results: DataFrame) -> DataFrame:
     """(result, location, issue) of cards: blank sides, unknown scope, repeated fronts."""
     rows = results.select("result", F.posexplode("cards").alias("i", "c"))
     front = text.strip(F.coalesce("c.front", F.lit("")))
-    nth = F.count("*").over(_by("result", front))
+    nth = F.count("*").over(Window.partitionBy("result", front))
     found = F.array_compact(
         F.array(
             F.when(front == "", "BLANK_FRONT"),
@@ -63,12 +70,6 @@ def card_issues(results: DataFrame) -> DataFrame:
     return rows.select("result", F.format_string("cards[%d]", "i").alias("location"), F.explode("found").alias("issue"))
 
 
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
 def read_back(written: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     """(key, field) for every column of `written` that reads back as something else; a lost row gives `missing`."""
     names = [c for c in written.columns if c != key]

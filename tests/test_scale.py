@@ -60,3 +60,27 @@ def test_search_is_that_of_a_plain_scan(spark, monkeypatch):
         rows = [r for r in rows if r[0]] or rows
         plain |= {(query_id, i): (rank, n) for n, (_, rank, i) in enumerate(sorted(rows, key=lambda r: r[1:]), 1)}
     assert {(r.query_id, r.note_id): (r.match_rank, r.position) for r in found.collect()} == plain
+
+
+def test_packets_in_parts(spark):
+    from evidentia.sources import files, sinks
+
+    members = spark.createDataFrame([(p, f"m{i:02}", f"{p}{i}" * (i + 1)) for p in "ab" for i in range(20)] + [("a", "z", "q" * 500)], "packet string, member string, content string")
+    whole, parts = sinks.packets(members).collect(), sinks.packets(members, most=100).collect()
+    assert [(r.packet, r.part) for r in sorted(whole)] == [("a", 0), ("b", 0)] and len(parts) > 6
+    for built in (whole, parts):
+        read = files.zip_members(spark.createDataFrame([(f"{r.packet}", bytes(r.content)) for r in built], "path string, content binary"))
+        assert {(r.path, r.member, r.content.decode()) for r in read.collect()} == {tuple(r) for r in members.collect()}
+
+
+def test_rendered_documents_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import review
+
+    rows = spark.createDataFrame([(d, n, f"text {d}{n} " * 20) for d in ("x", "y") for n in range(12)], "document string, page_number int, reconciled_text string")
+    rows = rows.withColumns({"native_text": F.lit("own"), "task": F.lit(None).cast("struct<issues:array<struct<category:string,id:string,reason:string>>>")})
+    whole = {r.document: r.markdown for r in review.audit(rows).collect()}
+    parts = review.audit(rows, most=700).orderBy("document", "part").collect()
+    assert len(parts) > 6 and max(len(r.markdown) for r in parts) < 1_500
+    assert {d: "".join(r.markdown for r in parts if r.document == d) for d in whole} == whole
