@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import alignment, pages, retrieval
-from evidentia.plans import catalogue
+from evidentia.operators import alignment, drafts, pages, retrieval, review, stamps
+from evidentia.plans import catalogue, ingest
 from evidentia.session import TABLES, local_session
+from evidentia.sources import sinks
 from evidentia.streaming import changes
 
 
@@ -23,6 +24,11 @@ def main(arguments: list[str] | None = None) -> None:
         "search": ("--queries", "--notes", "--out"),
         "query": ("--name", "--data", "--out"),
         "watch": ("--observations", "--checkpoint", "--out"),
+        "mark": ("--images", "--template", "--out"),
+        "finalize": ("--root", "--run", "--markers", "--out"),
+        "draft": ("--responses", "--out"),
+        "packet": ("--members", "--published", "--out"),
+        "bridge": ("--commands", "--folder", "--out"),
     }.items():
         command = commands.add_parser(name)
         for flag in flags:
@@ -47,6 +53,21 @@ def main(arguments: list[str] | None = None) -> None:
         schema = "path string, seq long, present boolean, size long, mtime_ns long, sha256 string"
         stream = spark.readStream.schema(schema).parquet(given.observations)
         changes.drain(changes.stable(stream), given.checkpoint, changes.append_once(given.out, ["path", "seq"]))
+    elif given.command == "mark":
+        stamps.detect(spark.read.parquet(given.images), spark.read.parquet(given.template)).write.mode("overwrite").parquet(given.out)
+    elif given.command == "finalize":
+        found = ingest.finalize(ingest.Run(spark, given.root, given.run), spark.read.parquet(given.markers))
+        review.handoff(found).write.mode("overwrite").parquet(given.out)
+    elif given.command == "draft":
+        drafts.acceptance(spark.read.parquet(given.responses)).write.mode("overwrite").parquet(given.out)
+    elif given.command == "packet":
+        built = sinks.packets(spark.read.parquet(given.members))
+        name = F.format_string("%s-%d.zip", "packet", "part").alias("name")
+        ready = sinks.publication(built.select(name, F.col("content_sha256").alias("sha256"), "content"), spark.read.parquet(given.published))
+        ready.write.mode("overwrite").parquet(given.out)
+    elif given.command == "bridge":
+        found = drafts.command_issues(spark.read.parquet(given.commands), given.folder)
+        found.write.mode("overwrite").parquet(given.out)
 
 
 if __name__ == "__main__":

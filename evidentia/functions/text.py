@@ -71,12 +71,6 @@ def nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def casefold(texts: pa.Array) -> pa.Array:
-    """Full case folding."""
-    return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
-
-
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def character_counts(texts: pa.Array) -> pa.Array:
     """How many characters of a text lie in each of 64 classes of code points; null for null."""

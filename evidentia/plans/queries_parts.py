@@ -82,6 +82,14 @@ def page_image_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_number", *[F.round(c, 6).alias(c) for c in ("image_coverage", "largest_image_coverage")])
 
 
+@query(
+    """select doc_id, concat_ws(',', case when n_chars < 300 then 'short' end, case when contains(text, '@') then 'address' end, case when lang <> 'en' then 'foreign' end) as reasons from documents"""
+)
+def page_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.reasons(short=F.col("n_chars") < 300, address=F.col("text").contains("@"), foreign=F.col("lang") != "en")
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("reasons"))
+
+
 # Targets of text recognition.
 
 

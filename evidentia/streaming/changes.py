@@ -87,11 +87,6 @@ def questions(stream: DataFrame) -> DataFrame:
     return _stateful(stream, ["subject", "question"], output, "state string", step)
 
 
-def once_each(stream: DataFrame, *key: str) -> DataFrame:
-    """The first row of each key over the whole stream."""
-    return stream.dropDuplicates(list(key))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

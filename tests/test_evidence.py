@@ -135,7 +135,7 @@ def test_ingest_resumes(spark, tmp_path):
     assert run.reused == []
     again = ingest.Run(spark, f"file://{tmp_path}", "run1")
     ingest.ingest(again, table, evidence(spark, rows), marks, "h1")
-    assert len(again.reused) == 7
+    assert len(again.reused) == 8
     changed = ingest.Run(spark, f"file://{tmp_path}", "run1")
     ingest.ingest(changed, table, evidence(spark, rows), marks, "h2")
     assert changed.reused == []
