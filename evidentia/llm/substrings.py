@@ -11,6 +11,7 @@ there equals that of the place it repeats. The first place keeps a passage and l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.binding import let
 from evidentia.llm.spans import part, pieces
 from evidentia.llm.text import bounded, flat, text_key
-from evidentia.staging import stage
+from evidentia.staging import settle, stage
 
 WINDOW = 32
 MIN_BYTES = 24
@@ -130,7 +131,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     whole = W.partitionBy("doc_id", "key", "run")
     chars = F.max("stop").over(whole) - F.min("start").over(whole)
     hits = hits.withColumns({"chars": chars, "first_nth": F.min("nth").over(whole), "last_nth": F.max("nth").over(whole)})
-    return stage(hits.where(F.col("chars") >= MIN_RUN), "hits")
+    return hits.where(F.col("chars") >= MIN_RUN)
 
 
 def _others(hits: DataFrame) -> DataFrame:
@@ -148,21 +149,18 @@ def _others(hits: DataFrame) -> DataFrame:
 
 
 def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, key, at, before, after) for each wanted place (doc_id, key, at): REACH characters of its text on either side."""
-    places = wanted.groupBy("doc_id", "key").agg(F.collect_set("at").alias("places"))
+    """(doc_id, key, at, ahead, near) for each wanted (doc_id, key, at, ahead): REACH characters before a place, or those after it backwards."""
+    places = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "ahead")).alias("places"))
     places = stage(places, "places").withColumnsRenamed({"doc_id": "p_doc", "key": "p_key"})
     same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("key") == F.col("p_key"))
-    texts = _identified(docs).where("text is not null").join(places, same)
-    around = lambda held: F.transform(
-        "places",
-        lambda at: F.struct(
-            at.alias("at"),
-            part(held, F.greatest(at - REACH, F.lit(0)), at).alias("before"),
-            part(held, at, F.least(at + REACH, F.col("size"))).alias("after"),
-        ),
+    texts = _identified(docs).where("text is not null").join(places, same).select("doc_id", "key", "text", "places")
+    texts = texts.dropDuplicates(["doc_id", "key"])  # equal rows are one document
+    near = lambda held, w: F.when(w["ahead"], F.reverse(part(held, w["at"], F.least(w["at"] + REACH, F.col("size"))))).otherwise(
+        part(held, F.greatest(w["at"] - REACH, F.lit(0)), w["at"])
     )
+    around = lambda held: F.transform("places", lambda w: F.struct(w["at"].alias("at"), w["ahead"].alias("ahead"), near(held, w).alias("near")))
     found = texts.withColumn("size", F.length("text")).select("doc_id", "key", F.explode(let(pieces(F.col("text")), around)).alias("c"))
-    return found.select("doc_id", "key", "c.*").dropDuplicates(["doc_id", "key", "at"])
+    return found.select("doc_id", "key", "c.*")
 
 
 def _shared_end(a: str, b: str) -> Column:
@@ -179,10 +177,10 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     The first and last chunk of a run also hold the characters by which it was extended. Passages
     of under `min_span` characters are left out.
     """
-    hits = _runs(docs)
+    hits = settle(docs.sparkSession, partial(_runs, docs), "hits")
     ends = _others(hits)
     at = lambda side, place, field: F.struct(
-        F.lit(side).alias("side"), F.col(f"{place}doc_id").alias("doc_id"), F.col(f"{place}key").alias("key"), F.col(f"{place}{field}").alias("at")
+        F.lit(side).alias("side"), F.col(f"{place}doc_id").alias("doc_id"), F.col(f"{place}key").alias("key"), F.col(f"{place}{field}").alias("at"), F.lit(field == "stop").alias("ahead")
     )
     both = lambda edge, field: F.array(at(f"own_{edge}", "", field), at(f"other_{edge}", "other.", field))
     wanted = F.concat(
@@ -190,11 +188,11 @@ def passages(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
         F.when((F.col("nth") == F.col("last_nth")) & ~F.col("final"), both("z", "stop")).otherwise(F.array()),
     )
     asked = stage(ends.select(F.struct("doc_id", "key", "run").alias("id"), F.explode(wanted).alias("w")).select("id", "w.*"), "asked")
-    told = stage(_context(docs, asked.select("doc_id", "key", "at")), "contexts")
-    told = told.withColumnsRenamed({"doc_id": "t_doc", "key": "t_key", "at": "t_at"})
-    same = F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key")) & (F.col("at") == F.col("t_at"))
-    told = asked.join(told, same).select("id", "side", F.when(F.col("side").endswith("a"), F.col("before")).otherwise(F.reverse("after")).alias("text"))
-    side = lambda name: F.max(F.when(F.col("side") == name, F.col("text")))
+    told = stage(_context(docs, asked.select("doc_id", "key", "at", "ahead")), "contexts")
+    told = told.withColumnsRenamed({"doc_id": "t_doc", "key": "t_key", "at": "t_at", "ahead": "t_ahead"})
+    same = F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("key") == F.col("t_key")) & (F.col("at") == F.col("t_at")) & (F.col("ahead") == F.col("t_ahead"))
+    told = asked.join(told, same).select("id", "side", "near")
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("near")))
     sides = told.groupBy("id").agg(*[side(n).alias(n) for n in ("own_a", "other_a", "own_z", "other_z")])
     grown = sides.select("id.*", _shared_end("own_a", "other_a").alias("more_a"), _shared_end("own_z", "other_z").alias("more_z"))
     grown = stage(grown, "grown").withColumnsRenamed({"doc_id": "g_doc", "key": "g_key", "run": "g_run"})
@@ -217,7 +215,7 @@ def shared_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     of 64 bits would have to befall chunk after chunk to matter. Null texts have none; rows equal in
     doc_id and text are one document; texts that differ are told apart even under one doc_id.
     """
-    hits = stage(passages(docs, min_span), "passages")
+    hits = settle(docs.sparkSession, partial(passages, docs, min_span), "passages")
     keepers = stage(hits.groupBy("digest", "size").agg(F.min(_place("nth")).alias("keeper")), "keepers")
     kept = (F.col("keeper.nth") == F.col("nth")) & (F.col("keeper.key") == F.col("key")) & F.col("keeper.doc_id").eqNullSafe(F.col("doc_id"))
     hits = hits.join(keepers, ["digest", "size"]).select("doc_id", "key", "run", "nth", "start", "stop", kept.alias("kept"))
