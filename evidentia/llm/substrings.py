@@ -251,14 +251,17 @@ def deduplicate(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, gone in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            at, parts = 0, []
-            for s in sorted(gone, key=lambda s: s["start"]):
-                parts.append(text[at : s["start"]])
-                at = max(at, s["stop"])
-            out.append("".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
+        done = []
+        for batch in bounded([pa.RecordBatch.from_arrays([texts, spans], ["text", "gone"])], "text"):
+            out = []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                at, parts = 0, []
+                for s in sorted(gone, key=lambda s: s["start"]):
+                    parts.append(text[at : s["start"]])
+                    at = max(at, s["stop"])
+                out.append("".join([*parts, text[at:]]))
+            done.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     gone = shared_spans(docs, min_span).where("not kept")
     gone = stage(gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("gone")), "gone")
