@@ -140,9 +140,8 @@ def _others(hits: DataFrame) -> DataFrame:
     Where a run reaches an end of its text there is nothing to extend it into.
     """
     ends = hits.where("(nth = first_nth and start > 0) or (nth = last_nth and not final)")
-    asked = stage(ends.select("digest", "size").distinct(), "end_digests")
     place = _place("nth", "start", "stop")
-    held = hits.join(asked, ["digest", "size"], "left_semi").groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    held = hits.groupBy("digest", "size").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     ends = ends.join(stage(held, "places"), ["digest", "size"])
     own = (F.col("first.nth") == F.col("nth")) & (F.col("first.key") == F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
     return stage(ends.withColumn("other", F.when(own, F.col("last")).otherwise(F.col("first"))), "ends")
@@ -154,13 +153,12 @@ def _context(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = stage(places, "places").withColumnsRenamed({"doc_id": "p_doc", "key": "p_key"})
     same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("key") == F.col("p_key"))
     texts = _identified(docs).where("text is not null").join(places, same).select("doc_id", "key", "text", "places")
-    texts = texts.dropDuplicates(["doc_id", "key"])  # equal rows are one document
     near = lambda held, w: F.when(w["ahead"], F.reverse(part(held, w["at"], F.least(w["at"] + REACH, F.col("size"))))).otherwise(
         part(held, F.greatest(w["at"] - REACH, F.lit(0)), w["at"])
     )
     around = lambda held: F.transform("places", lambda w: F.struct(w["at"].alias("at"), w["ahead"].alias("ahead"), near(held, w).alias("near")))
     found = texts.withColumn("size", F.length("text")).select("doc_id", "key", F.explode(let(pieces(F.col("text")), around)).alias("c"))
-    return found.select("doc_id", "key", "c.*")
+    return found.select("doc_id", "key", "c.*").dropDuplicates(["doc_id", "key", "at", "ahead"])  # equal rows are one document
 
 
 def _shared_end(a: str, b: str) -> Column:
