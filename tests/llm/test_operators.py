@@ -435,6 +435,17 @@ def test_host_verdicts(spark):
     assert rate["good0"] < rate["bad"] < 30 / 42 and rate["new"] < 0.5
 
 
+def test_a_bad_host_in_a_whole_table(spark):
+    """A host planted in a table of a thousand documents goes with its good ones too; the other hosts' verdicts stay as they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = docs.where("n_chars > 1500").limit(12).select((F.col("doc_id") + 90_000).alias("doc_id"), "text", "lang", F.lit("spam").alias("source"), "n_chars")
+    junk = docs.limit(48).select((F.col("doc_id") + 80_000).alias("doc_id"), F.lit("buy now").alias("text"), "lang", F.lit("spam").alias("source"), F.lit(7).cast("long").alias("n_chars"))
+    verdicts = lambda rows: {r.doc_id: r.kept for r in quality.judge(rows).collect()}
+    before, after = verdicts(docs), verdicts(docs.union(good).union(junk))
+    assert {i: k for i, k in after.items() if i < 80_000} == before and 0.7 < sum(before.values()) / len(before) < 0.95
+    assert not any(k for i, k in after.items() if i >= 80_000)
+
+
 def test_licence_templates(spark):
     whole = dict(reversed(licenses.TEMPLATES))  # the first of each label
     mit, bsd = (" ".join(whole[k].split()) for k in ("mit", "bsd"))
