@@ -376,7 +376,7 @@ def test_many_spans_take_linear_time(spark, operator):
     operator(frame(spark, [part])).collect()
     began = time.time()
     clean = operator(docs).first().text
-    assert time.time() - began < 15 and clean.count("[") == (75_000 if operator is secrets.redact else 25_000)
+    assert time.time() - began < 30 and clean.count("[") == (75_000 if operator is secrets.redact else 25_000)
 
 
 HARD_PERSONAL = [
