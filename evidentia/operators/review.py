@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,12 +102,46 @@ def _parts(pages: DataFrame, most: int) -> DataFrame:
     return rows.select("document", "part", F.concat(F.when(F.col("part") > 0, "\n").otherwise(""), "body").alias("body"))
 
 
+def _heads(pages: DataFrame) -> DataFrame:
+    """(document, head): frontmatter and title of each document."""
+    head = F.concat(F.lit("---\nhandoff_schema_version: 2\nsource: "), F.to_json(F.struct("document")), F.lit("\npage_review_count: "), F.col("n_tasks").cast("string"), F.lit("\n---\n\n# Page Reading Pack\n\n"))
+    return pages.groupBy("document").agg(F.count("task").alias("n_tasks")).select("document", head.alias("head"))
+
+
 def handoff(pages: DataFrame, most: int = PART_CHARS) -> DataFrame:
     """(document, part, markdown): frontmatter and all pages in order, in parts of about `most` characters."""
-    tasks = pages.groupBy("document").agg(F.count("task").alias("n_tasks"))
-    head = F.concat(F.lit("---\nhandoff_schema_version: 2\nsource: "), F.to_json(F.struct("document")), F.lit("\npage_review_count: "), F.col("n_tasks").cast("string"), F.lit("\n---\n\n# Page Reading Pack\n\n"))
-    rows = _parts(pages.withColumn("page", handoff_page()), most).join(tasks, "document")
-    return rows.select("document", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), "body").alias("markdown"))
+    rows = _parts(pages.withColumn("page", handoff_page()), most).join(_heads(pages), "document")
+    return rows.select("document", "part", F.concat(F.when(F.col("part") == 0, F.col("head")).otherwise(""), "body").alias("markdown"))
+
+
+def handoff_hash(pages: DataFrame) -> DataFrame:
+    """(document, markdown_sha256): hash of each document's whole Markdown, all parts of `handoff` as one.
+
+    A document's pages pass one task in order, a batch at a time; the text is never put together.
+    """
+    none = F.lit(None).cast(pages.schema["page_number"].dataType)
+    heads = _heads(pages).select("document", F.lit(0).alias("step"), none.alias("page_number"), F.col("head").alias("piece"))
+    rows = heads.unionByName(pages.select("document", F.lit(1).alias("step"), "page_number", handoff_page().alias("piece")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, document, first, done = None, None, True, []
+        for batch in batches:
+            columns = (batch["document"], batch["step"], batch["piece"].cast(pa.binary()))
+            for name, step, piece in zip(*[c.to_pylist() for c in columns], strict=True):
+                if step == 0:
+                    if state is not None:
+                        done.append((document, state.hexdigest()))
+                    state, document, first = hashlib.sha256(), name, True
+                elif not first:
+                    state.update(b"\n")
+                first = step == 0
+                state.update(piece)
+        if state is not None:
+            done.append((document, state.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*done) if done else ([], []))], ["document", "markdown_sha256"])
+
+    sorted_rows = rows.repartition("document").sortWithinPartitions("document", "step", "page_number", "piece").select("document", "step", "piece")
+    return sorted_rows.mapInArrow(run, "document string, markdown_sha256 string")
 
 
 def audit(pages: DataFrame, most: int = PART_CHARS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import hashing, text
+from evidentia.functions import text
 from evidentia.operators import markers, pages, reconciliation, retrieval, review, sets
 from evidentia.plans.registry import query
 from evidentia.session import load
@@ -152,7 +152,7 @@ def handoff_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("canonical_text"), F.lit(None).cast("array<struct<record_id:string,kind:string,ocr_text:string,ocr_confidence:double,review_status:string>>").alias("supplements"),
         F.lit(None).cast("array<struct<id:string,color:string,review_status:string>>").alias("markers"), F.lit(None).cast("struct<review_categories:array<string>>").alias("task"),
     )
-    return review.handoff(rows).select("document", hashing.text_hash(F.col("markdown")).alias("markdown_sha256"))
+    return review.handoff_hash(rows)
 
 
 @query(
