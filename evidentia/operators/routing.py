@@ -131,9 +131,9 @@ def target_key(stable_page_id: Column, kind: Column, bbox: Column, dpi: Column,
     )
 
 
-def ordinals(targets: DataFrame) -> DataFrame:
-    """Targets with target_id p0001-kind-001, counted from 1 by kind on each page."""
-    order = W.partitionBy("document", "page_number", "kind").orderBy(F.asc_nulls_first("source_index"))
+def ordinals(targets: DataFrame, *ties: str) -> DataFrame:
+    """Targets with target_id p0001-kind-001, counted from 1 by kind on each page; `ties` order those of one source_index."""
+    order = W.partitionBy("document", "page_number", "kind").orderBy(F.asc_nulls_first("source_index"), *ties)
     return targets.withColumn("target_id", F.format_string("p%04d-%s-%03d", "page_number", "kind", F.row_number().over(order)))
 
 

@@ -47,3 +47,12 @@ def test_blank_texts_are_no_files(spark, tmp_path):
     rows = [{"doc_id": 7 * k + r, "text": t} for k, t in enumerate(bodies) for r in range(7)]
     found, wanted = both(spark, tmp_path, "text_files", documents=rows)
     assert found == wanted
+
+
+def test_ordinals_of_equal_places_do_not_depend_on_row_order(spark):
+    from evidentia.operators import routing
+
+    rows = [("d", p, "k", 2_000_005, n, part) for p in range(40) for n, part in ((2, 5), (1, 1_000_005))]
+    shape = "document string, page_number int, kind string, source_index long, line int, part long"
+    found = routing.ordinals(spark.createDataFrame(rows, shape), "line", "part").collect()
+    assert {(r.line, r.target_id[-3:]) for r in found} == {(1, "001"), (2, "002")}
