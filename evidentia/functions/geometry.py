@@ -137,7 +137,7 @@ def nearest_colour(r: Column, g: Column, b: Column) -> Column:
     """Name of the nearest known colour within tolerance, the first of equals; else null."""
     ranked = [
         F.struct(
-            F.sqrt(F.pow(r - c[0], F.lit(2)) + F.pow(g - c[1], F.lit(2)) + F.pow(b - c[2], F.lit(2))).alias("d"),
+            F.sqrt((r - c[0]) * (r - c[0]) + (g - c[1]) * (g - c[1]) + (b - c[2]) * (b - c[2])).alias("d"),
             F.lit(n).alias("n"),
             F.lit(name).alias("name"),
         )

@@ -1,8 +1,15 @@
-"""Marker strokes and fills: classes, the text under them, logical markers, and their canonical ranges."""
+"""Marker strokes and fills: classes, the text under them, logical markers, and their canonical ranges.
+
+Sides made by an explode are joined by a sort: Spark takes an explode for as large as its input, and
+would send millions of rows to the driver as a broadcast.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +24,16 @@ MIN_WORD_OVERLAP = 0.15
 RED_GAP = 12.0
 
 
+def coloured(drawings: DataFrame) -> DataFrame:
+    """Marks of drawings (see `classified`) with their paint, colour and kind, without the words under them."""
+    named = lambda rgb: F.when(F.size(rgb) == 3, geo.nearest_colour(*[F.get(rgb, F.lit(n)) for n in range(3)]))
+    # Named before the explode: filters above a projection would each name the colour again.
+    paints = F.array(*[F.struct(F.lit(p).alias("paint"), named(F.col(p)).alias("color")) for p in ("stroke", "fill")])
+    rows = drawings.select(*ON, "drawing_index", "rect", "width", F.explode(paints).alias("p")).select(*ON, "drawing_index", "rect", "width", "p.paint", "p.color").where("color is not null")
+    marker = (F.col("color") != "red") & ((F.col("paint") == "fill") | (F.col("width") >= MIN_STROKE))
+    return rows.withColumn("kind", F.when(F.col("color") == "red", "red_vector_evidence").when(marker, "marker_candidate")).where("kind is not null")
+
+
 def classified(drawings: DataFrame, words: DataFrame) -> DataFrame:
     """Marks of drawings (document, page_number, drawing_index, rect, width, stroke, fill): stroke and fill apart.
 
@@ -24,16 +41,9 @@ def classified(drawings: DataFrame, words: DataFrame) -> DataFrame:
     are marker candidates if filled, or stroked with a width of 3 or more. `words` (document,
     page_number, block, line, word, text, bbox) give the text under a candidate.
     """
-    paints = F.array(
-        F.struct(F.lit("stroke").alias("paint"), F.col("stroke").alias("rgb")), F.struct(F.lit("fill").alias("paint"), F.col("fill").alias("rgb"))
-    )
-    rows = drawings.select(*ON, "drawing_index", "rect", "width", F.explode(paints).alias("p")).where("size(p.rgb) = 3")
-    rgb = [F.get("p.rgb", F.lit(n)) for n in range(3)]
-    rows = rows.select(*ON, "drawing_index", "rect", "width", "p.paint", geo.nearest_colour(*rgb).alias("color")).where("color is not null")
-    marker = (F.col("color") != "red") & ((F.col("paint") == "fill") | (F.col("width") >= MIN_STROKE))
-    rows = rows.withColumn("kind", F.when(F.col("color") == "red", "red_vector_evidence").when(marker, "marker_candidate")).where("kind is not null")
+    rows = coloured(drawings)
     under = mark_words(rows.where("kind = 'marker_candidate'"), words)
-    rows = rows.join(under, [*ON, "drawing_index", "paint"], "left")
+    rows = rows.join(under.hint("merge"), [*ON, "drawing_index", "paint"], "left")
     clean = text.suspicious_count(F.col("word_candidate")) == 0
     sure = (
         F.when(F.col("kind") == "red_vector_evidence", 0.99)
@@ -47,7 +57,7 @@ def classified(drawings: DataFrame, words: DataFrame) -> DataFrame:
 def mark_words(marks: DataFrame, words: DataFrame) -> DataFrame:
     """(…, drawing_index, paint, word_candidate): words under each mark in reading order."""
     pad = F.coalesce("width", F.lit(0.0)) / 2 + 1.0
-    hits = marks.select(*ON, "drawing_index", "paint", "rect", pad.alias("pad")).join(words, list(ON))
+    hits = marks.select(*ON, "drawing_index", "paint", "rect", pad.alias("pad")).join(words.hint("merge"), list(ON))
     shared = F.least(geo.edge(F.col("bbox"), 2), geo.edge(F.col("rect"), 2)) - F.greatest(geo.edge(F.col("bbox"), 0), geo.edge(F.col("rect"), 0))
     middle = (geo.edge(F.col("bbox"), 1) + geo.edge(F.col("bbox"), 3)) / 2
     inside = middle.between(geo.edge(F.col("rect"), 1) - F.col("pad"), geo.edge(F.col("rect"), 3) + F.col("pad"))
@@ -62,10 +72,10 @@ def fragments(marks: DataFrame, chars: DataFrame) -> DataFrame:
     marks = marks.where("kind = 'marker_candidate'")
     order = W.partitionBy(*ON).orderBy("drawing_index", F.desc("paint"))
     marks = marks.withColumn("id", F.format_string("p%04d-mark-%03d", "page_number", F.row_number().over(order)))
-    hits = marks.select(*ON, "id", "rect", "paint", "width").join(chars.select(*ON, "index", "c", "bbox", "block", "line"), list(ON))
+    hits = marks.select(*ON, "id", "rect", "paint", "width").join(chars.select(*ON, "index", "c", "bbox", "block", "line").hint("merge"), list(ON))
     hits = hits.where(geo.marker_hits(F.col("bbox"), F.col("rect"), F.col("paint"), F.col("width")))
     held = hits.groupBy("document", "id").agg(F.array_sort(F.collect_list(F.struct("index", "c", "block", "line"))).alias("native_chars"))
-    rows = marks.join(held, ["document", "id"], "left")
+    rows = marks.join(held.hint("merge"), ["document", "id"], "left")
     joined = F.array_join(F.transform("native_chars", lambda c: c["c"]), "")
     rows = rows.withColumn("exact_text", F.when(F.size("native_chars") > 0, joined))
     a, b = text.compact(text.comparable(F.col("exact_text"))), text.compact(text.comparable(F.col("word_candidate")))
@@ -98,7 +108,7 @@ def adjacent(parts: DataFrame) -> DataFrame:
     right = geo.edge(F.col("b.rect"), 2) <= geo.edge(F.col("a.rect"), 0)
     follows = F.when(left, F.col("a.end_char") + 1 == F.col("b.start_char")).when(right, F.col("b.end_char") + 1 == F.col("a.start_char")).otherwise(False)
     band_meets = F.least("a.band.hi", "b.band.hi") >= F.greatest("a.band.lo", "b.band.lo")
-    rows = a.join(b, [*same, F.col("a.id") < F.col("b.id")])
+    rows = a.join(b.hint("merge"), [*same, F.col("a.id") < F.col("b.id")])
     rows = rows.where(F.arrays_overlap("a.lines", "b.lines") & band_meets & (F.arrays_overlap("a.indexes", "b.indexes") | follows))
     return rows.select(F.col("a.document").alias("document"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
@@ -108,13 +118,13 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     node = lambda c: F.struct("document", F.col(c).alias("id"))
     found = roots(pairs.select(node("a").alias("u"), node("b").alias("v")))
     found = found.select("node.document", "node.id", F.col("root.id").alias("root"))
-    rows = nodes.select("document", "id").join(found, ["document", "id"], "left")
+    rows = nodes.select("document", "id").join(found.hint("merge"), ["document", "id"], "left")
     return rows.select("document", "id", F.coalesce("root", "id").alias("component"))
 
 
 def logical(parts: DataFrame, grouped: DataFrame) -> DataFrame:
     """One row for each component of fragments: union box, widest stroke, least confidence, joined characters."""
-    rows = parts.join(grouped, ["document", "id"])
+    rows = parts.join(grouped.hint("merge"), ["document", "id"])
     firsts = F.array_sort(F.collect_list(F.struct("id", "word_candidate")))
     merged = rows.groupBy(*ON, "color", "component").agg(
         F.array(F.min(geo.edge(F.col("rect"), 0)), F.min(geo.edge(F.col("rect"), 1)), F.max(geo.edge(F.col("rect"), 2)), F.max(geo.edge(F.col("rect"), 3))).alias("bbox"),
@@ -176,28 +186,43 @@ def anchored(marks: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
 def red_clusters(marks: DataFrame, gap: float = RED_GAP) -> DataFrame:
     """(document, page_number, cluster, bbox): red rectangles within `gap` of each other as one, to a fixpoint.
 
-    A page's red marks are one group; clusters are numbered by their top left corner.
+    Pages pass in order, each as one list; clusters are numbered by their top left corner.
     """
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        boxes = [list(b) for b in rows.sort_values("drawing_index")["rect"]]
-        done: list[list[float]] = []
-        while boxes:
-            box = boxes.pop()
-            near = next((o for o in boxes if _near(box, o, gap)), None)
-            if near is None:
-                done.append(box)
-                continue
-            boxes.remove(near)
-            boxes.append([min(box[0], near[0]), min(box[1], near[1]), max(box[2], near[2]), max(box[3], near[3])])
-            boxes += done  # a grown box may reach finished ones
-            done = []
-        done.sort(key=lambda b: (b[1], b[0]))
-        first = rows.iloc[0]
-        return pd.DataFrame({"document": first["document"], "page_number": first["page_number"], "cluster": range(1, len(done) + 1), "bbox": done})
-
-    red = marks.where("kind = 'red_vector_evidence'").select(*ON, "drawing_index", "rect")
-    return red.groupBy(*ON).applyInPandas(merge, "document string, page_number int, cluster int, bbox array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*[c.to_pylist() for c in batch.columns], strict=True) for batch in batches)
+        out: list[tuple] = []
+        for page, marks in groupby(rows, key=lambda r: r[:2]):
+            out += [(*page, n, box) for n, box in enumerate(_merged([list(m[3]) for m in marks], gap), 1)]
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["document", "page_number", "cluster", "bbox"])
+
+    red = marks.where("kind = 'red_vector_evidence'").select("document", F.col("page_number").cast("int").alias("page_number"), "drawing_index", "rect")
+    ordered = red.repartition(*ON).sortWithinPartitions(*ON, "drawing_index", "rect")
+    return ordered.mapInArrow(run, "document string, page_number int, cluster int, bbox array<double>")
+
+
+def _merged(boxes: list[list[float]], gap: float) -> list[list[float]]:
+    done: list[list[float]] = []
+    while boxes:
+        box = boxes.pop()
+        near = next((o for o in boxes if _near(box, o, gap)), None)
+        if near is None:
+            done.append(box)
+            continue
+        boxes.remove(near)
+        boxes.append([min(box[0], near[0]), min(box[1], near[1]), max(box[2], near[2]), max(box[3], near[3])])
+        boxes += done  # a grown box may reach finished ones
+        done = []
+    return sorted(done, key=lambda b: (b[1], b[0]))
 
 
 def _near(a: list[float], b: list[float], gap: float) -> bool:

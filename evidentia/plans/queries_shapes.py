@@ -10,6 +10,7 @@ from evidentia.functions import text
 from evidentia.operators import markers, routing
 from evidentia.plans.registry import query
 from evidentia.session import load
+from evidentia.staging import stage
 
 _BOXES = """
     with b as (select l_orderkey, l_linenumber, l_quantity as ax0, round(l_tax * 100) as ay0, l_quantity + 10 as ax1, round(l_tax * 100) + 5 as ay1,
@@ -158,10 +159,10 @@ def edge_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document").cast("long").alias("k"), F.col("image_index").cast("long").alias("image_index"))
 
 
-def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Marks and characters: two strokes that continue one another, the second only on even pages, one on a line of its own, red boxes, a thin line."""
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drawings, words and characters: two strokes that continue one another, the second only on even pages, one on a line of its own, red boxes, a thin line."""
     k, names = F.col("c_custkey"), ("document", "page_number")
-    docs = _documents(spark, sf_dir)
+    docs = _documents(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *names)  # so that all joins on pages find their rows in place
     colour = lambda name: F.array(*[F.lit(v) for v in geo.COLOURS[name]])
     drawing = lambda i, rect, width, name: F.struct(F.lit(i).alias("drawing_index"), rect.alias("rect"), F.lit(width).alias("width"), colour(name).alias("stroke"), F.lit(None).cast("array<double>").alias("fill"))
     gap = (k % 20).cast("double")
@@ -179,7 +180,7 @@ def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     chars = F.array(*[char(i, c) for i, c in enumerate("abcdefghi")])
     listed = lambda rows: docs.select(*names, F.explode(rows).alias("r")).select(*names, "r.*")
-    return markers.classified(drawings, listed(words)), listed(chars)
+    return drawings, listed(words), listed(chars)
 
 
 @query(
@@ -189,8 +190,8 @@ def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 )
 def logical_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments that continue one another, as one marker."""
-    marks, chars = _marks(spark, sf_dir)
-    parts = markers.fragments(marks, chars)
+    drawings, words, chars = _marks(spark, sf_dir)
+    parts = stage(markers.fragments(markers.classified(drawings, words), chars), "fragments")
     merged = markers.logical(parts, markers.components(parts, markers.adjacent(parts)))
     return merged.select(F.col("document").cast("long").alias("k"), "id", "exact_text", "review_status", "boundary_confidence", geo.edge(F.col("bbox"), 0).alias("x0"), geo.edge(F.col("bbox"), 2).alias("x1"))
 
@@ -202,7 +203,7 @@ def logical_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def red_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Red boxes at gaps of 0 to 19, which are one up to a gap of 12."""
-    found = markers.red_clusters(_marks(spark, sf_dir)[0])
+    found = markers.red_clusters(markers.coloured(_marks(spark, sf_dir)[0]))
     return found.select(F.col("document").cast("long").alias("k"), F.col("cluster").cast("long").alias("cluster"), *[geo.edge(F.col("bbox"), n).alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 

@@ -56,3 +56,29 @@ def test_ordinals_of_equal_places_do_not_depend_on_row_order(spark):
     shape = "document string, page_number int, kind string, source_index long, line int, part long"
     found = routing.ordinals(spark.createDataFrame(rows, shape), "line", "part").collect()
     assert {(r.line, r.target_id[-3:]) for r in found} == {(1, "001"), (2, "002")}
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """Marks, words and characters of many pages stay with the executors, whatever their source's size."""
+    pq.write_table(pa.table({"c_custkey": pa.array(range(500), pa.int64())}), tmp_path / "customer.parquet")
+    for name in ("logical_markers", "red_clusters"):
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+        assert "Scan" in plan and "Broadcast" not in plan
+
+
+def test_red_clusters_across_batches(spark, monkeypatch):
+    """Pages that straddle Arrow batches keep all their marks, and pages pass without a group each."""
+    from evidentia.operators import markers
+
+    rows = [(str(d), 1, i, [40.0 * (i // 2) + 5 * (i % 2), 0.0, 40.0 * (i // 2) + 10, 5.0], "red_vector_evidence") for d in range(50) for i in range(7)]
+    marks = spark.createDataFrame(rows, "document string, page_number int, drawing_index int, rect array<double>, kind string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        clusters = markers.red_clusters(marks)
+        found = clusters.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = {(str(d), 1, k + 1, 40.0 * k, 40.0 * k + 10) for d in range(50) for k in range(4)}
+    assert {(r.document, r.page_number, r.cluster, r.bbox[0], r.bbox[2]) for r in found} == wanted and len(found) == 200
+    assert "FlatMapGroups" not in clusters._jdf.queryExecution().optimizedPlan().toString()
