@@ -65,12 +65,33 @@ def suspicious_class() -> str:
     )
 
 
+@lru_cache(maxsize=1)
+def stable_class() -> str:
+    """Class ranges of characters that NFKC leaves alone and never joins to the one before; short ranges are left out."""
+    decompositions = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    joins = {int(d[1], 16) for d in decompositions if len(d) == 2 and not d[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    ranges: list[list[int]] = []
+    for code in range(0x10000):
+        c = chr(code)
+        if 0xD800 <= code <= 0xDFFF or code in joins or unicodedata.combining(c) or not unicodedata.is_normalized("NFKC", c):
+            continue
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges if a < 0x100 or b - a >= 8)
+
+
 @F.arrow_udf(T.StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    """Unicode NFKC, which Spark lacks."""
+def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+def nfkc(texts: Column) -> Column:
+    """Unicode NFKC, which Spark lacks; only texts with a character that it may change go through Python."""
+    return F.coalesce(_nfkc(F.when(texts.rlike(f"[^{stable_class()}]"), texts)), texts)
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def character_counts(texts: pa.Array) -> pa.Array:
     """How many characters of a text lie in each of 64 classes of code points; null for null."""

@@ -82,3 +82,20 @@ def test_red_clusters_across_batches(spark, monkeypatch):
     wanted = {(str(d), 1, k + 1, 40.0 * k, 40.0 * k + 10) for d in range(50) for k in range(4)}
     assert {(r.document, r.page_number, r.cluster, r.bbox[0], r.bbox[2]) for r in found} == wanted and len(found) == 200
     assert "FlatMapGroups" not in clusters._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_texts_that_nfkc_may_change_go_through_python(spark):
+    import random
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from evidentia.functions import text
+
+    rnd = random.Random(5)
+    odd = ["é", "é", "́", "ﬁ", "Ａ", "ᄀ", "ᅡ", "ᆨ", "가", "각", "か", "゙", "。", "①", " ", "…", "x", " ", "ß", "漢", "ে", "া", "😀", "\U0001d400", "塚"]
+    bodies = ["".join(rnd.choices(odd, k=rnd.randint(0, 6))) for _ in range(3000)] + [chr(c) for c in range(0x3000) if c] + [None]
+    rows = spark.createDataFrame([(b,) for b in bodies], "t string").select("t", text.nfkc(F.col("t")).alias("n"))
+    assert all(r.n == (r.t if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in rows.collect())
+    stable = F.col("t").rlike(f"[^{text.stable_class()}]")
+    assert not any(r[0] for r in spark.createDataFrame([("plain",), ("né à Köln, Öl",), ("漢字と",), ("한글",)], "t string").select(stable).collect())
