@@ -53,9 +53,10 @@ def resolve(pages: DataFrame, max_backtrack: int = MAX_BACKTRACK) -> DataFrame:
     """Done pages (document, page_number, text, done) with the question of the nearest heading at or before them.
 
     At most `max_backtrack` pages back; the walk ends at the first accepted heading, and ends
-    unresolved at the first ambiguous one. Rejected headings are passed over.
+    unresolved at the first ambiguous one. Rejected headings are passed over. Pages are dealt out
+    before they are assessed, as the walk needs them to be, so that few input files don't make few tasks.
     """
-    seen = pages.withColumn("h", assess(text.nfkc(F.coalesce("text", F.lit("")))))
+    seen = pages.repartition("document").withColumn("h", assess(text.nfkc(F.coalesce("text", F.lit("")))))
     stops = F.col("h.decision").isin("ACCEPT_PROBLEM_START", "UNRESOLVED_AMBIGUOUS_HEADING")
     frame = W.partitionBy("document").orderBy("page_number").rangeBetween(-max_backtrack, 0)
     last = F.last(F.when(stops, F.struct("page_number", "h.decision", "h.question")), ignorenulls=True).over(frame)
