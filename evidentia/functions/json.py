@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -60,27 +61,31 @@ def _strict(node):
     return found
 
 
+@lru_cache(maxsize=1024)
+def _strict_text(schema: str) -> str:
+    return json.dumps(_strict(json.loads(schema)), ensure_ascii=False, sort_keys=True)
+
+
 @F.arrow_udf(T.StringType())
 def strict_schema(schemas: pa.Array) -> pa.Array:
     """A JSON schema in strict form, keys sorted."""
-    found = [None if s is None else json.dumps(_strict(json.loads(s)), ensure_ascii=False, sort_keys=True) for s in schemas.to_pylist()]
-    return pa.array(found, pa.string())
+    return pa.array([None if s is None else _strict_text(s) for s in schemas.to_pylist()], pa.string())
+
+
+@lru_cache(maxsize=1024)
+def _bound_text(schema: str, values: str) -> str:
+    tree = json.loads(schema)
+    for name, value in json.loads(values).items():
+        if name in tree.get("properties", {}):
+            tree["properties"][name]["enum"] = [value]
+    return json.dumps(tree, ensure_ascii=False, sort_keys=True)
 
 
 @F.arrow_udf(T.StringType())
 def bind_constants(schemas: pa.Array, constants: pa.Array) -> pa.Array:
     """A JSON schema whose root properties named in the constants (a JSON object) allow those values only."""
-    out = []
-    for schema, values in zip(schemas.to_pylist(), constants.to_pylist(), strict=True):
-        if schema is None or values is None:
-            out.append(schema)
-            continue
-        tree = json.loads(schema)
-        for name, value in json.loads(values).items():
-            if name in tree.get("properties", {}):
-                tree["properties"][name]["enum"] = [value]
-        out.append(json.dumps(tree, ensure_ascii=False, sort_keys=True))
-    return pa.array(out, pa.string())
+    rows = zip(schemas.to_pylist(), constants.to_pylist(), strict=True)
+    return pa.array([s if s is None or v is None else _bound_text(s, v) for s, v in rows], pa.string())
 
 
 def first_text(payload: Column) -> Column:
