@@ -81,8 +81,12 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 def image_coverage(pages: DataFrame) -> DataFrame:
-    """(document, page_number, image_coverage, largest_image_coverage) over images distinct by box to 2 digits."""
-    rows = pages.select("document", "page_number", "width", "height", F.explode("images").alias("i"))
+    """(document, page_number, image_coverage, largest_image_coverage) over images distinct by box to 2 digits.
+
+    A page's images may come in several rows. They are dealt out by page before equal ones are dropped,
+    so that a task holds the boxes of its pages only, not those of a whole input file.
+    """
+    rows = pages.repartition("document", "page_number").select("document", "page_number", "width", "height", F.explode("images").alias("i"))
     share = geo.page_coverage(F.col("box"), F.col("width"), F.col("height"))
     boxes = rows.withColumn("box", F.transform("i.bbox", lambda v: F.round(v, 2)))
     boxes = boxes.dropDuplicates(["document", "page_number", "box"]).withColumn("share", share)

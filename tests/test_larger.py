@@ -99,3 +99,12 @@ def test_only_texts_that_nfkc_may_change_go_through_python(spark):
     assert all(r.n == (r.t if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in rows.collect())
     stable = F.col("t").rlike(f"[^{text.stable_class()}]")
     assert not any(r[0] for r in spark.createDataFrame([("plain",), ("né à Köln, Öl",), ("漢字と",), ("한글",)], "t string").select(stable).collect())
+
+
+def test_boxes_are_dealt_out_before_they_are_compared(spark, tmp_path):
+    """No task aggregates a whole input file, and a page's images in several rows count once each."""
+    rows = [{"l_orderkey": i % 7, "l_quantity": float(i % 5 + 1), "l_linenumber": i % 3 + 1} for i in range(200)]
+    found, wanted = both(spark, tmp_path, "page_image_coverage", lineitem=rows)
+    assert found == wanted
+    plan = catalogue.QUERIES["page_image_coverage"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Exchange")[-1] and "collect_list" not in plan
