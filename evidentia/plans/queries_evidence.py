@@ -249,7 +249,7 @@ def packet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of ZIP packets made of each source's documents, read back."""
     rows = load(spark, sf_dir, "documents").select(F.col("source").alias("packet"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.col("text").alias("content"))
     built = sinks.packets(rows)
-    return files.zip_members(built.select(F.col("packet").alias("path"), "content")).select(F.col("path").alias("packet"), "member", "member_sha256", "member_size", "safe")
+    return files.zip_members(built.select(F.col("packet").alias("path"), "content"), content=False).select(F.col("path").alias("packet"), "member", "member_sha256", "member_size", "safe")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ except ImportError:
     yaml = None
 
 
+#: Bytes of unpacked members that are held before they are handed on.
+BATCH_BYTES = 8 << 20
+
+
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, size, modified, sha256, content) of files below `path`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -122,26 +127,48 @@ def patterns(notes: DataFrame, kind: str, subject: str | None = None) -> DataFra
     return rows.groupBy("note_id").agg(*[F.first(n).alias(n) for n in names], (F.countDistinct(F.to_json(F.struct(*names))) > 1).alias("conflicting"))
 
 
-def zip_members(files: DataFrame) -> DataFrame:
-    """(path, member, member_sha256, member_size, safe, content) of ZIP files; a broken archive gives a row without member."""
+def zip_members(files: DataFrame, content: bool = True) -> DataFrame:
+    """(path, member, member_sha256, member_size, safe, content) of ZIP files; a broken archive gives a row without member.
 
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    Members go out as they are read, about `BATCH_BYTES` at a time, however many archives come at once; without
+    `content` that column is left out and members are hashed in pieces.
+    """
+    names = ["path", "member", "member_sha256", "member_size", "safe"] + ["content"] * content
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary())
 
-        for rows in parts:
-            out = []
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            data = z.read(info)
-                            safe = not info.filename.startswith(("/", "\\")) and ".." not in info.filename.replace("\\", "/").split("/") and ":" not in info.filename
-                            out.append((path, info.filename, hashlib.sha256(data).hexdigest(), len(data), safe, data))
-                except zipfile.BadZipFile:
-                    out.append((path, None, None, None, False, None))
-            yield pd.DataFrame(out, columns=["path", "member", "member_sha256", "member_size", "safe", "content"])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
-    return files.select("path", "content").mapInPandas(unpack, "path string, member string, member_sha256 string, member_size long, safe boolean, content binary")
+    def read(path: str, data: pa.Scalar) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as z:
+                for info in z.infolist():
+                    safe = not info.filename.startswith(("/", "\\")) and ".." not in info.filename.replace("\\", "/").split("/") and ":" not in info.filename
+                    digest, size, pieces = hashlib.sha256(), 0, []
+                    with z.open(info) as member:
+                        while piece := member.read(1 << 20):
+                            digest.update(piece)
+                            size += len(piece)
+                            pieces += [piece] * content
+                    yield (path, info.filename, digest.hexdigest(), size, safe, *[b"".join(pieces)] * content)
+        except zipfile.BadZipFile:
+            yield (path, None, None, None, False, *[None] * content)
+
+    def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for part in parts:
+            for path, data in zip(part["path"], part["content"], strict=True):
+                for row in read(path.as_py(), data):
+                    out.append(row)
+                    held += 100 + (row[3] or 0) * content
+                    if held >= BATCH_BYTES:
+                        yield batch(out)
+                        out, held = [], 0
+        yield batch(out)
+
+    shape = "path string, member string, member_sha256 string, member_size long, safe boolean" + ", content binary" * content
+    return files.select("path", "content").mapInArrow(unpack, shape)
 
 
 def packet_checks(members: DataFrame, required: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +25,18 @@ def packets(members: DataFrame, most: int = PART_BYTES) -> DataFrame:
     before = F.sum(F.octet_length("content").cast("long")).over(Window.partitionBy("packet").orderBy("member").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / most).cast("int"))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        data = io.BytesIO()
+    def build(rows: pa.Table) -> pa.Table:
+        data, members, contents = io.BytesIO(), rows["member"].to_pylist(), rows["content"]
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            for member, content in sorted(zip(rows["member"], rows["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), bytes(content), zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"packet": [rows["packet"].iloc[0]], "part": [rows["part"].iloc[0]], "content": [data.getvalue()]})
-
-    found = rows.groupBy("packet", "part").applyInPandas(build, "packet string, part int, content binary")
+            # Members of one name go by their content, which is only then compared.
+            alike = len(set(members)) < len(members)
+            order = sorted(range(len(members)), key=lambda i: (members[i], contents[i].as_py()) if alike else members[i])
+            for i in order:
+                z.writestr(zipfile.ZipInfo(members[i], (1980, 1, 1, 0, 0, 0)), contents[i].as_py(), zipfile.ZIP_DEFLATED)
+        built = pa.array([data.getbuffer()], pa.binary())
+        return pa.table({"packet": rows["packet"][:1], "part": rows["part"][:1], "content": built})
+
+    found = rows.groupBy("packet", "part").applyInArrow(build, "packet string, part int, content binary")
     return found.withColumn("content_sha256", F.sha2("content", 256))
 
 

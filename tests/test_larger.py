@@ -101,6 +101,19 @@ def test_only_texts_that_nfkc_may_change_go_through_python(spark):
     assert not any(r[0] for r in spark.createDataFrame([("plain",), ("né à Köln, Öl",), ("漢字と",), ("한글",)], "t string").select(stable).collect())
 
 
+def test_archives_are_unpacked_a_few_members_at_a_time(spark, monkeypatch):
+    """Members of many archives in one batch go out as they are read, with and without their content."""
+    from evidentia.sources import files, sinks
+
+    members = spark.createDataFrame([(f"p{p}", f"m{i:02}", f"{p}{i}" * 50) for p in range(6) for i in range(20)] + [("p0", "m00", "again")], "packet string, member string, content string")
+    built = [(r.packet, bytes(r.content)) for r in sinks.packets(members).collect()] + [("broken", b"no zip")]
+    archives = spark.createDataFrame(built, "path string, content binary").coalesce(1)
+    monkeypatch.setattr(files, "BATCH_BYTES", 500)
+    whole, bare = files.zip_members(archives).collect(), files.zip_members(archives, content=False).collect()
+    assert sorted((r.path, r.member, r.content.decode()) for r in whole if r.member) == sorted(map(tuple, members.collect()))
+    assert sorted(map(repr, (tuple(r)[:5] for r in whole))) == sorted(map(repr, map(tuple, bare))) and len(bare) == 122
+
+
 def test_boxes_are_dealt_out_before_they_are_compared(spark, tmp_path):
     """No task aggregates a whole input file, and a page's images in several rows count once each."""
     rows = [{"l_orderkey": i % 7, "l_quantity": float(i % 5 + 1), "l_linenumber": i % 3 + 1} for i in range(200)]
