@@ -6,8 +6,9 @@ Arrow function, the only Python here besides the order-dependent `sequence_ratio
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -66,10 +67,17 @@ def suspicious_class() -> str:
 
 
 @lru_cache(maxsize=1)
-def stable_class() -> str:
-    """Class ranges of characters that NFKC leaves alone and never joins to the one before; short ranges are left out."""
+def _joining() -> frozenset[int]:
+    """Code points that NFKC may join to the character before."""
     decompositions = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
-    joins = {int(d[1], 16) for d in decompositions if len(d) == 2 and not d[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    pairs = {int(d[1], 16) for d in decompositions if len(d) == 2 and not d[0].startswith("<")}
+    return frozenset(pairs | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
+
+
+@lru_cache(maxsize=1)
+def stable_ranges() -> list[tuple[int, int]]:
+    """Ranges of characters that NFKC leaves alone and never joins to the one before; short ranges are left out."""
+    joins = _joining()
     ranges: list[list[int]] = []
     for code in range(0x10000):
         c = chr(code)
@@ -79,7 +87,21 @@ def stable_class() -> str:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges if a < 0x100 or b - a >= 8)
+    return [(a, b) for a, b in ranges if a < 0x100 or b - a >= 8]
+
+
+@lru_cache(maxsize=2)
+def stable_class(least: int = 0) -> str:
+    """Class ranges of `stable_ranges` that span so many code points."""
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in stable_ranges() if b - a >= least)
+
+
+def unstable() -> str:
+    """Pattern of a character outside `stable_class`.
+
+    Java tries the ranges of a class one by one, so ASCII and the wide ranges are told apart first.
+    """
+    return rf"(?![\x00-\x7F])(?![{stable_class(100)}])[^{stable_class()}]"
 
 
 @F.arrow_udf(T.StringType())
@@ -89,7 +111,7 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 
 def nfkc(texts: Column) -> Column:
     """Unicode NFKC, which Spark lacks; only texts with a character that it may change go through Python."""
-    return F.coalesce(_nfkc(F.when(texts.rlike(f"[^{stable_class()}]"), texts)), texts)
+    return F.coalesce(_nfkc(F.when(texts.rlike(unstable()), texts)), texts)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -99,13 +121,66 @@ def character_counts(texts: pa.Array) -> pa.Array:
     return pa.array(counts, pa.list_(pa.int32()))
 
 
+def _shared(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters from places i and j on are equal, at most so many."""
+    n = 0
+    while n + 64 <= most and a[i + n : i + n + 64] == b[j + n : j + n + 64]:
+        n += 64
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def _ratio(a: str, b: str) -> float:
+    """`difflib.SequenceMatcher(None, a, b).ratio()`, visiting only the places where a match can start.
+
+    A match starts at a character of both texts that isn't frequent in a long second one, the longest first, then
+    grows over frequent ones; what lies before and after it is matched likewise.
+    """
+    if a == b:
+        return 1.0
+    size, n = len(a) + len(b), len(b)
+    if n < 200 and (a in b or b in a):
+        return 2.0 * min(len(a), n) / size
+    most, held = n // 100 + 1 if n >= 200 else n, set(a)
+    places: dict[str, list[int]] = {c: [] for c, k in Counter(b).items() if k <= most and c in held}
+    for j, c in enumerate(b):
+        if c in places:
+            places[c].append(j)
+    starts = [i for i, c in enumerate(a) if c in places]
+    back_a, back_b = a[::-1], b[::-1]
+    matched, left = 0, [(0, len(a), 0, n)]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        besti, bestj, best, whole = alo, blo, 0, min(ahi - alo, bhi - blo)
+        runs: dict[int, int] = {}
+        last = -2
+        for i in starts[bisect_left(starts, alo) : bisect_left(starts, ahi)]:
+            before, runs = runs if last + 1 == i else {}, {}
+            last, spots = i, places[a[i]]
+            for j in spots[bisect_left(spots, blo) : bisect_left(spots, bhi)]:
+                k = runs[j] = before.get(j - 1, 0) + 1
+                if k > best:
+                    besti, bestj, best = i - k + 1, j - k + 1, k
+            if best == whole:
+                break
+        grown = _shared(back_a, len(a) - besti, back_b, n - bestj, min(besti - alo, bestj - blo))
+        besti, bestj, best = besti - grown, bestj - grown, best + grown
+        best += _shared(a, besti + best, b, bestj + best, min(ahi - besti, bhi - bestj) - best)
+        if best:
+            matched += best
+            if alo < besti and blo < bestj:
+                left.append((alo, besti, blo, bestj))
+            if besti + best < ahi and bestj + best < bhi:
+                left.append((besti + best, ahi, bestj + best, bhi))
+    return 2.0 * matched / size
+
+
 @F.arrow_udf(T.DoubleType())
 def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matching-block ratio of two texts; not symmetric, as frequent characters of a long second text are left out."""
-    found = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        found.append(None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio())
-    return pa.array(found, pa.float64())
+    rows = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else _ratio(x, y) for x, y in rows], pa.float64())
 
 
 def collapse(text: Column) -> Column:
@@ -227,7 +302,8 @@ def agreement(native: Column, seen: Column) -> Column:
 
 def is_protected(native: Column, candidate: Column) -> Column:
     """Whether a repair would touch articles, dates, money, precedents, or any digit."""
-    return native.rlike(PROTECTED) | candidate.rlike(PROTECTED) | nfkc(candidate).rlike(r"(?U)\d")
+    wording = rf"(?![\x00-/:-\x7F])(?:{PROTECTED})"  # none starts with another ASCII character, and most are such
+    return native.rlike(wording) | candidate.rlike(wording) | nfkc(candidate).rlike(r"(?U)\d")
 
 
 def page_support(candidate: Column, page_ocr: Column) -> Column:
@@ -269,13 +345,42 @@ def _tight(text: str) -> str:
     return "".join(unicodedata.normalize("NFKC", text).split())
 
 
+@lru_cache(maxsize=4096)
+def _starts(c: str) -> bool:
+    """Whether NFKC of a text is that of its parts before and from this character on."""
+    return c.isascii() or (unicodedata.normalize("NFKD", c) == c and not unicodedata.combining(c) and ord(c) not in _joining())
+
+
+def _beside(page: str, at: int, ahead: bool, wanted: int) -> str:
+    """What `_tight` makes of the text ahead of a place, or of that before it, as far as `wanted` characters are sure."""
+    size = 16
+    while True:
+        end = min(len(page), at + size) if ahead else max(0, at - size)
+        while 0 < end < len(page) and not _starts(page[end]):
+            end += 1 if ahead else -1
+        found = _tight(page[at:end] if ahead else page[end:at])
+        if len(found) >= wanted or end == (len(page) if ahead else 0):
+            return found
+        size *= 4
+
+
+def _spot(page: str, needle: str) -> int:
+    """Where a literal that isn't empty stands if it does so once, overlaps not counted; else -1."""
+    at = page.find(needle)
+    return at if at < 0 or page.find(needle, at + len(needle)) < 0 else -1
+
+
 def _trim(native: str, seen: str, page: str) -> str:
     native_text, seen_text = (unicodedata.normalize("NFKC", t).strip() for t in (native, seen))
-    spot = native if page.count(native) == 1 else native.strip()
-    if not native_text or not seen_text or not spot or page.count(spot) != 1:
+    if not native_text or not seen_text:
         return seen_text
-    before, _, after = page.partition(spot)
-    before, after, tight = _tight(before), _tight(after), _tight(seen_text)
+    spot, at = native, _spot(page, native)
+    if at < 0 and (spot := native.strip()) and spot != native:
+        at = _spot(page, spot)
+    if at < 0:
+        return seen_text
+    tight = _tight(seen_text)
+    before, after = _beside(page, at, False, 3), _beside(page, at + len(spot), True, 3)
     sizes = range(min(3, len(tight) - 1), 0, -1)
     head = next((n for n in sizes if before.endswith(tight[:n])), 0)
     tail = next((n for n in sizes if after.startswith(tight[-n:])), 0)
@@ -300,6 +405,32 @@ def trim_candidate(native: pa.Array, seen: pa.Array, page: pa.Array) -> pa.Array
     return pa.array([_trim(n, s, p or "") if n and s else None for n, s, p in rows], pa.string())
 
 
+_REPAIR = T.StructType().add("candidate", T.StringType()).add("similarity", T.DoubleType()).add("length_ratio", T.DoubleType()).add("support", T.BooleanType())
+
+
+def _repair(native: str, seen: str, page: str, page_tight: str | None) -> dict:
+    candidate = _trim(native, seen, page) if native and seen else None
+    if candidate is None:
+        return dict.fromkeys(("candidate", "similarity", "length_ratio", "support"))
+    a, b = _tight(native), _tight(candidate)
+    held = None if page_tight is None else b != "" and b in page_tight
+    return {"candidate": candidate, "similarity": _ratio(a, b), "length_ratio": len(b) / max(len(a), 1), "support": held}
+
+
+@F.arrow_udf(T.ArrayType(_REPAIR))
+def page_repairs(native: pa.Array, seen: pa.Array, page: pa.Array, page_ocr: pa.Array) -> pa.Array:
+    """What may replace the spans of a page: `trim_candidate`, the `sequence_ratio` and ratio of lengths of span and
+    candidate without whitespace, and `page_support`. The spans come as lists, so that a page's texts are sent and
+    normalised once.
+    """
+    kind = pa.list_(pa.struct([("candidate", pa.string()), ("similarity", pa.float64()), ("length_ratio", pa.float64()), ("support", pa.bool_())]))
+    found = []
+    for ns, ss, p, o in zip(native, seen, page, page_ocr, strict=True):
+        text, tight = p.as_py() or "", _tight(o.as_py()) if o.as_py() else None
+        found.append(pa.array([[_repair(n, s, text, tight) for n, s in zip(ns.as_py(), ss.as_py(), strict=True)]], kind))
+    return pa.concat_arrays(found) if found else pa.array([], kind)
+
+
 def replace_once(text: Column, edits: Column) -> Column:
     """`text` with each edit struct(target, replacement) whose target occurs exactly once applied; others are left.
 

@@ -106,22 +106,24 @@ def page_ocr(records: DataFrame) -> DataFrame:
 
 
 def decisions(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """A repair decision for every surgical record; pages are (document, page_number, native_text, trust)."""
+    """A repair decision for every surgical record; pages are (document, page_number, native_text, trust).
+
+    The records of a page are gathered before they meet its texts, which are sent to Python and normalised once
+    a page, not once a record.
+    """
     on = ["document", "page_number"]
-    rows = records.where(F.col("kind") == "suspect_native_text").join(pages.select(*on, "native_text", "trust"), on)
-    rows = rows.join(page_ocr(records), on, "left").select(*on, "record_id", F.coalesce("native_candidate", F.lit("")).alias("native"), F.coalesce("ocr_text", F.lit("")).alias("seen"), "coordinate_match", "ocr_confidence", "native_text", "trust", "page_ocr")
-    rows = rows.withColumn("candidate", text.trim_candidate(F.col("native"), F.col("seen"), F.col("native_text")))
-    tight = lambda c: text.compact(text.nfkc(F.col(c)))
-    rows = rows.withColumns({"tight_native": tight("native"), "tight_candidate": tight("candidate")})
+    record = F.struct("record_id", F.coalesce("native_candidate", F.lit("")).alias("native"), F.coalesce("ocr_text", F.lit("")).alias("seen"), "coordinate_match", "ocr_confidence")
+    gathered = records.where(F.col("kind") == "suspect_native_text").groupBy(*on).agg(F.collect_list(record).alias("records"))
+    rows = gathered.join(pages.select(*on, "native_text", "trust"), on).join(page_ocr(records), on, "left")
+    found = text.page_repairs(F.col("records.native"), F.col("records.seen"), F.col("native_text"), F.col("page_ocr"))
+    rows = rows.select(*on, "trust", "records", found.alias("found")).select(*on, "trust", F.explode(F.arrays_zip("records", "found")).alias("r"))
+    rows = rows.select(*on, "trust", "r.records.*", "r.found.*")
     noise = lambda c: text.suspicious_count(F.col(c)) + text.noise_count(F.col(c))
     rows = rows.withColumns(
         {
-            "similarity": text.sequence_ratio(F.col("tight_native"), F.col("tight_candidate")),
             "noise_before": noise("native"),
             "noise_after": noise("candidate"),
             "protected": text.is_protected(F.col("native"), F.col("candidate")),
-            "support": text.page_support(F.col("candidate"), F.col("page_ocr")),
-            "length_ratio": F.length("tight_candidate") / F.greatest(F.length("tight_native"), F.lit(1)),
         }
     )
     return rows.withColumn("d", verdict()).select(

@@ -3,7 +3,10 @@
 import difflib
 import random
 
-from evidentia.operators import alignment, graphs, markers, retrieval
+from pyspark.sql import functions as F
+
+from evidentia.functions import text
+from evidentia.operators import alignment, graphs, markers, reconciliation, retrieval
 
 RANDOM = random.Random(3)
 
@@ -84,3 +87,53 @@ def test_rendered_documents_in_parts(spark):
     parts = review.audit(rows, most=700).orderBy("document", "part").collect()
     assert len(parts) > 6 and max(len(r.markdown) for r in parts) < 1_500
     assert {d: "".join(r.markdown for r in parts if r.document == d) for d in whole} == whole
+
+
+def _edited(alphabet, size):
+    """Two texts: anything, a part, a longer or upper-case form, or some edits of the other."""
+    a = "".join(RANDOM.choices(alphabet, k=size))
+    b = list(a)
+    for _ in range(RANDOM.randint(1, 9)):
+        k = RANDOM.randrange(len(b) + 1)
+        b[k : k + RANDOM.randint(0, 3)] = RANDOM.choices(alphabet, k=RANDOM.randint(0, 4))
+    other = RANDOM.choice(["".join(b), "".join(b), a[3 : size // 2], "Note:" + a + "x", a.upper(), "".join(RANDOM.choices(alphabet, k=size))])
+    return RANDOM.choice([(a, other), (other, a)])
+
+
+def test_ratio_is_difflib_on_all_kinds_of_texts():
+    for alphabet in ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzABC0123456789.,", "漢字かな交じり文abc"):
+        for size in (1, 20, 199, 200, 201, 450):
+            for _ in range(12):
+                a, b = _edited(alphabet, size)
+                assert text._ratio(a, b) == (1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def test_trimming_lines_normalises_no_page_over_again(monkeypatch):
+    """All lines of a page together normalise a few times the page, not the page for each line."""
+    lines = [f"line {n} " + "".join(RANDOM.choices("abcdefé漢が", k=40)) for n in range(200)]
+    page, read = "\n".join(lines), []
+    monkeypatch.setattr(text, "_tight", lambda t, f=text._tight: read.append(len(t)) or f(t))
+    assert [text._trim(n, n, page) for n in lines] == lines
+    assert sum(read) < 12 * len(page)
+
+
+def test_decisions_send_a_page_once(spark):
+    lines = [f"Χ{n} word" for n in range(40)]
+    pages = spark.createDataFrame([("d", 1, "\n".join(lines), "medium"), ("d", 2, None, "low")], "document string, page_number int, native_text string, trust string")
+    rows = [("d", p, f"{n:02}", "suspect_native_text", t, f"A{n}word", True, 0.9) for p in (1, 2) for n, t in enumerate(lines)] + [("d", 1, "x", "full_page", None, "A1 word A2 wo", None, 0.9), ("d", 1, "y", "suspect_native_text", None, "z", None, None)]
+    records = spark.createDataFrame(rows, "document string, page_number int, record_id string, kind string, native_candidate string, ocr_text string, coordinate_match boolean, ocr_confidence double")
+    decided = reconciliation.decisions(records, pages)
+    found = {(r.page_number, r.record_id): r for r in decided.collect()}
+    assert len(found) == 81 and found[1, "y"].candidate is None and found[1, "y"].status == "REVIEW_REQUIRED"
+    for p, n in ((1, 1), (1, 2), (2, 5)):
+        row = found[p, f"{n:02}"]
+        assert (row.candidate, row.support) == (f"A{n}word", {(1, 1): True, (1, 2): False}.get((p, n)))
+        assert row.similarity == round(difflib.SequenceMatcher(None, f"Χ{n}word", f"A{n}word").ratio(), 6)
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("page_repairs") and plan.count("ArrowEvalPython") == 2  # nearer to the result comes first
+
+
+def test_protected_wording_is_found_behind_ascii(spark):
+    rows = spark.createDataFrame([("plain text, no digit",), ("abc 第 3条",), ("x年",), ("条件",), ("a５b",), ("７項",), ("item 4",), ("",)], "t string")
+    found = [r[0] for r in rows.select(text.is_protected(F.col("t"), F.col("t"))).collect()]
+    assert found == [False, True, True, False, True, True, True, False]
