@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -131,17 +132,19 @@ def _shared(a: str, i: int, b: str, j: int, most: int) -> int:
     return n
 
 
-def _ratio(a: str, b: str) -> float:
-    """`difflib.SequenceMatcher(None, a, b).ratio()`, visiting only the places where a match can start.
+def _ratio(a: str, b: str, least: float = 0.0) -> float | None:
+    """`difflib.SequenceMatcher(None, a, b).ratio()`, visiting only the places where a match can start; null below `least`.
 
     A match starts at a character of both texts that isn't frequent in a long second one, the longest first, then
-    grows over frequent ones; what lies before and after it is matched likewise.
+    grows over frequent ones; what lies before and after it is matched likewise. No more than the shorter of two parts
+    can still match, so that unlike texts are soon known to be below `least`.
     """
     if a == b:
         return 1.0
     size, n = len(a) + len(b), len(b)
     if n < 200 and (a in b or b in a):
-        return 2.0 * min(len(a), n) / size
+        found = 2.0 * min(len(a), n) / size
+        return found if found >= least else None
     most, held = n // 100 + 1 if n >= 200 else n, set(a)
     places: dict[str, list[int]] = {c: [] for c, k in Counter(b).items() if k <= most and c in held}
     for j, c in enumerate(b):
@@ -149,10 +152,13 @@ def _ratio(a: str, b: str) -> float:
             places[c].append(j)
     starts = [i for i, c in enumerate(a) if c in places]
     back_a, back_b = a[::-1], b[::-1]
-    matched, left = 0, [(0, len(a), 0, n)]
+    matched, open_, left = 0, min(len(a), n), [(0, len(a), 0, n)]
     while left:
+        if 2.0 * (matched + open_) / size < least:
+            return None
         alo, ahi, blo, bhi = left.pop()
         besti, bestj, best, whole = alo, blo, 0, min(ahi - alo, bhi - blo)
+        open_ -= whole
         runs: dict[int, int] = {}
         last = -2
         for i in starts[bisect_left(starts, alo) : bisect_left(starts, ahi)]:
@@ -169,11 +175,11 @@ def _ratio(a: str, b: str) -> float:
         best += _shared(a, besti + best, b, bestj + best, min(ahi - besti, bhi - bestj) - best)
         if best:
             matched += best
-            if alo < besti and blo < bestj:
-                left.append((alo, besti, blo, bestj))
-            if besti + best < ahi and bestj + best < bhi:
-                left.append((besti + best, ahi, bestj + best, bhi))
-    return 2.0 * matched / size
+            for part in ((alo, besti, blo, bestj), (besti + best, ahi, bestj + best, bhi)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    left.append(part)
+                    open_ += min(part[1] - part[0], part[3] - part[2])
+    return found if (found := 2.0 * matched / size) >= least else None
 
 
 @F.arrow_udf(T.DoubleType())
@@ -183,9 +189,20 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else _ratio(x, y) for x, y in rows], pa.float64())
 
 
+def ratio_from(least: float) -> Callable[[Column, Column], Column]:
+    """`sequence_ratio` as far as it is so much at least, else null."""
+
+    @F.arrow_udf(T.DoubleType())
+    def bounded_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(a.to_pylist(), b.to_pylist(), strict=True)
+        return pa.array([None if x is None or y is None else _ratio(x, y, least) for x, y in rows], pa.float64())
+
+    return bounded_ratio
+
+
 def collapse(text: Column) -> Column:
-    """Runs of whitespace as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """Runs of whitespace as one space, none at the ends. Single spaces, which most are, are no match."""
+    return F.trim(F.regexp_replace(text, rf" (?![!-~]){SPACE}+|(?![ -~]){SPACE}+", " "))
 
 
 def page_text(text: Column) -> Column:

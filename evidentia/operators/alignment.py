@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import character_counts, sequence_ratio
+from evidentia.functions.text import character_counts, ratio_from
+from evidentia.staging import stage
 
 # Fixed values of the approximate stage.
 MIN_LENGTH = 40
@@ -64,34 +65,37 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Only pages of equal images, nearly equal size and of lengths that allow the least similarity meet:
     lengths are dealt into bands so wide that no such pair lies more than one band apart. Characters in
-    common, counted by classes of code points, bound the ratio from above and lose no pair; the ratio
-    itself is order-dependent and computed in Python for what is left.
+    common, counted by classes of code points, bound the ratio from above and lose no pair. Pages meet
+    without their texts; the ratio itself is order-dependent and computed in Python for what is left.
     """
     shortest = MIN_SIMILARITY / (2 - MIN_SIMILARITY)  # of the longer length
     band = F.floor(F.log(F.length("normalized_text").cast("double")) / -math.log(shortest)).alias("band")
-    pick = lambda df, side: df.where(F.length("normalized_text") >= MIN_LENGTH).select(
-        "document",
-        "image_fingerprint",
-        band,
-        *[F.col(c).alias(f"{side}_{c}") for c in ("page_number", "width", "height", "normalized_text", "vector_fingerprint", "annotation_fingerprint")],
-        character_counts(F.col("normalized_text")).alias(f"{side}_counts"),
-    )
-    a, b = F.length("old_normalized_text"), F.length("new_normalized_text")
+
+    def pick(df: DataFrame, side: str) -> DataFrame:
+        named = [F.col(c).alias(f"{side}_{c}") for c in ("page_number", "width", "height", "normalized_text", "vector_fingerprint", "annotation_fingerprint")]
+        length, counts = F.length("normalized_text").alias(f"{side}_length"), character_counts(F.col("normalized_text")).alias(f"{side}_counts")
+        rows = df.where(F.length("normalized_text") >= MIN_LENGTH).select("document", "image_fingerprint", band, *named, length, counts)
+        return stage(rows, f"{side}_pages")
+
+    olds, news = pick(old, "old"), pick(new, "new")
+    a, b = F.col("old_length"), F.col("new_length")
     common = F.aggregate(F.zip_with("old_counts", "new_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
     near = (
         (F.abs(F.col("old_width") - F.col("new_width")) <= SIZE_DELTA)
         & (F.abs(F.col("old_height") - F.col("new_height")) <= SIZE_DELTA)
         & (F.least(a, b) * 2 >= (a + b) * MIN_SIMILARITY)
     )
-    beside = pick(old, "old").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    rows = beside.join(pick(new, "new"), ["document", "image_fingerprint", "band"]).where(near)
-    rows = rows.where(common * 2 >= (a + b) * MIN_SIMILARITY)
-    rows = rows.withColumn("similarity", sequence_ratio(F.col("old_normalized_text"), F.col("new_normalized_text")))
     markup = (F.col("old_vector_fingerprint") != F.col("new_vector_fingerprint")) | (
         F.col("old_annotation_fingerprint") != F.col("new_annotation_fingerprint")
     )
-    return rows.where(F.col("similarity") >= MIN_SIMILARITY).select(
-        "document", F.col("old_page_number").alias("previous_page"), F.col("new_page_number").alias("current_page"), "similarity", markup.alias("markup_changed")
+    beside = olds.drop("old_normalized_text").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    rows = beside.join(news.drop("new_normalized_text"), ["document", "image_fingerprint", "band"]).where(near)
+    rows = rows.where(common * 2 >= (a + b) * MIN_SIMILARITY).select("document", "old_page_number", "new_page_number", markup.alias("markup_changed"))
+    for side, pages in (("old", olds), ("new", news)):
+        rows = rows.join(pages.select("document", f"{side}_page_number", f"{side}_normalized_text"), ["document", f"{side}_page_number"])
+    rows = rows.withColumn("similarity", ratio_from(MIN_SIMILARITY)(F.col("old_normalized_text"), F.col("new_normalized_text")))
+    return rows.where("similarity is not null").select(
+        "document", F.col("old_page_number").alias("previous_page"), F.col("new_page_number").alias("current_page"), "similarity", "markup_changed"
     )
 
 
@@ -112,14 +116,19 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 
 def align(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Full alignment of two versions of identified pages (see pages.identity)."""
-    first = exact(old, new)
-    side = lambda df, column: df.join(
-        first.where(F.col("classification") == ("DELETED" if column == "previous_page" else "NEW")).select("document", F.col(column).alias("page_number")),
-        ["document", "page_number"],
-        "left_semi",
-    )
-    matched = greedy(candidates(side(old, "previous_page"), side(new, "current_page")))
+    """Full alignment of two versions of identified pages (see pages.identity).
+
+    What several later steps read, the exact alignment and the pairs by similarity, is staged, so as not to be made anew.
+    """
+    first = stage(exact(old, new), "exact")
+
+    def side(df: DataFrame, column: str) -> DataFrame:
+        """Pages that the exact alignment leaves over; staged, else Spark would measure the texts of all pages before it drops them."""
+        left = first.where(F.col("classification") == ("DELETED" if column == "previous_page" else "NEW")).select("document", F.col(column).alias("page_number"))
+        names = ("document", "page_number", "image_fingerprint", "width", "height", "normalized_text", "vector_fingerprint", "annotation_fingerprint")
+        return stage(df.join(left, ["document", "page_number"], "left_semi").select(*names), "left")
+
+    matched = stage(greedy(candidates(side(old, "previous_page"), side(new, "current_page"))), "matched")
     kind = F.when(F.col("previous_page") == F.col("current_page"), "CONTENT_CHANGED").otherwise("MOVED_CONTENT_CHANGED")
     changed = matched.select(
         "document", F.lit(None).cast("string").alias("stable_page_id"), "previous_page", "current_page", kind.alias("classification"), "markup_changed", F.round("similarity", 6).alias("similarity"), F.lit(False).alias("reusable")

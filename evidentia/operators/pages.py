@@ -22,10 +22,10 @@ LARGE_IMAGE = 0.20
 SCRIPT_GATE = 0.15
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Driver documents as pages of one corpus: no images, A4, unrotated."""
+def from_documents(docs: DataFrame, document: Column | None = None) -> DataFrame:
+    """Driver documents as pages of one corpus, or of the `document` given: no images, A4, unrotated."""
     return docs.select(
-        F.lit("corpus").alias("document"),
+        (F.lit("corpus") if document is None else document).alias("document"),
         F.col("doc_id").cast("int").alias("page_number"),
         F.lit(595.0).alias("width"),
         F.lit(842.0).alias("height"),

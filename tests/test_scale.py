@@ -137,3 +137,30 @@ def test_protected_wording_is_found_behind_ascii(spark):
     rows = spark.createDataFrame([("plain text, no digit",), ("abc 第 3条",), ("x年",), ("条件",), ("a５b",), ("７項",), ("item 4",), ("",)], "t string")
     found = [r[0] for r in rows.select(text.is_protected(F.col("t"), F.col("t"))).collect()]
     assert found == [False, True, True, False, True, True, True, False]
+
+
+def test_alignment_makes_its_pairs_once(spark):
+    prose = lambda n: " ".join("".join(RANDOM.choices("abcdefghij", k=5)) for _ in range(n))
+    texts = [prose(30) for _ in range(6)]
+    shape = lambda rows: spark.createDataFrame(
+        [("d", i, t, "img", 100.0, 100.0, t, "v", "a") for i, t in enumerate(rows)],
+        "document string, page_number int, stable_page_id string, image_fingerprint string, width double, height double, normalized_text string, vector_fingerprint string, annotation_fingerprint string",
+    )
+    found = alignment.align(shape(texts), shape([texts[1], *(t + "!" for t in texts[2:]), "short"]))
+    pairs = {(r.previous_page, r.current_page, r.classification) for r in found.collect()}
+    assert pairs == {(0, None, "DELETED"), (1, 0, "MOVED"), *((i, i - 1, "MOVED_CONTENT_CHANGED") for i in range(2, 6)), (None, 5, "NEW")}
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ratio_below_the_least_is_null():
+    for _ in range(60):
+        a, b = _edited("abcdefghijklmnop ", RANDOM.choice([30, 150, 400]))
+        ratio = text._ratio(a, b)
+        for least in (0.3, 0.985, ratio):
+            assert text._ratio(a, b, least) == (ratio if ratio >= least else None)
+
+
+def test_collapse_is_that_of_all_whitespace(spark):
+    texts = ["".join(RANDOM.choices("ab  \n\t\x1c\u00a0\u3000é漢", k=RANDOM.randint(0, 12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(text.collapse(F.col("t"))).collect()] == [" ".join(t.split()) for t in texts]
